@@ -25,7 +25,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _FIND = regex.compile(PATTERN).findall
 BATCH_WIDTH = 64
 #: Pieces whose ids a worker remembers; beyond that it starts anew, so that its memory is bounded.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 TEXTS_AT_ONCE = 2_000_000
 _NONE = np.iinfo(np.int64).max
 
@@ -56,6 +56,7 @@ class Codec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.ints = list(range(size))  # one object for each id, however many pieces have it
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
@@ -118,7 +119,7 @@ class Codec:
             fresh = self.ranks(symbols[r, a], symbols[r, b])
             put(r, a, np.where(fresh >= 0, fresh * width + a, _NONE))
             rows = rows[tree[rows, 1] != _NONE]
-        ids, counts = symbols[alive].tolist(), alive.sum(axis=1)
+        ids, counts = list(map(self.ints.__getitem__, symbols[alive].tolist())), alive.sum(axis=1)
         stops = np.cumsum(counts).tolist()
         return [tuple(ids[s - c : s]) for s, c in zip(stops, counts.tolist(), strict=True)]
 
@@ -169,7 +170,7 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are not remembered yet."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED // 4:
             self.known.clear()
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces - self.known.keys():
@@ -199,10 +200,11 @@ class Codec:
         so a text is cut there and its words are looked up; a text with any other space is cut by
         the pattern as a whole."""
         known, spaced = self.known, self.spaced
-        if len(spaced) > REMEMBERED:
-            spaced.clear()
         words = [t.split(" ") if not any(x in t for x in self.added) else None for t in texts]
-        fresh = set(chain.from_iterable(w for w in words if w)) - spaced.keys()
+        used = set(chain.from_iterable(w for w in words if w))
+        if len(spaced) > REMEMBERED:  # frequent words are among those in use
+            spaced = self.spaced = {w: spaced[w] for w in used & spaced.keys()}
+        fresh = used - spaced.keys()
         odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
         cut: list[list | None] = []
         for i, (text, w) in enumerate(zip(texts, words, strict=True)):
@@ -228,6 +230,8 @@ class Codec:
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
         lengths = self.lengths[ids]
         total = int(lengths.sum())
         skip = np.cumsum(lengths) - lengths
@@ -240,15 +244,19 @@ def load(path: str) -> str:
         return f.read()
 
 
-def encode(df: DataFrame, codec, text: str = "text", into: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, codec, text: str = "text", into: str = "token_ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """Adds array<int> `into`, the ids of each whole text. codec: a broadcast Codec.
 
+    decoded names a column for what those ids decode to, made by the same worker; keep_text=False
+    leaves the text itself out.
+
     A null or empty text gives an empty array; special-token strings in a text become their ids,
     as the tokenizers library does; rows, repeated or not, are kept, and so are other columns.
     An `into` column of the input is replaced.
     """
-    rest = [c for c in df.columns if c != into]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(rest).schema)
+    rest = [c for c in df.columns if c not in (into, decoded)]
+    out = [c for c in rest if keep_text or c != text]
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec.value
@@ -260,11 +268,15 @@ def encode(df: DataFrame, codec, text: str = "text", into: str = "token_ids") ->
                 ahead = np.cumsum(sizes[row:])
                 stop = row + max(1, int(np.searchsorted(ahead, TEXTS_AT_ONCE, "right")))
                 found = own.encode_batch(texts.slice(row, stop - row).to_pylist())
-                ids = pa.array(found, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, stop - row).columns, ids], [*batch.schema.names, into])
+                part = batch.slice(row, stop - row)
+                columns = {c: part.column(part.schema.get_field_index(c)) for c in out} | {into: pa.array(found, pa.list_(pa.int32()))}
+                if decoded:
+                    columns[decoded] = pa.array([own.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 row = stop
 
-    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, f"{schema}, `{into}` array<int>")
+    types = f"{schema}, `{into}` array<int>" + (f", `{decoded}` string" if decoded else "")
+    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, types)
 
 
 def decode(df: DataFrame, codec, ids: str = "token_ids", into: str = "decoded") -> DataFrame:

@@ -35,8 +35,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = spark.sparkContext.broadcast(bpe.Codec(bpe.load(tokenizer_path())))
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec).drop("text")
-    return bpe.decode(coded, codec).select(
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, decoded="decoded", keep_text=False)
+    return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         bpe.ids_digest("token_ids").alias("ids_sha256"),
