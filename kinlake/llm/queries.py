@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.llm import bpe, secrets
+from kinlake.llm import bpe, decontaminate, neardup, secrets, substrings, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, _ = warc.deduplicate(table(spark, sf_dir, "pages"), least_bytes=0)
+    return heads.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -44,5 +58,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_secrets, op7_bpe)}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), length=35)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op5_secrets, op7_bpe, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,51 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
         seen = state
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
+
+
+def deal(coarse: DataFrame, weights: DataFrame, most: int, heaviest: int) -> DataFrame:
+    """(id, group, block, i, j): where each member of each component is compared.
+
+    A component of more than `most` members, or of more than `heaviest` weight, is split by a hash
+    of the id into blocks within both; there is a task (i, j) for every two blocks and for each
+    alone, so any two members meet once, and no task holds more than about two blocks.
+    coarse: id, component; weights: id, weight.
+    """
+    weighed = coarse.join(weights, "id")
+    sizes = weighed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("weight") / heaviest)).cast("int").alias("blocks"))
+    placed = weighed.join(sizes, "component").select(
+        "id", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    )
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("id", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def by_runs(df: DataFrame, keys: list[str], apply, schema: str, order: list[str] = ()) -> DataFrame:
+    """Shuffles df by keys and calls apply(table) for the rows of each key, as an Arrow table; it returns a record batch or None.
+
+    Unlike a grouped map it costs next to nothing for a group of two rows."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            changed = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                changed[1:] |= c[1:] != c[:-1]
+            if held:
+                last = held[-1]
+                changed[0] = any(last.column(last.schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True))
+            cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if changed[a] and held:
+                    if (out := apply(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held and (out := apply(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
