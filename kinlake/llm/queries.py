@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.llm import bpe, decontaminate, neardup, secrets, substrings, warc
+from kinlake.llm import bpe, decontaminate, lines, neardup, secrets, substrings, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,6 +47,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = spark.sparkContext.broadcast(bpe.Codec(bpe.load(tokenizer_path())))
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, decoded="decoded", keep_text=False)
@@ -62,5 +67,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"), length=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op5_secrets, op7_bpe, op9_substrings)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op5_secrets, op6_lines, op7_bpe, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {}
