@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.llm import bpe, decontaminate, lines, neardup, secrets, substrings, warc
+from kinlake.llm import bpe, decontaminate, lines, neardup, secrets, substrings, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -34,6 +34,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = spark.sparkContext.broadcast(toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.tag(docs, field).select(
+        "doc_id",
+        (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("spans").cast("string").alias("spans"),
+    )
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -67,5 +79,5 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"), length=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op5_secrets, op6_lines, op7_bpe, op9_substrings)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op4_toxicity, op5_secrets, op6_lines, op7_bpe, op9_substrings)}
 ORACLE_SQL: dict[str, str] = {}
