@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.llm import bpe, decontaminate, lines, neardup, secrets, substrings, toxicity, warc
+from kinlake.llm import bpe, decontaminate, lines, neardup, quality, secrets, substrings, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -79,5 +79,10 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"), length=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op4_toxicity, op5_secrets, op6_lines, op7_bpe, op9_substrings)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "source", "lang", "evidence", "host_share", "path_share", "posterior", (F.col("posterior") >= 0.5).alias("keep"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op4_toxicity, op5_secrets, op6_lines, op7_bpe, op9_substrings, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
