@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.llm import bpe, decontaminate, lines, neardup, quality, secrets, substrings, toxicity, warc
+from kinlake.llm import bpe, decontaminate, lines, neardup, quality, secrets, substrings, toxicity, vectors, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -75,6 +75,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, k=20)
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"), length=35)
 
@@ -84,5 +88,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "lang", "evidence", "host_share", "path_share", "posterior", (F.col("posterior") >= 0.5).alias("keep"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op4_toxicity, op5_secrets, op6_lines, op7_bpe, op9_substrings, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_warc, op4_toxicity, op5_secrets, op6_lines, op7_bpe, op8_vectors, op9_substrings, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
