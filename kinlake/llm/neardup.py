@@ -2,11 +2,12 @@
 
 Texts are sets of hashed word shingles; equal sets are one class. TREES orders of the classes,
 each by its own sequence of minhashes, form the forest: a region is a run of an order whose
-members share their longest common prefix of at least DEPTH minhashes, or of DEEPER where more
-than CROWD classes share that. Neighbours in a region are candidates; the components of these
+members share a common prefix of at least `depth` minhashes, or of two more where more than
+CROWD classes share that. Neighbours in a region are candidates; the components of these
 neighbourhoods are found without ever writing out pairs, and within each the links are confirmed
-on full sets. A pair at the threshold of 0.85 shares no region of depth 6 in 32 trees with a
-chance of 3 in 10 million, of depth 8 with 4 in 100,000.
+on full sets. depth is the largest at which a pair at the threshold shares no region of any of
+the 32 trees with a chance below 1 in a million: 6 at 0.85 (in crowded regions 8, 4 in 100,000),
+4 at 0.8 (6, 6 in 100,000).
 
 A component of more than BLOCK classes or SHINGLES shingles is dealt to several tasks, one for every two blocks of it,
 so any pair of it meets in one task and no task holds more than two blocks. A task drops a pair
@@ -28,13 +29,13 @@ from kinlake.llm.text import _LOWER, chunks, mix, rolling, signed, spans, text_w
 from kinlake.llm.work import Scratch, by_runs, components, deal
 
 HASHES = 128
-TREES, DEPTH, DEEPER = 32, 6, 8
+TREES, LONGEST = 32, 8
 CROWD = 1000
 BLOCK, SHINGLES = 1024, 2_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_ORDER = np.concatenate([_RNG.permutation(HASHES) for _ in range(-(-TREES * DEEPER // HASHES))])[: TREES * DEEPER].reshape(TREES, DEEPER)
+_ORDER = np.concatenate([_RNG.permutation(HASHES) for _ in range(-(-TREES * LONGEST // HASHES))])[: TREES * LONGEST].reshape(TREES, LONGEST)
 _STEP = mix(np.arange(1, TREES + 1, dtype=np.uint64))
 
 
@@ -60,8 +61,13 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def signatures(df: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys): set_id digests the full set; keys holds a hash of DEPTH and of DEEPER minhashes for every tree."""
+def depth_for(percent: int) -> int:
+    s = percent / 100
+    return max(d for d in range(1, LONGEST - 1) if d == 1 or (1 - s**d) ** TREES <= 1e-6)
+
+
+def signatures(df: DataFrame, k: int, depth: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, keys): set_id digests the full set; keys holds a hash of depth and of depth + 2 minhashes for every tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +76,7 @@ def signatures(df: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 low = minhashes(s)[_ORDER] if len(s) else None
-                keys.append([] if low is None else np.stack([mix(rolling_row(low[:, :DEPTH]) ^ _STEP), mix(rolling_row(low) ^ _STEP)], 1).ravel().view(np.int64))
+                keys.append([] if low is None else np.stack([mix(rolling_row(low[:, :depth]) ^ _STEP), mix(rolling_row(low[:, : depth + 2]) ^ _STEP)], 1).ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "keys"])
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
@@ -162,7 +168,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
     docs = df.select(F.col("doc_id").cast("long"), "text")
-    signed_docs = scratch.keep(signatures(docs, k))
+    signed_docs = scratch.keep(signatures(docs, k, depth_for(percent)))
     members = signed_docs.select("doc_id", "n_shingles", "set_id")
     leads = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("lead"))
     classes = signed_docs.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys")
