@@ -207,7 +207,7 @@ def find_duplicates(docs: DataFrame, percent: int = 90, bits: int = BITS, least_
     """(lines, groups): the table of lines, and (line_id, component, keep_doc, keep_line) of every line form that has other occurrences or near ones."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.keep(line_table(docs, least_chars))
     nodes = scratch.keep(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("size").alias("size")))
     coarse = components(spark, candidates(nodes.select("line_id", "simhash"), bits), scratch)
@@ -230,7 +230,7 @@ def deduplicate(docs: DataFrame, percent: int = 90, bits: int = BITS, least_char
     `bits` of 64 bits, and 100 * edit distance <= (100 - percent) * the longer length; groups are
     connected by links. The occurrence with the smallest (doc_id, line number) stays. Lines whose
     form is shorter than least_chars always stay. A null text stays null, with no line; an empty
-    one has one. doc_id must be unique and not null; columns of docs are kept, but for those named
+    one has one. Rows without a doc_id stay as they are; doc_id must be unique; columns of docs are kept, but for those named
     like the three new ones; an empty table gives an empty result.
     """
     lines, groups = find_duplicates(docs, percent, bits, least_chars, scratch)

@@ -162,12 +162,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
 
     Texts are linked with 100 * intersection >= percent * union of their sets of k lower-cased
     words (A-Z only). Texts with equal sets are linked. A text with fewer words is one shingle; a
-    text without words, or null, is linked with nothing. doc_id must be unique and not null;
-    other columns are left out; an empty table gives an empty result.
+    text without words, or null, is linked with nothing. Rows without a doc_id are left out, and
+    rows that share one are one node; other columns are left out; an empty table gives an empty result.
     """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    docs = df.select(F.col("doc_id").cast("long"), "text")
+    docs = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = scratch.keep(signatures(docs, k, depth_for(percent)))
     members = signed_docs.select("doc_id", "n_shingles", "set_id")
     leads = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("lead"))

@@ -96,7 +96,9 @@ def extend(seeded: DataFrame, length: int) -> DataFrame:
                 seeded = np.zeros(int(first[-1]) + 1, bool)
                 n = len(offsets) - 1
                 a, b = lists[row], lists[row + n]
-                seeded[flat[a:b] + np.repeat(first[:n], np.diff(lists[row : row + n + 1]))] = True
+                each = np.diff(lists[row : row + n + 1])
+                place = flat[a:b] + np.repeat(first[:n], each)
+                seeded[place[place < np.repeat(first[1:], each)]] = True
                 keep = seeded[owner]
                 at, owner = at[keep], owner[keep]
                 doc = np.searchsorted(first, at, "right") - 1
@@ -116,6 +118,7 @@ def remove(marked: DataFrame, length: int) -> DataFrame:
                 words = (text.as_py() or "").encode().split()
                 change = np.zeros(len(words) + 1, np.int64)
                 at = np.asarray(starts.values)
+                at = at[at + length <= len(words)]
                 np.add.at(change, at, 1)
                 np.add.at(change, at + length, -1)
                 stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
@@ -132,7 +135,7 @@ def find_repeats(df: DataFrame, length: int = 35, scratch: Scratch | None = None
     Texts with the same words are one class: in a class of several all windows repeat, so all
     words of its texts go if they make a window, and only its first text takes part in the search.
     """
-    docs = df.select(F.col("doc_id").cast("long"), "text")
+    docs = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = (scratch or Scratch(df.sparkSession)).keep(whole(docs))
     classes = every.where(F.col("n_words") >= length).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("leader"))
     every = every.join(classes, "digest", "left").select(
@@ -152,7 +155,8 @@ def find_repeats(df: DataFrame, length: int = 35, scratch: Scratch | None = None
 def deduplicate(df: DataFrame, length: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): what stays of each text once repeated windows go.
 
-    doc_id must be unique and not null. A null text has no words; a text shorter than a window
+    Rows without a doc_id are left out; doc_id must be unique, and rows that share one take each
+    other's windows for their own. A null text has no words; a text shorter than a window
     loses nothing, however often it occurs; a window that occurs twice in one text is removed at
     both places; other columns are left out; an empty table gives an empty result.
     """

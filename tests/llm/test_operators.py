@@ -1,0 +1,289 @@
+"""Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import base64
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinlake.llm import bpe, decontaminate, lines, neardup, quality, secrets, substrings, toxicity, vectors, warc, work
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, `group` string, removed string"
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s" if i is None or i % 3 else None, len(t or ""), 7, "g", "r") for i, t in texts], SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(11)
+    base = [prose(rng, 120) for _ in range(6)]
+    out = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "ONE"), (5, "two words"), (6, "é ü"), (7, prose(rng, 60_000))]
+    for b in base:
+        for edits in (0, 0, 1, 2, 4, 8):
+            w = b.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = "changed"
+            out.append((len(out), " ".join(w)))
+    out.append((len(out), prose(rng, 40) + " " + " ".join(base[0].split()[10:60])))
+    return out
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (200, None)]
+    got = dict(work.components(spark, spark.createDataFrame(chain, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert work.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark, corpus):
+    sets = {}
+    for i, t in corpus:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, corpus), 3, 85).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    assert got[4][1] == 3
+    twice = neardup.near_duplicates(table(spark, corpus[3:5] + corpus[3:5] + [(None, "one")]), 3, 85)
+    assert sorted((r["doc_id"], r["component_id"]) for r in twice.collect()) == [(3, 3), (3, 3), (4, 3), (4, 3)]
+    assert neardup.near_duplicates(table(spark, []), 3, 85).count() == 0
+
+
+def test_large_components_are_split_into_blocks(spark, corpus, monkeypatch):
+    want = sorted(tuple(r) for r in neardup.near_duplicates(table(spark, corpus), 3, 85).collect())
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(table(spark, corpus), 3, 85).collect()) == want
+
+
+def test_substrings_against_brute_force(spark, corpus):
+    words = {i: WORD.findall(t or "") for i, t in corpus}
+    seen = Counter(" ".join(w[j : j + 35]) for w in words.values() for j in range(len(w) - 34))
+    want = {}
+    for i, w in words.items():
+        gone = {k for j in range(len(w) - 34) if seen[" ".join(w[j : j + 35])] > 1 for k in range(j, j + 35)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.deduplicate(table(spark, corpus)).collect()}
+    assert got == want
+    assert substrings.deduplicate(table(spark, [])).count() == 0
+    same = prose(random.Random(1), 50)
+    one = substrings.deduplicate(table(spark, [(1, same + " x " + same), (None, same)])).collect()
+    assert [(r["n_words"], r["n_removed"]) for r in one] == [(101, 100)]
+
+
+def test_warc_revisits(spark):
+    rows = [(1, "http://a", "x", 1), (2, None, "x", 1), (3, "u\r\nv", None, 1), (4, "w", "", 1), (None, "n", "x", 1), (5, "é", "ß" * 5000, 1), (5, "é", "ß" * 5000, 1)]
+    heads, path = warc.deduplicate(spark.createDataFrame(rows, "page_id long, url string, html string, body int"))
+    got = sorted((tuple(r)[:1] + tuple(r)[2:] for r in heads.collect()), key=str)
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, "revisit", 1, sha("x"), 2), (2, "response", 1, sha("x"), None), (3, "revisit", 0, sha(""), 4), (4, "response", 0, sha(""), None), (None, "revisit", 1, sha("x"), 2)]
+    want += [(5, "response", 10_000, sha("ß" * 5000), None)] * 2
+    assert got == sorted(want, key=str)
+    empty, _ = warc.deduplicate(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert empty.count() == 0
+
+
+def test_toxicity_learns_and_tags(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(300):
+        w = prose(rng, 40).split()
+        if i % 3 == 0:
+            w[rng.randrange(40)] = "vilewords"
+            w[rng.randrange(40)] = "vilewords!"
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    docs += [(900, None), (901, ""), (902, "vilewords " * 30_000), (902, "fine")]
+    d, known = table(spark, docs), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    field = spark.sparkContext.broadcast(toxicity.fit(d, known))
+    got = toxicity.tag(d, field).collect()
+    by = {r["doc_id"]: r for r in got if r["doc_id"] < 300}
+    assert len(got) == 304 and all(0 <= r["score"] <= 1 for r in got)
+    assert sum((by[i]["score"] >= 0.5) == (i % 3 == 0) for i in range(300)) >= 295
+    spans = by[0]["spans"]
+    raw = docs[0][1].encode()
+    assert spans and all(raw[s["start"] : s["end"]].startswith(b"vilewords") or b"vilewords" in raw[s["start"] : s["end"]] for s in spans)
+    assert toxicity.tag(table(spark, []), field).count() == 0
+    bare = toxicity.fit(d, known.where("false"))
+    assert toxicity.tag(d, spark.sparkContext.broadcast(bare)).count() == 304
+
+
+def test_secrets(spark):
+    rng = random.Random(6)
+    rows = [(0, None), (1, ""), (2, "token = abcdef0"), (3, "é" * 5 + " AKIA" + "Z" * 16), (4, "f" * 30), (5, prose(rng, 9000)), (5, "token: x"), (None, "secret=abcdefg")]
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48))
+    rows += [(10 + i, f"see {key[i:] + key[:i]} there") for i in range(12)]
+    got = secrets.find_secrets(table(spark, rows), ["doc_id"]).collect()
+    base = {(r["doc_id"], tuple(map(tuple, r["base"]))) for r in got}
+    assert len(got) == len(rows)
+    assert (2, (("assign", 0, 15),)) in base and (3, (("access", 6, 26),)) in base and (4, (("hex", 0, 30),)) in base and (None, (("assign", 0, 14),)) in base
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got}
+    assert sum(found[10 + i] == [("random", 4, 52)] for i in range(12)) >= 11
+    assert found[0] == found[1] == []
+    assert secrets.find_secrets(table(spark, []), ["doc_id"]).count() == 0
+
+
+def test_lines(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 90), prose(rng, 12)
+    near = a.replace(a.split()[40], "q", 1)
+    rows = [(1, f"{a}\n{b}\nshort"), (2, f"{b.upper()}\n\nshort\n{prose(rng, 20)}"), (3, near), (4, None), (5, ""), (6, f"{b}\n{b}"), (None, a)]
+    got = {r["doc_id"]: r for r in lines.deduplicate(table(spark, rows)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
+    assert got[2]["text"] == "\n".join(rows[1][1].split("\n")[1:]) and got[2]["removed"] == [0]
+    assert got[6]["text"] == "" and got[6]["n_removed"] == 2 and got[4]["text"] is None and got[4]["n_lines"] == 0
+    assert got[5]["n_lines"] == 1 and got[None]["text"] == a and got[1]["group"] == "g"
+    assert lines.deduplicate(table(spark, [])).count() == 0
+
+
+def test_line_links_against_brute_force(spark, monkeypatch):
+    from kinlake.llm.editing import distance
+
+    rng = random.Random(9)
+    forms = []
+    for _ in range(12):
+        base = prose(rng, 60).split()
+        for edits in (0, 1, 1, 2, 3):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            forms.append(" ".join(w))
+    forms = sorted(set(map(lines.normal_line, forms)))
+    sims = lines.simhashes(forms)
+    root = list(range(len(forms)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(forms)):
+        for j in range(i):
+            x = int(sims[i] ^ sims[j])
+            shares = any(x >> p & ((1 << (q - p)) - 1) == 0 for p, q in zip(lines._CUTS, lines._CUTS[1:]))
+            most = 10 * max(len(forms[i]), len(forms[j])) // 100
+            if shares and x.bit_count() <= lines.BITS and distance(forms[i], forms[j], most) <= most:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {frozenset(lines.line_id(forms[i]) for i in range(len(forms)) if find(i) == r) for r in range(len(forms)) if find(r) == r}
+    want = {g for g in want if len(g) > 1}
+    for crowd in (lines.CROWD, 1):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        _, groups = lines.find_duplicates(table(spark, list(enumerate(forms))))
+        got = defaultdict(set)
+        for r in groups.collect():
+            got[r["component"]].add(r["line_id"])
+        if crowd > 1:
+            assert want and {frozenset(g) for g in got.values()} == want
+        else:  # pairs within BLOCKS - 1 bits are found however crowded a bucket is
+            for i in range(len(forms)):
+                for j in range(i):
+                    if int(sims[i] ^ sims[j]).bit_count() < lines.BLOCKS and find(i) == find(j):
+                        assert any({lines.line_id(forms[i]), lines.line_id(forms[j])} <= g for g in got.values())
+
+
+def test_decontamination(spark):
+    rng = random.Random(12)
+    item = "The Quick, brown fox; jumps over " + prose(rng, 20)
+    docs = [(1, "İx " + prose(rng, 30) + " " + item.upper().replace(" ", "\n  ") + " end"), (2, prose(rng, 50)), (3, None), (4, ""), (5, item), (5, item), (None, item)]
+    bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "tiny", 0), (1, item, 0), (9, "", 0)], "item_id long, text string, doc_id int")
+    got = decontaminate.contaminated(table(spark, docs), bench).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == {(1, 1): 2, (5, 1): 4, (None, 1): 2}
+    hit = next(r for r in got if r["doc_id"] == 1)
+    assert decontaminate.normal(docs[0][1][hit["start"] : hit["end"]]) == decontaminate.normal(item) and hit["distance"] == 0
+    assert sorted(r["doc_id"] for r in decontaminate.clean(table(spark, docs[:6]), bench).collect()) == [2, 3, 4]
+    assert decontaminate.contaminated(table(spark, []), bench).count() == 0
+    assert decontaminate.contaminated(table(spark, docs), bench.where("false")).count() == 0
+
+
+def test_benchmark_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(i, prose(rng, 15)) for i in range(9)]
+    docs = table(spark, [(i, prose(rng, 5) + " " + t) for i, t in items])
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
+
+
+def test_bpe_operator(spark, corpus):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    codec = spark.sparkContext.broadcast(bpe.Codec(bpe.load(P.path("byte_bpe_50k.json"))))
+    rows = corpus + [(3, "one"), (None, "<|endoftext|> x")]
+    got = bpe.decode(bpe.encode(table(spark, rows), codec), codec).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["token_ids"] == t.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == (r["text"] or "") and r["group"] == "g"
+    assert bpe.encode(table(spark, []), codec).count() == 0
+
+
+def test_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8)).round(3)
+    x[50:120] = x[50]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (920, [0.0] * 8, 0), (940, [1.0, None] + [0.0] * 6, 0), (960, [float("nan")] * 8, 0), (980, [1.0, 2.0], 0), (None, [1.0] * 8, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
+    got = defaultdict(list)
+    for r in vectors.search(df, F.pmod("id", F.lit(20)) == 0, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 400, 20)) and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for q, found in got.items():
+        s = (x * x[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:20]
+        hits += len(set(want) & {v for v, _ in found})
+        assert all(abs(s[v] - y) < 1e-12 for v, y in found) and [(-y, v) for v, y in found] == sorted((-y, v) for v, y in found)
+    assert hits >= 0.95 * 20 * len(got)
+    few = vectors.search(df.where("vec_id < 5"), F.col("id") == 0, 20).collect()
+    assert [r["rank"] for r in few] == [1, 2, 3, 4]
+    assert vectors.search(df.where("false"), F.col("id") == 0, 20).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(14)
+    docs, labels = [], []
+    for i in range(240):
+        good = i % 4 != 0
+        docs.append((i, prose(rng, 60) if good else " ".join(w + "###" for w in prose(rng, 60).split())))
+        labels.append((i, int(good), 0))
+    docs += [(900, None), (901, ""), (902, prose(rng, 30_000)), (902, "fine words here")]
+    d = table(spark, docs).withColumn("source", F.when(F.col("doc_id") % 7 == 0, None).otherwise((F.col("doc_id") % 5).cast("string")))
+    known = spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.score(d, known).collect()
+    assert len(got) == 244
+    assert sum((r["posterior"] >= 0.5) == (r["doc_id"] % 4 != 0) for r in got if r["doc_id"] < 240) == 240
+    assert all(0 < r["host_share"] < 1 and 0 < r["path_share"] < 1 for r in got)
+    assert quality.keep_good(d, known).columns == d.columns
+    assert quality.score(table(spark, []), known).count() == 0
+    assert quality.score(d, known.where("false")).count() == 244
+
+
+def test_sparse_sites_shrink_to_the_levels_above(spark):
+    rows = [("big", "a", 5.0)] * 300 + [("big", "b", -5.0)] * 300 + [("bad", "c", -5.0)] * 400 + [("one", "d", -5.0)]
+    got = {(r["source"], r["lang"]): r for r in quality.posteriors(spark.createDataFrame(rows, "source string, lang string, evidence double"), "source", "lang").distinct().collect()}
+    assert got["big", "a"]["path_share"] > 0.9 and got["big", "b"]["path_share"] < 0.1 and 0.4 < got["big", "a"]["host_share"] < 0.6
+    assert got["one", "d"]["host_share"] > got["bad", "c"]["host_share"]
