@@ -25,7 +25,8 @@ from kinlake.llm.text import chunks, large_strings, spans, word_hashes
 from kinlake.llm.work import Scratch, by_runs, components, deal
 
 BLOCKS = 3
-BITS = 12
+BITS = 8
+HEAVIEST = 8
 CROWD = 512
 LEAST_CHARS = 20
 MEMBERS, CHARS = 1024, 4_000_000
@@ -44,18 +45,20 @@ def line_id(form: str) -> int:
 
 
 def simhashes(forms: list[str]) -> np.ndarray:
-    """A 64-bit SimHash of each form's words."""
+    """A 64-bit SimHash of each form's words, each weighed by its squared length: short words are those that unlike lines share."""
     out = np.zeros(len(forms), np.uint64)
     for row, data, offsets in chunks(pa.array(forms, pa.large_string())):
         starts, ends, first = spans(data, offsets)
         hashes = word_hashes(data, starts, ends)
+        weight = np.minimum(ends - starts, HEAVIEST).astype(np.int32) ** 2
         n = np.diff(first)
         some = np.flatnonzero(n)
         if not len(some):
             continue
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
-        packed = np.packbits(2 * sums > n[some, None], axis=1)
+        total = np.add.reduceat(weight, first[:-1][some])
+        sums = np.add.reduceat(bits * weight[:, None], first[:-1][some], axis=0)
+        packed = np.packbits(2 * sums > total[:, None], axis=1)
         out[row + some] = packed.view(np.uint64).ravel()
     return out
 
