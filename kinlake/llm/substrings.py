@@ -136,17 +136,19 @@ def find_repeats(df: DataFrame, length: int = 35, scratch: Scratch | None = None
     words of its texts go if they make a window, and only its first text takes part in the search.
     """
     docs = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = (scratch or Scratch(df.sparkSession)).keep(whole(docs))
+    scratch = scratch or Scratch(df.sparkSession)
+    every = scratch.keep(whole(docs))
     classes = every.where(F.col("n_words") >= length).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("leader"))
     every = every.join(classes, "digest", "left").select(
         "doc_id", "n_words", "digest", F.coalesce(F.col("copies") > 1, F.lit(False)).alias("copied"), F.col("leader").eqNullSafe(F.col("doc_id")).alias("leads")
     )
     found = anchors(docs, length)
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, so that the join back has plain shuffles on both sides, which adaptive execution can split
+    again = scratch.keep(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     seeds = found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list("at").alias("seeds"))
     seeds = seeds.join(every.where("leads").select("doc_id"), "doc_id", "left_semi")
     windows = extend(docs.join(seeds, "doc_id"), length)
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    twice = scratch.keep(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
     marks = windows.join(twice, "window").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     marks = marks.join(every.where("not copied").select("doc_id"), "doc_id", "left_semi")
     return every, docs.join(marks, "doc_id")
