@@ -89,3 +89,12 @@ def five_points(points: Column) -> Column:
 
 def yaw_estimate(five: Column) -> Column:
     return turn_ratios(five[0], five[1], five[2])[0]
+
+
+# The six points around each eye, from the outer corner, in the same mesh.
+RIGHT_EYE_RING = (33, 159, 158, 133, 153, 145)
+LEFT_EYE_RING = (362, 380, 374, 263, 386, 385)
+
+
+def eye_rings(points: Column) -> tuple[Column, Column]:
+    return tuple(F.array(*(points[i] for i in ring)) for ring in (RIGHT_EYE_RING, LEFT_EYE_RING))

@@ -497,3 +497,77 @@ def request_predicates(spark, sf_dir):
     version = F.when(F.col("face_id") % 4 == 1, F.lit("")).when(F.col("face_id") % 2 == 1, F.lit("m2")).otherwise(F.lit("m1"))
     path = keys.normal_path(F.concat_ws("//", F.col("user_id").cast("string"), F.col("photo_id").cast("string")))
     return f.select("user_id", "face_id", path.alias("path"), keys.valid_tenant(tenant).alias("tenant_ok"), keys.compatible(version, F.lit("m1")).alias("compatible"))
+
+
+def _keep(spark: SparkSession):
+    """Writes a table under the shared folder, or the warehouse where none is named, and reads it again."""
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = f"{root.rstrip('/')}/kinlake-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return keep
+
+
+@query()
+def exemplar_fold(spark, sf_dir):
+    from kinlake.operators.exemplars import fold_exemplars
+
+    return fold_exemplars(fx.all_members(fx.faces(spark, sf_dir)), ["face_id"])
+
+
+@query()
+def hdbscan_labels(spark, sf_dir):
+    from kinlake.operators.density import density_labels
+
+    return density_labels(_members(spark, sf_dir), ["user_id", "cluster_id"])
+
+
+@query()
+def split_candidates(spark, sf_dir):
+    from kinlake.operators.density import density_labels
+
+    m = _members(spark, sf_dir)
+    return audit.splits(m, density_labels(m, ["user_id", "cluster_id"]), _shields(spark, sf_dir), m.where("false").select("user_id", "cluster_id"))
+
+
+@query()
+def merge_priority(spark, sf_dir):
+    m, s, sizes, links, conflicts = _audit(spark, sf_dir)
+    shields = _shields(spark, sf_dir)
+    return audit.merge_priority(audit.mutual_merges(s, sizes, shields, links, conflicts), audit.fragment_bridges(m, sizes, shields, links, conflicts))
+
+
+@query()
+def new_people(spark, sf_dir):
+    return recovery.new_people(fx.faces(spark, sf_dir))
+
+
+@query()
+def incremental_replay(spark, sf_dir):
+    from kinlake.streaming.incremental import replay
+
+    return replay(fx.faces(spark, sf_dir))
+
+
+@query()
+def one_to_one_association(spark, sf_dir):
+    from kinlake.operators.association import one_to_one
+
+    d, c = F.col("d"), F.col("c")
+    nose = F.struct(((c["x1"] + c["x2"]) / 2).alias("x"), ((c["y1"] + c["y2"]) / 2).alias("y"))
+    scored = _boxes(spark, sf_dir).select("photo_id", F.col("det").alias("det_index"), F.col("cand").alias("cand_index"), geometry.association(d, c, nose, F.lit(True)).alias("score"), ((d["x2"] - d["x1"]) * (d["y2"] - d["y1"])).alias("area"))
+    return one_to_one(scored.where("score is not null"))
+
+
+@query()
+def run_consolidation(spark, sf_dir):
+    from kinlake.config import Thresholds
+    from kinlake.plans.consolidate import consolidate
+
+    state, _, _ = consolidate(_state(spark, sf_dir), _keep(spark), Thresholds(max_actions=2))
+    return state.faces.select("user_id", "face_id", "cluster_id", "assignment_state")
