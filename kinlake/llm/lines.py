@@ -107,12 +107,12 @@ def _forest(ids: np.ndarray, hashes: np.ndarray, bits: int) -> list[tuple[int, i
     return links
 
 
-def candidates(nodes: DataFrame, bits: int) -> DataFrame:
+def candidates(nodes: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     """(a, b): for each bucket links that connect its nodes within `bits` differing bits."""
     keyed = nodes.select(
         "line_id", "simhash", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _field("simhash", _CUTS[b], _CUTS[b + 1]).alias("v")) for b in range(BLOCKS)))).alias("k")
     ).select("line_id", "simhash", (F.col("k.v") * BLOCKS + F.col("k.b")).alias("bucket"), F.col("k.b").alias("b"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = scratch.keep(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes, "bucket")
     # the bits of the other blocks, in order, cut into as many sub-blocks
     inner = F.array(*(
@@ -213,7 +213,7 @@ def find_duplicates(docs: DataFrame, percent: int = 90, bits: int = BITS, least_
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.keep(line_table(docs, least_chars))
     nodes = scratch.keep(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("size").alias("size")))
-    coarse = components(spark, candidates(nodes.select("line_id", "simhash"), bits), scratch)
+    coarse = components(spark, candidates(nodes.select("line_id", "simhash"), bits, scratch), scratch)
     member = nodes.select(F.col("line_id").alias("id"), F.col("size").cast("long").alias("weight"))
     dealt = deal(coarse, member, MEMBERS, CHARS)
     texts = forms_of(docs, coarse.select("id"), least_chars).join(nodes.select(F.col("line_id").alias("id"), "simhash"), "id")

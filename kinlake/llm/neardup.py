@@ -89,15 +89,17 @@ def rolling_row(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def neighbourhoods(classes: DataFrame) -> DataFrame:
-    """Links (a, b) from every member of a region of the forest to its first; classes: doc_id, keys."""
+def neighbourhoods(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) from every member of a region of the forest to its first; classes: doc_id, keys.
+
+    The counts are tables of their own, so that the joins back can be split where a region is crowded."""
     spots = classes.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", 2 * t).alias("near"), F.get("keys", 2 * t + 1).alias("deep")))).alias("tree", "s"))
     spots = spots.select("doc_id", F.col("s.near").alias("near"), F.col("s.deep").alias("deep"))
-    near = spots.groupBy("near").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    near = scratch.keep(spots.groupBy("near").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     shared = spots.join(near, "near")
     links = shared.where(F.col("n") <= CROWD).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     dense = shared.where(F.col("n") > CROWD).select("doc_id", "deep")
-    deep = dense.groupBy("deep").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    deep = scratch.keep(dense.groupBy("deep").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     more = dense.join(deep, "deep").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     return links.unionByName(more).where("a <> b").distinct()
 
@@ -172,7 +174,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
     members = signed_docs.select("doc_id", "n_shingles", "set_id")
     leads = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("lead"))
     classes = signed_docs.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys")
-    coarse = components(spark, neighbourhoods(classes), scratch)
+    coarse = components(spark, neighbourhoods(classes, scratch), scratch)
     dealt = deal(coarse, classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("weight")), BLOCK, SHINGLES)
     links = scratch.keep(verified(docs.withColumnRenamed("doc_id", "id").join(dealt, "id"), k, percent))
     joined = components(spark, links, scratch)

@@ -152,7 +152,7 @@ def read_heads(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInArrow(run, HEADS)
 
 
-def resolve(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
+def resolve(heads: DataFrame, least_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Each record's type and the page whose response it refers to, from headers alone.
 
     Of records with equal digest and size, of at least least_bytes, the one with the largest
@@ -161,7 +161,8 @@ def resolve(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
     one that adaptive execution splits where one payload has many records.
     """
     keys = ["payload_digest", "payload_bytes"]
-    original = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*keys).agg(F.max("page_id").alias("original"))
+    original = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*keys).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    original = (scratch or Scratch(heads.sparkSession)).keep(original)  # so that the join has plain shuffles on both sides
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return heads.drop("record_type", "refers_to").join(original, keys, "left").select(
         "page_id",
@@ -172,7 +173,7 @@ def resolve(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = 0) -> None:
+def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = 0, scratch: Scratch | None = None) -> None:
     """Reads the archives of source and writes them to target with revisits resolved and fresh headers.
 
     Payloads travel once, as gzip members, to meet the decision on their record.
@@ -204,7 +205,7 @@ def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = 0)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
     # a decision holds for all records of a page and payload, so each is joined once
-    decided = resolve(read_heads(spark, source), least_bytes).drop("url").distinct()
+    decided = resolve(read_heads(spark, source), least_bytes, scratch).drop("url").distinct()
     bodies = _archives(spark, source).mapInArrow(split, "p long, url string, d string, body binary")
     bodies = bodies.join(decided, F.col("p").eqNullSafe(F.col("page_id")) & (F.col("d") == F.col("payload_digest")))
     _write(bodies.select("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "body").mapInArrow(join, "member binary"), target)
@@ -218,5 +219,5 @@ def deduplicate(pages: DataFrame, least_bytes: int = 0, scratch: Scratch | None
     scratch = scratch or Scratch(pages.sparkSession)
     raw, final = scratch.path(), scratch.path()
     write_pages(pages, raw)
-    rewrite(pages.sparkSession, raw, final, least_bytes)
+    rewrite(pages.sparkSession, raw, final, least_bytes, scratch)
     return read_heads(pages.sparkSession, final), final

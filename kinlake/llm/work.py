@@ -60,13 +60,15 @@ def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None =
     number, seen = scratch.count, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a table of its own, so that the join back has plain shuffles on both sides, which can be split
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("u > m").select("u", F.col("m").alias("v"))).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = scratch.keep(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(number)
+        scratch.drop(scratch.count - 1)
         number = scratch.count
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
