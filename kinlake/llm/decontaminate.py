@@ -129,7 +129,7 @@ def _places(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int
     return [(at[a], at[b - 1] + 1) for _, _, a, b in found]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, least_chars: int = LEAST_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end) of every passage within the error budget of an item.
 
     Texts are compared in lower case with one space for all between words; distance counts edits
@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, leas
     return reduce(DataFrame.unionByName, parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
     """The documents without a match; their columns are kept."""
     hit = contaminated(docs, benchmark, rate).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
