@@ -29,7 +29,7 @@ BITS = 8
 HEAVIEST = 8
 CROWD = 512
 LEAST_CHARS = 20
-MEMBERS, CHARS = 1024, 4_000_000
+MEMBERS, CHARS = 256, 1_000_000
 FILTER_BITS, PROBES = 24, (0, 20, 40)
 _OTHER = re.compile(r"[\W_]+")
 _DIGIT = re.compile(r"\d")
@@ -189,11 +189,13 @@ def confirmed(texts: DataFrame, percent: int, bits: int) -> DataFrame:
         sizes = np.array([len(f) for f in forms])
         alone, label, links = group["i"][0] == group["j"][0], np.arange(len(ids)), []
         for i in range(1, len(ids)):
-            near = (label[:i] != label[i]) & (np.bitwise_count(hashes[:i] ^ hashes[i]) <= bits) & (parts[:, :i] == parts[:, i, None]).any(0)
+            apart = np.bitwise_count(hashes[:i] ^ hashes[i])
+            near = (label[:i] != label[i]) & (apart <= bits) & (parts[:, :i] == parts[:, i, None]).any(0)
             near &= 100 * np.abs(sizes[:i] - sizes[i]) <= (100 - percent) * np.maximum(sizes[:i], sizes[i])
             if not alone:
                 near &= blocks[:i] != blocks[i]
-            for x in np.flatnonzero(near):
+            near = np.flatnonzero(near)
+            for x in near[np.argsort(apart[near], kind="stable")]:  # the likeliest first, since one link spares the rest of a group
                 most = (100 - percent) * max(sizes[i], sizes[x]) // 100
                 if label[x] != label[i] and distance(forms[i], forms[x], int(most)) <= most:
                     links.append((int(ids[i]), int(ids[x])))
