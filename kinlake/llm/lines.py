@@ -1,18 +1,16 @@
 """Fuzzy line dedup: one occurrence stays of each connected group of near-equal lines.
 
-Lines are normalised (lower case, digits as 0, one space for all else between words); lines with
-one form are one node. Each node has a 64-bit SimHash of its words, cut into BLOCKS blocks.
-Nodes join where a block is equal, which finds every pair of at most BLOCKS - 1 differing bits
-(pigeonhole) and most pairs of more. A bucket of more than CROWD nodes is cut again by the
-other bits: a pair in it that differs in at most BLOCKS - 1 bits must agree on a sub-block too.
-Within a bucket only a spanning forest of the pairs within `bits` differing bits is kept; the
+Lines are normalised (A-Z lower, digits as 0, one space for all other ASCII between words); lines
+with one form are one node. Each node has a 64-bit SimHash of its words, cut into BLOCKS blocks.
+Nodes join where two blocks are equal, which finds every pair of at most BLOCKS - 2 differing bits
+(pigeonhole) and many pairs of more; a key has about 32 bits, so unlike lines rarely meet. A
+bucket of more than CROWD nodes is cut again by the other bits: a pair in it that differs in at
+most BLOCKS - 2 bits must agree on one of BLOCKS - 1 parts of them too. Within a bucket only a spanning forest of the pairs within `bits` differing bits is kept; the
 components of these are where links are confirmed by edit similarity, on the lines themselves.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,52 +19,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm.editing import distance
-from kinlake.llm.text import chunks, large_strings, spans, word_hashes
+from kinlake.llm.text import chunks, mix, spans, word_hashes
 from kinlake.llm.work import Scratch, by_runs, components, deal
 
-BLOCKS = 3
+BLOCKS = 4
 BITS = 8
 HEAVIEST = 8
 CROWD = 512
 LEAST_CHARS = 20
 MEMBERS, CHARS = 256, 1_000_000
 FILTER_BITS, PROBES = 24, (0, 20, 40)
-_OTHER = re.compile(r"[\W_]+")
-_DIGIT = re.compile(r"\d")
+_FORM = np.full(256, 32, np.uint8)
+_FORM[128:] = np.arange(128, 256)
+_FORM[[*b"abcdefghijklmnopqrstuvwxyz"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
+_FORM[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
+_FORM[[*b"0123456789"]] = 48
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
-def normal_line(line: str) -> str:
-    return _OTHER.sub(" ", _DIGIT.sub("0", line.lower())).strip()
-
-
-def line_id(form: str) -> int:
-    return int.from_bytes(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def simhashes(forms: list[str]) -> np.ndarray:
-    """A 64-bit SimHash of each form's words, each weighed by its squared length: short words are those that unlike lines share."""
-    out = np.zeros(len(forms), np.uint64)
-    for row, data, offsets in chunks(pa.array(forms, pa.large_string())):
-        starts, ends, first = spans(data, offsets)
-        hashes = word_hashes(data, starts, ends)
-        weight = np.minimum(ends - starts, HEAVIEST).astype(np.int32) ** 2
-        n = np.diff(first)
-        some = np.flatnonzero(n)
-        if not len(some):
-            continue
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.add.reduceat(weight, first[:-1][some])
-        sums = np.add.reduceat(bits * weight[:, None], first[:-1][some], axis=0)
-        packed = np.packbits(2 * sums > total[:, None], axis=1)
-        out[row + some] = packed.view(np.uint64).ravel()
-    return out
-
-
-def eligible(text: str, least_chars: int) -> tuple[list[int], list[str]]:
-    """Numbers and forms of the lines that are long enough to be compared."""
-    found = [(i, f) for i, f in enumerate(map(normal_line, text.split("\n"))) if len(f) >= least_chars]
-    return [i for i, _ in found], [f for _, f in found]
+class Lines:
+    """The lines of a chunk of texts that are compared: owner (the text), number in it, size of the form, and words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least_chars: int):
+        """Keeps lines whose form has at least least_chars bytes."""
+        breaks = np.flatnonzero(data == 10)
+        texts = np.arange(len(offsets) - 1)
+        bounds = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")  # a line starts with its text or after a newline
+        owner = np.sort(np.concatenate([texts, np.searchsorted(offsets, breaks, "right") - 1]), kind="stable")
+        number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        self.data = _FORM[data]
+        edges = np.append(bounds, len(data))
+        starts, ends, first = spans(self.data, edges)
+        words = np.diff(first)
+        lengths = np.concatenate([[0], np.cumsum(ends - starts)])
+        size = lengths[first[1:]] - lengths[first[:-1]] + np.maximum(words - 1, 0)
+        keep = np.flatnonzero(size >= max(least_chars, 1))
+        self.owner, self.number, self.size = owner[keep], number[keep], size[keep]
+        self.low, self.high = first[:-1][keep], first[1:][keep]
+        self.starts, self.ends = starts, ends
+        self.hashes = word_hashes(self.data, starts, ends)
+
+    def ids(self) -> np.ndarray:
+        """A 64-bit hash of each form: a sum over its words, each mixed with its place."""
+        n = self.high - self.low
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        words = self.hashes[np.repeat(self.low, n) + place]
+        mixed = mix(words ^ mix(place.astype(np.uint64) + np.uint64(1)))
+        return mix(np.add.reduceat(mixed, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64) if len(n) else np.zeros(0, np.int64)
+
+    def simhashes(self) -> np.ndarray:
+        """A 64-bit SimHash of each form's words, each weighed by its squared length: short words are those that unlike lines share."""
+        n = self.high - self.low
+        if not len(n):
+            return np.zeros(0, np.uint64)
+        out = np.zeros(len(n), np.uint64)
+        at = 0
+        while at < len(n):  # some 64,000 words at a time
+            stop = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 16)) + at)
+            m = n[at:stop]
+            begin = np.cumsum(m) - m
+            word = np.repeat(self.low[at:stop], m) + np.arange(int(m.sum())) - np.repeat(begin, m)
+            weight = np.minimum(self.ends[word] - self.starts[word], HEAVIEST).astype(np.int32) ** 2
+            bits = np.unpackbits(self.hashes[word].view(np.uint8).reshape(-1, 8), axis=1)
+            sums = np.add.reduceat(bits * weight[:, None], begin, axis=0)
+            total = np.add.reduceat(weight, begin)
+            out[at:stop] = np.packbits(2 * sums > total[:, None], axis=1).view(np.uint64).ravel()
+            at = stop
+        return out
+
+    def form(self, i: int) -> str:
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[self.low[i] : self.high[i]], self.ends[self.low[i] : self.high[i]], strict=True)).decode("utf-8", "replace")
 
 
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -74,19 +96,13 @@ def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, owner, number, forms = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
-            texts = large_strings(batch.column(1))
-            for row, text in enumerate(texts):
-                n, f = eligible(text.as_py(), least_chars)
-                owner += [row] * len(n)
-                number += n
-                forms += f
-                if len(forms) > 20_000 or row == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([line_id(x) for x in forms], pa.int64()), pa.array(ids[owner], pa.int64()), pa.array(number, pa.int32()), pa.array(simhashes(forms).view(np.int64)), pa.array([len(x) for x in forms], pa.int32())],
-                        ["line_id", "doc_id", "line_no", "simhash", "size"],
-                    )
-                    owner, number, forms = [], [], []
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, data, offsets in chunks(batch.column(1)):
+                x = Lines(data, offsets, least_chars)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.ids()), pa.array(ids[row + x.owner], pa.int64()), pa.array(x.number.astype(np.int32)), pa.array(x.simhashes().view(np.int64)), pa.array(x.size.astype(np.int32))],
+                    ["line_id", "doc_id", "line_no", "simhash", "size"],
+                )
 
     return docs.mapInArrow(run, "line_id long, doc_id long, line_no int, simhash long, size int")
 
@@ -109,23 +125,24 @@ def _forest(ids: np.ndarray, hashes: np.ndarray, bits: int) -> list[tuple[int, i
 
 def candidates(nodes: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     """(a, b): for each bucket links that connect its nodes within `bits` differing bits."""
-    keyed = nodes.select(
-        "line_id", "simhash", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _field("simhash", _CUTS[b], _CUTS[b + 1]).alias("v")) for b in range(BLOCKS)))).alias("k")
-    ).select("line_id", "simhash", (F.col("k.v") * BLOCKS + F.col("k.b")).alias("bucket"), F.col("k.b").alias("b"))
+    both = [(i, j) for i in range(BLOCKS) for j in range(i)]
+    cut = [_field("simhash", a, b) for a, b in zip(_CUTS, _CUTS[1:])]
+    key = lambda n, i, j: F.struct(F.lit(n).alias("n"), ((cut[i] * (1 << 16) + cut[j]) * len(both) + n).alias("v"))
+    keyed = nodes.select("line_id", "simhash", F.explode(F.array(*(key(n, i, j) for n, (i, j) in enumerate(both)))).alias("k"))
+    keyed = keyed.select("line_id", "simhash", F.col("k.v").alias("bucket"), F.col("k.n").alias("pair"))
     sizes = scratch.keep(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes, "bucket")
-    # the bits of the other blocks, in order, cut into as many sub-blocks
-    inner = F.array(*(
-        F.array(*(
-            F.lit(s).cast("long") + BLOCKS * sum(
-                (_field("simhash", at, at + 1) * F.lit(1 << place) for place, at in enumerate([x for x in range(64) if not _CUTS[b] <= x < _CUTS[b + 1]][s::BLOCKS])), F.lit(0).cast("long")
-            )
-            for s in range(BLOCKS)
-        ))
-        for b in range(BLOCKS)
-    ))
+    parts = BLOCKS - 1
+
+    def inner(i: int, j: int):
+        """The bits of the other blocks, dealt to as many parts as a pair needs to agree on one."""
+        rest = [x for x in range(64) if not (_CUTS[i] <= x < _CUTS[i + 1] or _CUTS[j] <= x < _CUTS[j + 1])]
+        part = lambda s: sum((_field("simhash", at, at + 1) * F.lit(1 << place) for place, at in enumerate(rest[s::parts])), F.lit(0).cast("long"))
+        return F.array(*(part(s) * parts + s for s in range(parts)))
+
     small = met.where(F.col("n") <= CROWD).select("line_id", "simhash", "bucket", F.lit(0).cast("long").alias("inner"))
-    large = met.where(F.col("n") > CROWD).select("line_id", "simhash", "bucket", F.explode(F.get(inner, F.col("b"))).alias("inner"))
+    cuts = F.array(*(inner(i, j) for i, j in both))
+    large = met.where(F.col("n") > CROWD).select("line_id", "simhash", "bucket", F.explode(F.get(cuts, F.col("pair"))).alias("inner"))
 
     def run(bucket: pa.Table) -> pa.RecordBatch | None:
         if bucket.num_rows < 2:
@@ -168,19 +185,20 @@ def forms_of(docs: DataFrame, wanted: DataFrame, least_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = marks.value
         for batch in batches:
-            for text in large_strings(batch.column(1)):
-                _, forms = eligible(text.as_py(), least_chars)
-                ids = np.array([line_id(f) for f in forms], np.int64)
+            for _, data, offsets in chunks(batch.column(1)):
+                x = Lines(data, offsets, least_chars)
+                ids = x.ids()
                 keep = np.flatnonzero(may_contain(filter_, ids))
+                keep = keep[np.unique(ids[keep], return_index=True)[1]]
                 if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([forms[i] for i in keep], pa.string())], ["id", "form"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([x.form(i) for i in keep], pa.string())], ["id", "form"])
 
     found = docs.mapInArrow(run, "id long, form string")
     return found.groupBy("id").agg(F.min("form").alias("form")).join(wanted, "id", "left_semi")
 
 
 def confirmed(texts: DataFrame, percent: int, bits: int) -> DataFrame:
-    """(a, b): a spanning forest of the lines that share a block, are within `bits` bits, and are similar."""
+    """(a, b): a spanning forest of the lines that share two blocks, are within `bits` bits, and are similar."""
 
     def run(group: pa.Table) -> pa.RecordBatch | None:
         ids, forms, blocks = group["id"].to_numpy(), group["form"].to_pylist(), group["block"].to_numpy()
@@ -190,7 +208,7 @@ def confirmed(texts: DataFrame, percent: int, bits: int) -> DataFrame:
         alone, label, links = group["i"][0] == group["j"][0], np.arange(len(ids)), []
         for i in range(1, len(ids)):
             apart = np.bitwise_count(hashes[:i] ^ hashes[i])
-            near = (label[:i] != label[i]) & (apart <= bits) & (parts[:, :i] == parts[:, i, None]).any(0)
+            near = (label[:i] != label[i]) & (apart <= bits) & ((parts[:, :i] == parts[:, i, None]).sum(0) >= 2)
             near &= 100 * np.abs(sizes[:i] - sizes[i]) <= (100 - percent) * np.maximum(sizes[:i], sizes[i])
             if not alone:
                 near &= blocks[:i] != blocks[i]
@@ -231,7 +249,7 @@ def find_duplicates(docs: DataFrame, percent: int = 90, bits: int = BITS, least_
 def deduplicate(docs: DataFrame, percent: int = 90, bits: int = BITS, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """docs with all but one occurrence of every group of near-equal lines cut from the texts, and n_lines, n_removed and removed (line numbers).
 
-    Lines end in a newline. Two forms are linked if they share a SimHash block, differ in at most
+    Lines end in a newline. Two forms are linked if they share two SimHash blocks, differ in at most
     `bits` of 64 bits, and 100 * edit distance <= (100 - percent) * the longer length; groups are
     connected by links. The occurrence with the smallest (doc_id, line number) stays. Lines whose
     form is shorter than least_chars always stay. A null text stays null, with no line; an empty

@@ -89,8 +89,13 @@ def test_winnowing_owner_is_the_last_least():
 
 
 def test_simhash_bits_and_forest():
-    a = lines.simhashes(["the quick brown fox jumps", "the quick brown fox jumps", ""])
-    assert a[0] == a[1] != a[2] == 0
+    texts = ["The quick, brown fox jumps 12\n\n__short\nthe quick BROWN fox-jumps 93", None, "é É x\n"]
+    ((_, data, offsets),) = text.chunks(pa.array(texts))
+    x = lines.Lines(data, offsets, 1)
+    assert x.owner.tolist() == [0, 0, 0, 2] and x.number.tolist() == [0, 2, 3, 0]
+    assert [x.form(i) for i in range(4)] == ["the quick brown fox jumps 00", "short", "the quick brown fox jumps 00", "é É x"]
+    a, ids = x.simhashes(), x.ids()
+    assert a[0] == a[2] != a[1] and ids[0] == ids[2] != ids[1] and x.size.tolist() == [28, 5, 28, 7]
     assert len(lines._forest(np.arange(3), np.array([0, 1, 3], np.uint64), 1)) == 2
 
 
