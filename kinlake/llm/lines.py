@@ -1,12 +1,12 @@
 """Fuzzy line dedup: one occurrence stays of each connected group of near-equal lines.
 
 Lines are normalised (A-Z lower, digits as 0, one space for all other ASCII between words); lines
-with one form are one node. Each node has a 64-bit SimHash of its words, cut into BLOCKS blocks.
-Nodes join where two blocks are equal, which finds every pair of at most BLOCKS - 2 differing bits
-(pigeonhole) and many pairs of more; a key has about 32 bits, so unlike lines rarely meet. A
-bucket of more than CROWD nodes is cut again by the other bits: a pair in it that differs in at
-most BLOCKS - 2 bits must agree on one of BLOCKS - 1 parts of them too. Within a bucket only a spanning forest of the pairs within `bits` differing bits is kept; the
-components of these are where links are confirmed by edit similarity, on the lines themselves.
+with one form are one node. Each node has KEYS keys of ROWS minhashes of its character n-grams, so
+two nodes meet under a key with the ROWS-th power of their n-grams' resemblance, which a few edits
+lower little. Under each key nodes are linked that are within the edit similarity, and nothing
+else decides: pairs whose lengths or counts of characters differ by more than the edits allow are
+left out before, which loses none. A key of more than CROWD nodes, or of more than CHARS
+characters, is dealt to tasks by pairs of blocks, so any two nodes under it meet all the same.
 """
 
 from __future__ import annotations
@@ -19,22 +19,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm.editing import distance
-from kinlake.llm.text import chunks, mix, spans, word_hashes
+from kinlake.llm.text import _CHAR, chunks, mix, rolling, spans, word_hashes
 from kinlake.llm.work import Scratch, by_runs, components, deal
 
-BLOCKS = 4
-BITS = 8
-HEAVIEST = 8
-CROWD = 512
+KEYS, ROWS = 12, 2
+#: Characters of an n-gram of short lines, and of long ones; between the two lengths a line has keys of both, since near lines' lengths differ.
+GRAMS, SHORT, LONG = (5, 6), 100, 89
+COUNTS = 32
+CROWD, CHARS = 512, 1_000_000
 LEAST_CHARS = 20
-MEMBERS, CHARS = 256, 1_000_000
 FILTER_BITS, PROBES = 24, (0, 20, 40)
 _FORM = np.full(256, 32, np.uint8)
 _FORM[128:] = np.arange(128, 256)
 _FORM[[*b"abcdefghijklmnopqrstuvwxyz"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
 _FORM[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
 _FORM[[*b"0123456789"]] = 48
-_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+_TURNS = (mix(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of n from each start, and where each run begins among them."""
+    begin = np.cumsum(n) - n
+    return np.repeat(starts - begin, n) + np.arange(int(n.sum())), begin
 
 
 class Lines:
@@ -67,97 +73,114 @@ class Lines:
         mixed = mix(words ^ mix(place.astype(np.uint64) + np.uint64(1)))
         return mix(np.add.reduceat(mixed, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64) if len(n) else np.zeros(0, np.int64)
 
-    def simhashes(self) -> np.ndarray:
-        """A 64-bit SimHash of each form's words, each weighed by its squared length: short words are those that unlike lines share."""
-        n = self.high - self.low
-        if not len(n):
-            return np.zeros(0, np.uint64)
-        out = np.zeros(len(n), np.uint64)
-        at = 0
-        while at < len(n):  # some 64,000 words at a time
-            stop = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 16)) + at)
-            m = n[at:stop]
-            begin = np.cumsum(m) - m
-            word = np.repeat(self.low[at:stop], m) + np.arange(int(m.sum())) - np.repeat(begin, m)
-            weight = np.minimum(self.ends[word] - self.starts[word], HEAVIEST).astype(np.int32) ** 2
-            bits = np.unpackbits(self.hashes[word].view(np.uint8).reshape(-1, 8), axis=1)
-            sums = np.add.reduceat(bits * weight[:, None], begin, axis=0)
-            total = np.add.reduceat(weight, begin)
-            out[at:stop] = np.packbits(2 * sums > total[:, None], axis=1).view(np.uint64).ravel()
-            at = stop
-        return out
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' bytes with one space after each, and where each form starts in them."""
+        inner = self.data != 32
+        inner[1:] |= inner[:-1].copy()
+        places = np.cumsum(inner) - inner
+        return self.data[inner], places[self.starts[self.low]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each form's characters, and their counts (up to 255) in COUNTS classes; an edit changes two counts by one at most."""
+        data, starts = self._joined()
+        at, _ = _ranges(starts, self.size)
+        byte, row = data[at], np.repeat(np.arange(len(self.size)), self.size)
+        lead = (byte & 0xC0) != 0x80  # one for each code point
+        table = np.bincount(row[lead] * COUNTS + byte[lead] % COUNTS, minlength=len(self.size) * COUNTS).reshape(-1, COUNTS)
+        return table.sum(1), np.minimum(table, 255).astype(np.uint8)
+
+    def keys(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) for each key of each form."""
+        data, starts = self._joined()
+        lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for kind, (gram, own) in enumerate(zip(GRAMS, (chars < SHORT, chars >= LONG), strict=True)):
+            own = np.flatnonzero(own & (self.size >= gram))
+            if not len(own):
+                continue
+            hashes = (rolling(_CHAR[data], gram) >> np.uint64(32)).astype(np.uint32)
+            at, begin = _ranges(starts[own], self.size[own] - gram + 1)
+            hashes = hashes[at]
+            for k in range(KEYS):
+                key = np.full(len(own), kind * KEYS + k + 1, np.uint64)
+                for turn in _TURNS[k * ROWS : (k + 1) * ROWS]:
+                    key = mix(key ^ mix(np.minimum.reduceat(hashes * turn, begin).astype(np.uint64) + np.uint64(1)))
+                lines.append(own)
+                keys.append(key)
+        return np.concatenate(lines), np.concatenate(keys).view(np.int64)
 
     def form(self, i: int) -> str:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[self.low[i] : self.high[i]], self.ends[self.low[i] : self.high[i]], strict=True)).decode("utf-8", "replace")
 
 
 def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(line_id, doc_id, line_no, simhash, size) for every line that is compared."""
+    """(line_id, doc_id, line_no, chars, counts) for every line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, data, offsets in chunks(batch.column(1)):
                 x = Lines(data, offsets, least_chars)
+                chars, counts = x.counts()
+                counts = pa.array([c.tobytes() for c in counts], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.ids()), pa.array(ids[row + x.owner], pa.int64()), pa.array(x.number.astype(np.int32)), pa.array(x.simhashes().view(np.int64)), pa.array(x.size.astype(np.int32))],
-                    ["line_id", "doc_id", "line_no", "simhash", "size"],
+                    [pa.array(x.ids()), pa.array(ids[row + x.owner], pa.int64()), pa.array(x.number.astype(np.int32)), pa.array(chars.astype(np.int32)), counts],
+                    ["line_id", "doc_id", "line_no", "chars", "counts"],
                 )
 
-    return docs.mapInArrow(run, "line_id long, doc_id long, line_no int, simhash long, size int")
+    return docs.mapInArrow(run, "line_id long, doc_id long, line_no int, chars int, counts binary")
+
+
+def key_table(docs: DataFrame, least_chars: int) -> DataFrame:
+    """(id, key) of every line that is compared; lines of one form in several texts give the same rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column(1)):
+                x = Lines(data, offsets, least_chars)
+                line, key = x.keys(x.counts()[0])
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids()[line]), pa.array(key)], ["id", "key"])
+
+    return docs.mapInArrow(run, "id long, key long")
 
 
 def _field(column: str, low: int, high: int):
     return F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
-def _forest(ids: np.ndarray, hashes: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within `bits` differing bits."""
-    links, label = [], np.arange(len(ids))
-    for i in range(1, len(ids)):
-        near = np.flatnonzero((np.bitwise_count(hashes[:i] ^ hashes[i]) <= bits) & (label[:i] != label[i]))
-        while len(near):
-            links.append((int(ids[near[0]]), int(ids[i])))
-            label[label == label[near[0]]] = label[i]
-            near = near[label[near] != label[i]]
-    return links
-
-
-def candidates(nodes: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
-    """(a, b): for each bucket links that connect its nodes within `bits` differing bits."""
-    both = [(i, j) for i in range(BLOCKS) for j in range(i)]
-    cut = [_field("simhash", a, b) for a, b in zip(_CUTS, _CUTS[1:])]
-    key = lambda n, i, j: F.struct(F.lit(n).alias("n"), ((cut[i] * (1 << 16) + cut[j]) * len(both) + n).alias("v"))
-    keyed = nodes.select("line_id", "simhash", F.explode(F.array(*(key(n, i, j) for n, (i, j) in enumerate(both)))).alias("k"))
-    keyed = keyed.select("line_id", "simhash", F.col("k.v").alias("bucket"), F.col("k.n").alias("pair"))
-    sizes = scratch.keep(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    met = keyed.join(sizes, "bucket")
-    parts = BLOCKS - 1
-
-    def inner(i: int, j: int):
-        """The bits of the other blocks, dealt to as many parts as a pair needs to agree on one."""
-        rest = [x for x in range(64) if not (_CUTS[i] <= x < _CUTS[i + 1] or _CUTS[j] <= x < _CUTS[j + 1])]
-        part = lambda s: sum((_field("simhash", at, at + 1) * F.lit(1 << place) for place, at in enumerate(rest[s::parts])), F.lit(0).cast("long"))
-        return F.array(*(part(s) * parts + s for s in range(parts)))
-
-    small = met.where(F.col("n") <= CROWD).select("line_id", "simhash", "bucket", F.lit(0).cast("long").alias("inner"))
-    cuts = F.array(*(inner(i, j) for i, j in both))
-    large = met.where(F.col("n") > CROWD).select("line_id", "simhash", "bucket", F.explode(F.get(cuts, F.col("pair"))).alias("inner"))
-
-    def run(bucket: pa.Table) -> pa.RecordBatch | None:
-        if bucket.num_rows < 2:
-            return None
-        hashes, at = np.unique(bucket["simhash"].to_numpy().view(np.uint64), return_inverse=True)
-        ids = bucket["line_id"].to_numpy()
-        first = np.full(len(hashes), np.iinfo(np.int64).max)
-        np.minimum.at(first, at, ids)
-        links = _forest(first, hashes, bits) + [(int(a), int(b)) for a, b in zip(first[at], ids, strict=True) if a != b]
-        if not links:
+def _possible(chars: np.ndarray, counts: np.ndarray, i: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the first i may be within the edits that i and they allow, and how far their counts are apart."""
+    most = (100 - percent) * np.maximum(chars[:i], chars[i]) // 100
+    apart = np.abs(counts[:i] - counts[i]).sum(1)
+    return (np.abs(chars[:i] - chars[i]) <= most) & (apart <= 2 * most), apart
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+    return group["id"].to_numpy(), group["chars"].to_numpy().astype(np.int64), counts, group["block"].to_numpy()
+
+
+def candidates(keyed: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(group, i, j, id, block, chars, counts): the nodes of each task that may be near another one of it."""
+    shared = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
+    met = scratch.keep(keyed.join(shared, "key").select("id", F.col("key").alias("component")).distinct())
+    member = nodes.select(F.col("line_id").alias("id"), F.col("chars").cast("long").alias("weight"))
+    dealt = deal(met, member, CROWD, CHARS)
+    tasks = dealt.join(nodes.select(F.col("line_id").alias("id"), "chars", "counts"), "id").select("group", "i", "j", "id", "block", "chars", "counts")
+
+    def run(group: pa.Table) -> pa.RecordBatch | None:
+        if group.num_rows < 2:
             return None
-        a, b = zip(*links, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        _, chars, counts, blocks = _columns(group)
+        alone, stays = group["i"][0] == group["j"][0], np.zeros(len(chars), bool)
+        for i in range(1, len(chars)):
+            near, _ = _possible(chars, counts, i, percent)
+            if not alone:
+                near &= blocks[:i] != blocks[i]
+            stays[:i] |= near
+            stays[i] |= near.any()
+        return group.filter(pa.array(stays)).combine_chunks().to_batches()[0] if stays.any() else None
 
-    return by_runs(small.unionByName(large), ["bucket", "inner"], run, "a long, b long")
+    return by_runs(tasks, ["group", "i", "j"], run, "group long, i int, j int, id long, block int, chars int, counts binary")
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
@@ -197,24 +220,21 @@ def forms_of(docs: DataFrame, wanted: DataFrame, least_chars: int) -> DataFrame:
     return found.groupBy("id").agg(F.min("form").alias("form")).join(wanted, "id", "left_semi")
 
 
-def confirmed(texts: DataFrame, percent: int, bits: int) -> DataFrame:
-    """(a, b): a spanning forest of the lines that share two blocks, are within `bits` bits, and are similar."""
+def confirmed(texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the similar lines of each task."""
 
     def run(group: pa.Table) -> pa.RecordBatch | None:
-        ids, forms, blocks = group["id"].to_numpy(), group["form"].to_pylist(), group["block"].to_numpy()
-        hashes = group["simhash"].to_numpy().view(np.uint64)
-        parts = np.stack([(hashes >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(_CUTS, _CUTS[1:])])
-        sizes = np.array([len(f) for f in forms])
+        ids, chars, counts, blocks = _columns(group)
+        forms = group["form"].to_pylist()
         alone, label, links = group["i"][0] == group["j"][0], np.arange(len(ids)), []
         for i in range(1, len(ids)):
-            apart = np.bitwise_count(hashes[:i] ^ hashes[i])
-            near = (label[:i] != label[i]) & (apart <= bits) & ((parts[:, :i] == parts[:, i, None]).sum(0) >= 2)
-            near &= 100 * np.abs(sizes[:i] - sizes[i]) <= (100 - percent) * np.maximum(sizes[:i], sizes[i])
+            near, apart = _possible(chars, counts, i, percent)
+            near &= label[:i] != label[i]
             if not alone:
                 near &= blocks[:i] != blocks[i]
             near = np.flatnonzero(near)
             for x in near[np.argsort(apart[near], kind="stable")]:  # the likeliest first, since one link spares the rest of a group
-                most = (100 - percent) * max(sizes[i], sizes[x]) // 100
+                most = (100 - percent) * max(chars[i], chars[x]) // 100
                 if label[x] != label[i] and distance(forms[i], forms[x], int(most)) <= most:
                     links.append((int(ids[i]), int(ids[x])))
                     label[label == label[x]] = label[i]
@@ -226,18 +246,16 @@ def confirmed(texts: DataFrame, percent: int, bits: int) -> DataFrame:
     return by_runs(texts, ["group", "i", "j"], run, "a long, b long")
 
 
-def find_duplicates(docs: DataFrame, percent: int = 90, bits: int = BITS, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def find_duplicates(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): the table of lines, and (line_id, component, keep_doc, keep_line) of every line form that has other occurrences or near ones."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.keep(line_table(docs, least_chars))
-    nodes = scratch.keep(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("simhash").alias("simhash"), F.min("size").alias("size")))
-    coarse = components(spark, candidates(nodes.select("line_id", "simhash"), bits, scratch), scratch)
-    member = nodes.select(F.col("line_id").alias("id"), F.col("size").cast("long").alias("weight"))
-    dealt = deal(coarse, member, MEMBERS, CHARS)
-    texts = forms_of(docs, coarse.select("id"), least_chars).join(nodes.select(F.col("line_id").alias("id"), "simhash"), "id")
-    links = scratch.keep(confirmed(texts.join(dealt, "id"), percent, bits))
+    nodes = scratch.keep(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("chars").alias("chars"), F.min("counts").alias("counts")))
+    tasks = scratch.keep(candidates(key_table(docs, least_chars), nodes, percent, scratch))
+    texts = forms_of(docs, tasks.select("id").distinct(), least_chars)
+    links = scratch.keep(confirmed(texts.join(tasks, "id"), percent))
     near = components(spark, links, scratch)
     joined = nodes.join(near.withColumnRenamed("id", "line_id"), "line_id", "left").where("n > 1 or component is not null")
     joined = joined.select("line_id", F.coalesce("component", "line_id").alias("component"), "first")
@@ -246,17 +264,16 @@ def find_duplicates(docs: DataFrame, percent: int = 90, bits: int = BITS, least_
     return lines, groups
 
 
-def deduplicate(docs: DataFrame, percent: int = 90, bits: int = BITS, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """docs with all but one occurrence of every group of near-equal lines cut from the texts, and n_lines, n_removed and removed (line numbers).
 
-    Lines end in a newline. Two forms are linked if they share two SimHash blocks, differ in at most
-    `bits` of 64 bits, and 100 * edit distance <= (100 - percent) * the longer length; groups are
-    connected by links. The occurrence with the smallest (doc_id, line number) stays. Lines whose
+    Lines end in a newline. Two forms are linked if they share a key and 100 * edit distance <=
+    (100 - percent) * the longer length; groups are connected by links. The occurrence with the smallest (doc_id, line number) stays. Lines whose
     form is shorter than least_chars always stay. A null text stays null, with no line; an empty
     one has one. Rows without a doc_id stay as they are; doc_id must be unique; columns of docs are kept, but for those named
     like the three new ones; an empty table gives an empty result.
     """
-    lines, groups = find_duplicates(docs, percent, bits, least_chars, scratch)
+    lines, groups = find_duplicates(docs, percent, least_chars, scratch)
     extra = lines.join(groups, "line_id").where("not (doc_id = keep_doc and line_no = keep_line)")
     cut = extra.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
