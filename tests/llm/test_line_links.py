@@ -58,3 +58,14 @@ def test_links_are_those_of_edit_distance(spark):
     forms = variants(random.Random(21))
     want = by_distance(forms)
     assert len(want) >= 20 and found(spark, forms) == want
+
+
+def test_crowded_keys_lose_no_links(spark, monkeypatch):
+    rng = random.Random(22)
+    base = [prose(rng, 25) for _ in range(2)]
+    forms = sorted({" ".join(w if i != spot else prose(rng, 1) for i, w in enumerate(b.split())) for b in base for spot in range(25)})
+    want = by_distance(forms)
+    assert len(want) == 2
+    for crowd in (3, 512):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        assert found(spark, forms) == want
