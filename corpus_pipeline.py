@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without further occurrences of near-equal lines; n_chars is that of the new text."""
-    cut = lines.deduplicate(docs)
+    cut = lines.deduplicate(docs, exact_chars=1)
     changed = F.col("n_removed") > 0
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

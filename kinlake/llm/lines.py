@@ -246,12 +246,12 @@ def confirmed(texts: DataFrame, percent: int) -> DataFrame:
     return by_runs(texts, ["group", "i", "j"], run, "a long, b long")
 
 
-def find_duplicates(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def find_duplicates(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, exact_chars: int | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): the table of lines, and (line_id, component, keep_doc, keep_line) of every line form that has other occurrences or near ones."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = scratch.keep(line_table(docs, least_chars))
+    lines = scratch.keep(line_table(docs, least_chars if exact_chars is None else min(exact_chars, least_chars)))
     nodes = scratch.keep(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("chars").alias("chars"), F.min("counts").alias("counts")))
     tasks = scratch.keep(candidates(key_table(docs, least_chars), nodes, percent, scratch))
     texts = forms_of(docs, tasks.select("id").distinct(), least_chars)
@@ -264,16 +264,18 @@ def find_duplicates(docs: DataFrame, percent: int = 90, least_chars: int = LEAST
     return lines, groups
 
 
-def deduplicate(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, scratch: Scratch | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, exact_chars: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """docs with all but one occurrence of every group of near-equal lines cut from the texts, and n_lines, n_removed and removed (line numbers).
 
     Lines end in a newline. Two forms are linked if they share a key and 100 * edit distance <=
     (100 - percent) * the longer length; groups are connected by links. The occurrence with the smallest (doc_id, line number) stays. Lines whose
-    form is shorter than least_chars always stay. A null text stays null, with no line; an empty
+    form is shorter than least_chars are linked to no other form; those of at least exact_chars
+    bytes (1: all with a letter, a digit or a character beyond ASCII) are still grouped with their exact repeats, the others always
+    stay, as all do where exact_chars is None. A null text stays null, with no line; an empty
     one has one. Rows without a doc_id stay as they are; doc_id must be unique; columns of docs are kept, but for those named
     like the three new ones; an empty table gives an empty result.
     """
-    lines, groups = find_duplicates(docs, percent, least_chars, scratch)
+    lines, groups = find_duplicates(docs, percent, least_chars, exact_chars, scratch)
     extra = lines.join(groups, "line_id").where("not (doc_id = keep_doc and line_no = keep_line)")
     cut = extra.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]

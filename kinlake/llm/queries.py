@@ -60,7 +60,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

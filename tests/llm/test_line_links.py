@@ -69,3 +69,13 @@ def test_crowded_keys_lose_no_links(spark, monkeypatch):
     for crowd in (3, 512):
         monkeypatch.setattr(lines, "CROWD", crowd)
         assert found(spark, forms) == want
+
+
+def test_short_lines_lose_exact_repeats(spark, tmp_path):
+    from corpus_pipeline import without_repeated_lines
+    from kinlake.llm.queries import op6_lines
+
+    docs = table(spark, [(1, "All rights reserved.\n\nyes"), (2, "all  rights reserved!\n\nall rights reserved.\nYES"), (3, "")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_removed"] for r in op6_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 3, 3: 0}
+    assert {r["doc_id"]: r["text"] for r in without_repeated_lines(spark, docs, "").collect()}[2] == ""
