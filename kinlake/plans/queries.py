@@ -566,8 +566,7 @@ def one_to_one_association(spark, sf_dir):
 
 @query()
 def run_consolidation(spark, sf_dir):
-    from kinlake.config import Thresholds
     from kinlake.plans.consolidate import consolidate
 
-    state, _, _ = consolidate(_state(spark, sf_dir), _keep(spark), Thresholds(max_actions=2))
+    state, _, _ = consolidate(_state(spark, sf_dir), _keep(spark))
     return state.faces.select("user_id", "face_id", "cluster_id", "assignment_state")
