@@ -98,3 +98,11 @@ def rebuild(faces: DataFrame, t: Thresholds = DEFAULT, low_quality_seed: bool =
     seed = members.groupBy("user_id", "cluster_id").agg(F.min_by("face_id", F.struct(-F.col("quality_score"), "face_id")).alias("face_id"))
     bare = seed.join(found.select("user_id", "cluster_id").distinct(), ["user_id", "cluster_id"], "left_anti")
     return found.unionByName(bare.select("user_id", "cluster_id", F.lit("quality").alias("bucket"), F.lit(1).alias("ordinal"), "face_id"))
+
+
+def rebuilt(faces: DataFrame, t: Thresholds = DEFAULT, low_quality_seed: bool = False) -> DataFrame:
+    """rebuild() with the columns of quality_exemplars(); the pose bucket is numbered on from the quality bucket."""
+    ordinal = F.col("ordinal") + F.when(F.col("bucket") == "pose", t.quality_bucket).otherwise(0)
+    found = rebuild(faces, t, low_quality_seed).withColumn("ordinal", ordinal)
+    own = faces.select("user_id", "cluster_id", "face_id", "quality_score", "yaw_ratio", "v", "norm")
+    return found.join(own, ["user_id", "cluster_id", "face_id"]).select("user_id", "cluster_id", "bucket", "ordinal", "face_id", "quality_score", "yaw_ratio", "v", "norm")

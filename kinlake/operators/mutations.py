@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinlake.config import DEFAULT, MEMBER_STATES, Thresholds
 from kinlake.functions.keys import suggestion_id
-from kinlake.operators.exemplars import quality_exemplars
+from kinlake.operators.exemplars import quality_exemplars, rebuilt
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ def merge(state: State, merges: DataFrame, t: Thresholds = DEFAULT) -> State:
     )
     touched = m.select("user_id", "cluster_id").unionByName(m.select("user_id", F.col("survivor").alias("cluster_id"))).distinct()
     members = faces.where(F.col("assignment_state").isin(*MEMBER_STATES))
-    fresh = quality_exemplars(members.join(touched, ["user_id", "cluster_id"], "left_semi"), t, "cluster_id")
+    fresh = rebuilt(members.join(touched, ["user_id", "cluster_id"], "left_semi"), t)
     exemplars = delete(state.exemplars, touched, ["user_id", "cluster_id"]).unionByName(fresh.select(*state.exemplars.columns))
     return State(faces, with_counts(clusters, faces), exemplars, inherit_links(state.cannot_links, merges))
 
@@ -161,7 +161,7 @@ def split(state: State, plans: DataFrame, t: Thresholds = DEFAULT) -> State:
     born = state.clusters.join(plans.select("user_id", "cluster_id", "new_cluster"), ["user_id", "cluster_id"]).withColumn("cluster_id", F.col("new_cluster")).select(*state.clusters.columns)
     clusters = with_counts(state.clusters.unionByName(born), faces)
     ids = plans.select("user_id", "cluster_id").unionByName(plans.select("user_id", F.col("new_cluster").alias("cluster_id")))
-    fresh = quality_exemplars(faces.where(F.col("assignment_state").isin(*MEMBER_STATES)).join(ids, ["user_id", "cluster_id"], "left_semi"), t, "cluster_id")
+    fresh = rebuilt(faces.where(F.col("assignment_state").isin(*MEMBER_STATES)).join(ids, ["user_id", "cluster_id"], "left_semi"), t)
     exemplars = delete(state.exemplars, ids, ["user_id", "cluster_id"]).unionByName(fresh.select(*state.exemplars.columns))
     edge = plans.select("user_id", F.least("cluster_id", "new_cluster").alias("cluster_a_id"), F.greatest("cluster_id", "new_cluster").alias("cluster_b_id"))
     return State(faces, clusters, exemplars, state.cannot_links.select(*edge.columns).unionByName(edge).distinct())
@@ -183,7 +183,7 @@ def move(state: State, moves: DataFrame, t: Thresholds = DEFAULT) -> State:
     touched = faces.where(was & F.col("cluster_id").isNotNull()).select("user_id", "cluster_id").unionByName(moves.select("user_id", F.col("target").alias("cluster_id"))).distinct()
     faces = faces.withColumn("is_manual", F.col("is_manual") | was).withColumn("assignment_state", F.when(was, "manual").otherwise(F.col("assignment_state"))).withColumn("cluster_id", F.coalesce("target", "cluster_id")).select(*state.faces.columns)
     clusters = state.clusters.join(touched.withColumn("__t", F.lit(True)), ["user_id", "cluster_id"], "left").withColumn("has_manual_correction", F.col("has_manual_correction") | F.col("__t").isNotNull()).select(*state.clusters.columns)
-    fresh = quality_exemplars(faces.where(F.col("assignment_state").isin(*MEMBER_STATES)).join(touched, ["user_id", "cluster_id"], "left_semi"), t, "cluster_id")
+    fresh = rebuilt(faces.where(F.col("assignment_state").isin(*MEMBER_STATES)).join(touched, ["user_id", "cluster_id"], "left_semi"), t, low_quality_seed=True)
     exemplars = delete(state.exemplars, touched, ["user_id", "cluster_id"]).unionByName(fresh.select(*state.exemplars.columns))
     return repair(replace(state, faces=faces, clusters=with_counts(clusters, faces), exemplars=exemplars), t)
 

@@ -90,7 +90,7 @@ def consolidate(state: mutations.State, keep, t: Thresholds = DEFAULT) -> tuple[
         defaults = {"is_user_confirmed": F.lit(False), "has_manual_correction": F.lit(False), "created_at": F.current_date(), "last_updated_at": F.current_date(), "merged_into": F.lit(None).cast("long")}
         new = head.select(*[F.col(c) if c in head.columns else defaults[c].alias(c) for c in state.clusters.columns])
         members = faces.join(born.select("user_id", "face_id"), ["user_id", "face_id"], "left_semi")
-        ex = mutations.quality_exemplars(members, t, "cluster_id").select(*state.exemplars.columns)
+        ex = mutations.rebuilt(members, t).select(*state.exemplars.columns)
         state = _settle(replace(state, faces=faces, clusters=state.clusters.unionByName(new), exemplars=state.exemplars.unionByName(ex)), keep)
     state, log = auto_correct(state, keep, t)
     again = 0
