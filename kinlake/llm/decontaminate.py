@@ -43,17 +43,18 @@ def normal(text: str) -> str:
 class Matcher:
     """Finds items, given as (item_id, normalised text), in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items, self.rate, self.machine = items, rate, None
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
+        """Items of fewer than least_chars characters must occur unchanged, as whole words."""
+        self.items, self.rate, self.least_chars, self.machine = items, rate, least_chars, None
 
     def __getstate__(self):
-        return {"items": self.items, "rate": self.rate, "machine": None}
+        return {"items": self.items, "rate": self.rate, "least_chars": self.least_chars, "machine": None}
 
     def _build(self) -> None:
         hits: dict[str, list[tuple[int, int]]] = {}
         self.nodes, self.cuts = [], []
         for n, (_, text) in enumerate(self.items):
-            pieces = int(len(text) * self.rate) + 1
+            pieces = int(len(text) * self.rate) + 1 if len(text) >= self.least_chars else 1
             cuts = [len(text) * i // pieces for i in range(pieces + 1)]
             self.cuts.append(cuts)
             self.nodes.append({})
@@ -93,6 +94,8 @@ class Matcher:
             for n, i in places:
                 if at < done.get(n, -1):
                     continue
+                if len(self.items[n][1]) < self.least_chars and (text[at - 1 : at].strip() or text[last + 1 : last + 2].strip()):
+                    continue  # a short item within a word
                 cuts, ok = self.cuts[n], True
                 for low, high in self._path(n, i):
                     spare = high - low - 1
@@ -134,7 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least
 
     Texts are compared in lower case with one space for all between words; distance counts edits
     of that form, start and end are code points of the text as it is. An item whose form is
-    shorter than least_chars matches nothing, nor does a null one; a null text has no match;
+    shorter than least_chars matches only unchanged and as whole words; one without a word, or a
+    null one, matches nothing; a null text has no match;
     repeated items and rows each have their own matches; an empty table on either side gives an
     empty result; other columns are left out.
     """
@@ -162,8 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least
     parts = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK_CHARS characters
-        known = [(r["item_id"], t) for r in block if len(t := normal(r["text"])) >= least_chars]
-        parts.append(scan(spark.sparkContext.broadcast(Matcher(known, rate))))
+        known = [(r["item_id"], t) for r in block if (t := normal(r["text"]))]
+        parts.append(scan(spark.sparkContext.broadcast(Matcher(known, rate, least_chars))))
     return reduce(DataFrame.unionByName, parts)
 
 
