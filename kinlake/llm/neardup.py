@@ -1,9 +1,9 @@
-"""MinHash near-duplicates by an LSH forest.
+"""MinHash near-duplicates by banding at two depths of an LSH forest.
 
-Texts are sets of hashed word shingles; equal sets are one class. TREES orders of the classes,
-each by its own sequence of minhashes, form the forest: a region is a run of an order whose
-members share a common prefix of at least `depth` minhashes, or of two more where more than
-CROWD classes share that. Neighbours in a region are candidates; the components of these
+Texts are sets of hashed word shingles; equal sets are one class. Each of TREES trees has its own
+sequence of minhashes; no order is sorted, classes meet by a hash of a prefix: a region is the
+classes of a tree that share its first `depth` minhashes, or two more where more than CROWD
+classes share those (the rest of such a region is left to the other trees). Neighbours in a region are candidates; the components of these
 neighbourhoods are found without ever writing out pairs, and within each the links are confirmed
 on full sets. depth is the largest at which a pair at the threshold shares no region of any of
 the 32 trees with a chance below 1 in a million: 6 at 0.85 (in crowded regions 8, 4 in 100,000),
@@ -33,9 +33,9 @@ TREES, LONGEST = 32, 8
 CROWD = 1000
 BLOCK, SHINGLES = 1024, 2_000_000
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_ORDER = np.concatenate([_RNG.permutation(HASHES) for _ in range(-(-TREES * LONGEST // HASHES))])[: TREES * LONGEST].reshape(TREES, LONGEST)
+_A = _RNG.integers(0, 1 << 63, TREES * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, TREES * LONGEST, dtype=np.uint64)
+_ORDER = np.arange(TREES * LONGEST).reshape(TREES, LONGEST)  # no minhash is in two trees, so they are independent
 _STEP = mix(np.arange(1, TREES + 1, dtype=np.uint64))
 
 
@@ -54,10 +54,10 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield rolling(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minhashes(shingles: np.ndarray, n: int = HASHES) -> np.ndarray:
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 4096):
-        low = np.minimum(low, (_A[:, None] * shingles[None, i : i + 4096] + _B[:, None]).min(1))
+        low = np.minimum(low, (_A[:n, None] * shingles[None, i : i + 4096] + _B[:n, None]).min(1))
     return low
 
 
@@ -75,7 +75,7 @@ def signatures(df: DataFrame, k: int, depth: int) -> DataFrame:
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = minhashes(s)[_ORDER] if len(s) else None
+                low = minhashes(s, TREES * LONGEST)[_ORDER] if len(s) else None
                 keys.append([] if low is None else np.stack([mix(rolling_row(low[:, :depth]) ^ _STEP), mix(rolling_row(low[:, : depth + 2]) ^ _STEP)], 1).ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "keys"])
 
