@@ -9,6 +9,7 @@ of n bytes takes O(n log n) whatever its length.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -16,7 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm.text import large_strings
@@ -24,9 +25,16 @@ from kinlake.llm.text import large_strings
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _FIND = regex.compile(PATTERN).findall
 BATCH_WIDTH = 64
-#: Pieces whose ids a worker remembers; beyond that it starts anew, so that its memory is bounded.
-REMEMBERED = 250_000
-TEXTS_AT_ONCE = 2_000_000
+#: Words, and other pieces, whose ids a worker remembers in each of two generations; the older one goes when the younger is full, so memory is bounded.
+REMEMBERED = 300_000
+TEXTS_AT_ONCE = 1_000_000
+#: The settings of a tokenizer file that this encoder follows; any other value is refused.
+SETTINGS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
 _NONE = np.iinfo(np.int64).max
 
 
@@ -37,42 +45,89 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def check_settings(spec: dict) -> None:
+    """Raises ValueError for a tokenizer that does anything else than byte-level BPE by PATTERN."""
+    for part, want in SETTINGS.items():
+        found = spec.get(part)
+        if want is None or found is None:
+            same = want is None and found is None
+        else:
+            same = all(found.get(k, v) == v for k, v in want.items())
+        if not same:
+            raise ValueError(f"{part} of this tokenizer is {found if part != 'model' else {k: found.get(k) for k in want}}; this encoder follows {want}")
+    for token in spec.get("added_tokens", []):
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} has settings that this encoder doesn't follow")
+
+
+class Parts:
+    """A byte string for each id, joined for whole arrays of ids at once."""
+
+    def __init__(self, parts: list[bytes]):
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def join(self, ids: np.ndarray, first: np.ndarray) -> tuple[bytes, list[int]]:
+        """The ids' strings one after another, and where those of the id at each place of `first` (up to the end) begin."""
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(self.starts[ids] - ends[:-1], lengths)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes(), ends[first].tolist()
+
+
+class Memory:
+    """What was found for the strings met lately: two generations of REMEMBERED strings."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def absent(self, wanted: set[str]) -> set[str]:
+        """Which of the strings are not remembered; the others are in `young` from here until the next call."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        fresh = wanted - self.young.keys()
+        if again := fresh & self.old.keys():
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            fresh -= again
+        return fresh
+
+
 class Codec:
     """Encoder and decoder for one vocabulary; a plain object that is broadcast to the workers."""
 
     def __init__(self, spec: str):
         j = json.loads(spec)
+        check_settings(j)
         vocab = j["model"]["vocab"]
         to_byte = {c: b for b, c in enumerate(byte_alphabet())}
         self.added = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
         size = 1 + max(chain(vocab.values(), self.added.values()))
-        self.pieces = [b""] * size
+        pieces = [b""] * size
         for token, i in chain(vocab.items(), self.added.items()):
             known = all(c in to_byte for c in token)
-            self.pieces[i] = bytes(to_byte[c] for c in token) if known else token.encode()
+            pieces[i] = bytes(to_byte[c] for c in token) if known else token.encode()
+        self.pieces, self.numerals = Parts(pieces), Parts([b"%d," % i for i in range(size)])
         self.single = np.array([vocab[c] for c in byte_alphabet()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in j["model"]["merges"]]
         keys = np.array([(vocab[a] << 32) + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.ints = list(range(size))  # one object for each id, however many pieces have it
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.known, self.spaced = Memory(), Memory()
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "spaced": {}}
+        return self.__dict__ | {"known": Memory(), "spaced": Memory()}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 32) + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], -1)
 
-    def _batch(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """Ids of words of 2 to width bytes; width is a power of two."""
+    def _batch(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids, as 32-bit integers in bytes, of words of 2 to width bytes; width is a power of two."""
         n = len(words)
         lengths = np.array([len(w) for w in words])
         symbols = np.zeros((n, width + 1), np.int64)
@@ -119,12 +174,12 @@ class Codec:
             fresh = self.ranks(symbols[r, a], symbols[r, b])
             put(r, a, np.where(fresh >= 0, fresh * width + a, _NONE))
             rows = rows[tree[rows, 1] != _NONE]
-        ids, counts = list(map(self.ints.__getitem__, symbols[alive].tolist())), alive.sum(axis=1)
-        stops = np.cumsum(counts).tolist()
-        return [tuple(ids[s - c : s]) for s, c in zip(stops, counts.tolist(), strict=True)]
+        ids = symbols[alive].astype(np.int32).tobytes()
+        stops = [0, *(4 * np.cumsum(alive.sum(axis=1))).tolist()]
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
-    def _long(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one word of any length, by the same tree."""
+    def _long(self, word: bytes) -> bytes:
+        """Ids of one word of any length, by the same tree, in the same form."""
         n = len(word)
         width = 1 << (n - 1).bit_length()
         symbols = self.single[np.frombuffer(word, np.uint8)]
@@ -166,49 +221,44 @@ class Codec:
                 before[beyond] = at
             if before[at] >= 0:
                 put(before[at], pair(before[at], at))
-        return tuple(s for s in sym if s >= 0)
+        return np.array([s for s in sym if s >= 0], np.int32).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are not remembered yet."""
-        if len(self.known) > REMEMBERED // 4:
-            self.known.clear()
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces - self.known.keys():
+        known = self.known
+        for p in known.absent(pieces):
             raw = p.encode("utf-8", "surrogatepass")
             if len(raw) == 1:
-                self.known[p] = (int(self.single[raw[0]]),)
+                known.young[p] = self.single[raw[0]].astype(np.int32).tobytes()
             elif len(raw) > BATCH_WIDTH:
-                self.known[p] = self._long(raw)
+                known.young[p] = self._long(raw)
             else:
                 by_width.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
         for width, found in by_width.items():
             step = max(1, (1 << 19) // width)
             for i in range(0, len(found), step):
                 part = found[i : i + step]
-                self.known.update(zip((p for p, _ in part), self._batch([r for _, r in part], width), strict=True))
+                known.young.update(zip((p for p, _ in part), self._batch([r for _, r in part], width), strict=True))
 
-    def _pieces(self, word: str) -> list[str]:
+    def _cut(self, word: str) -> list[str]:
         """The pattern's pieces of a word and the space before it."""
-        if word.isalpha():
-            return [" " + word]
-        if word[-1] in ".," and word[:-1].isalpha():
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
             return [" " + word[:-1], word[-1]]
         return _FIND(" " + word)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. No piece spans a space between two characters that aren't white space,
-        so a text is cut there and its words are looked up; a text with any other space is cut by
-        the pattern as a whole."""
-        known, spaced = self.known, self.spaced
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids begin (and the total).
+
+        No piece spans a space between two characters that aren't white space, so a text is cut
+        there and its words are looked up; a text with any other space is cut by the pattern as a whole."""
+        spaced, known = self.spaced, self.known
         words = [t.split(" ") if not any(x in t for x in self.added) else None for t in texts]
-        used = set(chain.from_iterable(w for w in words if w))
-        if len(spaced) > REMEMBERED:  # frequent words are among those in use
-            spaced = self.spaced = {w: spaced[w] for w in used & spaced.keys()}
-        fresh = used - spaced.keys()
+        fresh = spaced.absent(set(chain.from_iterable(w[1:] for w in words if w)))
         odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
-        cut: list[list | None] = []
+        cut: list[list[str]] = []
         for i, (text, w) in enumerate(zip(texts, words, strict=True)):
-            if w and not (odd and not odd.isdisjoint(w)):
+            if w and (not odd or odd.isdisjoint(w[1:])):
                 cut.append(_FIND(w.pop(0)))
                 continue
             words[i] = None
@@ -217,25 +267,30 @@ class Codec:
             else:  # an added token is an item of its own, marked by a tuple
                 parts = regex.split("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")", text)
                 cut.append([p for x in parts for p in (((x,),) if x in self.added else _FIND(x))])
-        fresh = {w: self._pieces(w) for w in fresh - odd}
-        self.learn({p for c in cut for p in c if type(p) is str}.union(chain.from_iterable(fresh.values())))
-        for w, found in fresh.items():
-            spaced[w] = known[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(known.__getitem__, found)))
-        out = []
+        fresh -= odd
+        plain = {w: " " + w for w in fresh if w.isalpha()}
+        mixed = {w: self._cut(w) for w in fresh - plain.keys()}
+        self.learn({p for c in cut for p in c if type(p) is str}.union(plain.values(), chain.from_iterable(mixed.values())))
+        piece = known.young.__getitem__
+        spaced.young.update(zip(plain, map(piece, plain.values()), strict=True))
+        spaced.young.update((w, b"".join(map(piece, found))) for w, found in mixed.items())
+        word, out = spaced.young.__getitem__, []
         for c, w in zip(cut, words, strict=True):
-            ids = [i for p in c for i in ((self.added[p[0]],) if type(p) is tuple else known[p])]
-            if w:
-                ids.extend(chain.from_iterable(map(spaced.__getitem__, w)))
-            out.append(ids)
-        return out
+            head = b"".join(np.int32(self.added[p[0]]).tobytes() if type(p) is tuple else piece(p) for p in c)
+            out.append(head + b"".join(map(word, w)) if w else head)
+        first = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int64)
+        return np.frombuffer(b"".join(out), np.int32), first
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
-        lengths = self.lengths[ids]
-        total = int(lengths.sum())
-        skip = np.cumsum(lengths) - lengths
-        return self.flat[np.arange(total) + np.repeat(self.starts[ids] - skip, lengths)].tobytes()
+    def decode_batch(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """What each text's ids stand for; bytes that aren't UTF-8 become U+FFFD."""
+        data, at = self.pieces.join(ids, first)
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+    def digests(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """SHA-256 of each text's ids in decimal, joined by commas."""
+        data, at = self.numerals.join(ids, first)
+        view = memoryview(data)
+        return [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
 
 
 def load(path: str) -> str:
@@ -244,19 +299,23 @@ def load(path: str) -> str:
         return f.read()
 
 
-def encode(df: DataFrame, codec, text: str = "text", into: str = "token_ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+def encode(df: DataFrame, codec, text: str = "text", into: str | None = "token_ids", decoded: str | None = None, digests: bool = False, keep_text: bool = True) -> DataFrame:
     """Adds array<int> `into`, the ids of each whole text. codec: a broadcast Codec.
 
-    decoded names a column for what those ids decode to, made by the same worker; keep_text=False
-    leaves the text itself out.
+    decoded names a column for what those ids decode to. digests adds n_tokens (long), ids_sha256
+    (of the decimal ids joined by commas) and decoded_sha256 (of the decoded text in UTF-8), made
+    of the same ids and the same decoded text by the same worker, so that neither need leave it:
+    into=None leaves the ids out, keep_text=False the text.
 
     A null or empty text gives an empty array; special-token strings in a text become their ids,
     as the tokenizers library does; rows, repeated or not, are kept, and so are other columns.
-    An `into` column of the input is replaced.
+    Columns of the input that are named like an added one are replaced.
     """
-    rest = [c for c in df.columns if c not in (into, decoded)]
-    out = [c for c in rest if keep_text or c != text]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name in out)
+    added = {**({into: "array<int>"} if into else {}), **({decoded: "string"} if decoded else {})}
+    added |= {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digests else {}
+    rest = [c for c in df.columns if c not in added or c == text]
+    out = [c for c in rest if c not in added and (keep_text or c != text)]
+    schema = ", ".join(f"`{c.replace('`', '``')}` {kind}" for c, kind in [*((f.name, f.dataType.simpleString()) for f in df.schema if f.name in out), *added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec.value
@@ -267,16 +326,23 @@ def encode(df: DataFrame, codec, text: str = "text", into: str = "token_ids", de
             while row < len(texts):
                 ahead = np.cumsum(sizes[row:])
                 stop = row + max(1, int(np.searchsorted(ahead, TEXTS_AT_ONCE, "right")))
-                found = own.encode_batch(texts.slice(row, stop - row).to_pylist())
+                ids, first = own.encode_batch(texts.slice(row, stop - row).to_pylist())
                 part = batch.slice(row, stop - row)
-                columns = {c: part.column(part.schema.get_field_index(c)) for c in out} | {into: pa.array(found, pa.list_(pa.int32()))}
+                columns = {c: part.column(part.schema.get_field_index(c)) for c in out}
+                if into:
+                    columns[into] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+                if decoded or digests:
+                    back = own.decode_batch(ids, first)
                 if decoded:
-                    columns[decoded] = pa.array([own.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in found], pa.string())
+                    columns[decoded] = pa.array(back, pa.string())
+                if digests:
+                    columns["n_tokens"] = pa.array(np.diff(first), pa.int64())
+                    columns["ids_sha256"] = pa.array(own.digests(ids, first), pa.string())
+                    columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
                 row = stop
 
-    types = f"{schema}, `{into}` array<int>" + (f", `{decoded}` string" if decoded else "")
-    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, types)
+    return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, codec, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -290,12 +356,9 @@ def decode(df: DataFrame, codec, ids: str = "token_ids", into: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec.value
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            texts = [own.decode(np.asarray(x.values, np.int64)).decode("utf-8", "replace") if x.is_valid and len(x.values) else "" for x in lists]
+            lists = [np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(batch.schema.get_field_index(ids))]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            texts = own.decode_batch(np.concatenate([np.zeros(0, np.int64), *lists]), first)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, f"{schema}, `{into}` string")
-
-
-def ids_digest(ids: str) -> Column:
-    return F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256)

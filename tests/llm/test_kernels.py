@@ -1,5 +1,7 @@
 """Kernels without Spark, each against a plain version."""
 
+import hashlib
+import json
 import random
 import re
 
@@ -164,9 +166,35 @@ def test_bpe_matches_the_library():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     c = bpe.Codec(bpe.load(P.path("byte_bpe_50k.json")))
     texts = ["", " ", "\n", "Hello, world's <|endoftext|> x", "a" * 3000, "ab" * 400 + "  c", " é😀\x1c\x85 y", "don't  stop\n\n now ", "1234 a1b2", "x" * 64, "x" * 65]
-    for got, want in zip(c.encode_batch(texts), t.encode_batch(texts, add_special_tokens=False)):
-        assert got == want.ids
-        assert c.decode(np.array(got, np.int64)).decode("utf-8", "replace") == t.decode(want.ids, skip_special_tokens=False)
+    want = t.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):  # met for the first time, then remembered
+        ids, first = c.encode_batch(texts)
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [w.ids for w in want]
+        assert c.decode_batch(ids, first) == [t.decode(w.ids, skip_special_tokens=False) for w in want]
+        assert c.digests(ids, first) == [hashlib.sha256(",".join(map(str, w.ids)).encode()).hexdigest() for w in want]
+
+
+def test_bpe_remembers_two_generations(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    c = bpe.Codec(bpe.load(P.path("byte_bpe_50k.json")))
+    for text in ("one two three four five", "two six, seven eight! nine", "one six, ten eleven twelve", "two one nine thirteen"):
+        ids, _ = c.encode_batch([text])
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+        assert max(len(m.young) + len(m.old) for m in (c.known, c.spaced)) <= 20
+
+
+def test_bpe_refuses_other_tokenizers():
+    P = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError):
+        bpe.Codec(bpe.load(P.path("word_bpe_49k.json")))
+    spec = json.loads(bpe.load(P.path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_settings(spec | change)
 
 
 def test_vector_scan_finds_the_nearest():

@@ -243,7 +243,12 @@ def test_bpe_operator(spark, corpus):
     assert len(got) == len(rows)
     for r in got:
         assert r["token_ids"] == t.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == (r["text"] or "") and r["group"] == "g"
-    assert bpe.encode(table(spark, []), codec).count() == 0
+    digests = bpe.encode(table(spark, rows).withColumn("n_tokens", F.lit("x")), codec, into=None, decoded="group", digests=True, keep_text=False)
+    assert sorted(digests.columns) == sorted(["doc_id", "lang", "source", "n_chars", "id", "removed", "group", "n_tokens", "ids_sha256", "decoded_sha256"])
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter((i, x or "", len(ids), sha(",".join(map(str, ids))), sha(x or "")) for i, x in rows for ids in [t.encode(x or "", add_special_tokens=False).ids])
+    assert Counter((r["doc_id"], r["group"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in digests.collect()) == want
+    assert bpe.encode(table(spark, []), codec).count() == 0 and bpe.encode(table(spark, []), codec, into=None, digests=True).count() == 0
 
 
 def test_vectors(spark):
