@@ -39,10 +39,14 @@ def config_version(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()[:12]
 
 
-def normal_path(path: Column) -> Column:
-    """Trimmed; a local path without repeated slashes, URLs as they are."""
+def normal_path(path: Column, root: str = "/") -> Column:
+    """Trimmed; URLs as they are, a local path absolute (from root) without empty, . and .. steps; null for null."""
     trimmed = F.trim(path)
-    return F.when(F.instr(trimmed, "://") > 0, trimmed).otherwise(F.regexp_replace(F.regexp_replace(trimmed, "/(\\./)+", "/"), "/+", "/"))
+    whole = F.when(trimmed.startswith("/"), trimmed).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), trimmed))
+    steps = F.filter(F.split(whole, "/"), lambda s: (s != "") & (s != "."))
+    up = lambda done, s: F.when(s != "..", F.concat(done, F.array(s))).otherwise(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+    local = F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/"))
+    return F.when(F.instr(trimmed, "://") > 0, trimmed).otherwise(local)
 
 
 def valid_tenant(user_id: Column) -> Column:

@@ -34,6 +34,11 @@ def eye_score(aspect: Column, t: Thresholds = DEFAULT) -> Column:
     return clip01((aspect - t.ear_closed) / (t.ear_open - t.ear_closed))
 
 
+def eye_openness(left: Column, right: Column, t: Thresholds = DEFAULT) -> Column:
+    """The score of the mean aspect of both eyes, each six points as for eye_aspect()."""
+    return eye_score((eye_aspect(left) + eye_aspect(right)) / 2, t)
+
+
 def turn_ratios(left_eye: Column, right_eye: Column, nose: Column) -> tuple[Column, Column]:
     """Yaw and pitch: how far the nose is off the middle of the eyes, in eye distances."""
     apart = F.hypot(right_eye["x"] - left_eye["x"], right_eye["y"] - left_eye["y"]) + 1e-6
@@ -55,5 +60,6 @@ def gate_columns(height: Column, yaw: Column, quality: Column, t: Thresholds = D
         .when(small, F.format_string(f"face_height %.1f <= {t.size_floor}", height))
         .when(turned, F.format_string(f"abs(yaw_ratio) %.3f >= {t.max_yaw}", F.abs(yaw))),
         "restricted": turned & ~low & ~small,
+        "restriction_reason": F.when(turned & ~low & ~small, "pose_floor_only"),
         "exemplar_eligible": ~excluded & (quality >= t.exemplar_quality),
     }

@@ -1,4 +1,4 @@
-"""Vector arithmetic on array columns, within whole-stage code: no Python."""
+"""Vector arithmetic on array columns, in the JVM: no Python, but higher-order functions, which are evaluated row by row. Where all pairs of large groups are wanted, operators.evidence multiplies blocks instead."""
 
 from __future__ import annotations
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlake.config import DEFAULT, Thresholds
 from kinlake.functions.vector import cosine
+from kinlake.operators import evidence
 from kinlake.operators.scores import competition, coverage
 
 
@@ -84,14 +85,6 @@ def mutual_merges(scores: DataFrame, sizes: DataFrame, shields: DataFrame, links
     )
 
 
-def member_similarities(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(user_id, source, target, face_id, other_id, other_photo, sim) for the members of each pair of clusters."""
-    s = members.select("user_id", F.col("cluster_id").alias("source"), "face_id", F.col("v").alias("sv"), F.col("norm").alias("sn"))
-    o = members.select("user_id", F.col("cluster_id").alias("target"), F.col("face_id").alias("other_id"), F.col("photo_id").alias("other_photo"), F.col("v").alias("ov"), F.col("norm").alias("tn"))
-    met = pairs.select("user_id", "source", "target").join(s, ["user_id", "source"]).join(o, ["user_id", "target"])
-    return met.select("user_id", "source", "target", "face_id", "other_id", "other_photo", cosine(F.col("sv"), F.col("ov"), F.col("sn"), F.col("tn")).alias("sim"))
-
-
 def fragments(sizes: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Ordered pairs (source, target) of a tenant whose sizes let the source be a fragment of the target; the size test is a join condition."""
     s = sizes.select("user_id", F.col("cluster_id").alias("source"), F.col("size").alias("source_size")).where("source_size >= 2")
@@ -99,60 +92,46 @@ def fragments(sizes: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return s.join(g, "user_id").where((F.col("source") != F.col("target")) & (F.col("source_size") < F.col("target_size")) & (F.col("source_size") <= t.fragment_ratio * F.col("target_size")))
 
 
-def connected(members: DataFrame, t: Thresholds = DEFAULT, most_rounds: int = 64) -> DataFrame:
-    """(user_id, cluster_id, connected): whether each cluster's faces are one component at the lower boundary.
-
-    The smallest label spreads over links of one cluster by joins; labels double their reach each
-    round, so rounds grow with the logarithm of a chain."""
-    a = members.select("user_id", "cluster_id", F.col("face_id").alias("x"), F.col("v").alias("xv"), F.col("norm").alias("xn"))
-    b = members.select("user_id", "cluster_id", F.col("face_id").alias("y"), F.col("v").alias("yv"), F.col("norm").alias("yn"))
-    links = a.join(b, ["user_id", "cluster_id"]).where(cosine(F.col("xv"), F.col("yv"), F.col("xn"), F.col("yn")) >= t.lower).select("user_id", "cluster_id", "x", "y").persist()
-    labels = members.select("user_id", "cluster_id", F.col("face_id").alias("x"), F.col("face_id").alias("label"))
-    seen = None
-    for _ in range(most_rounds):
-        near = links.join(labels.withColumnRenamed("x", "y"), ["user_id", "cluster_id", "y"]).groupBy("user_id", "cluster_id", "x").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, ["user_id", "cluster_id", "x"], "left").select("user_id", "cluster_id", "x", F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = stepped.select("user_id", "cluster_id", F.col("x").alias("label"), F.col("label").alias("far"))
-        stepped = stepped.join(jump, ["user_id", "cluster_id", "label"]).select("user_id", "cluster_id", "x", F.col("far").alias("label"))
-        labels = stepped.persist()
-        state = labels.agg(F.sum("label"), F.count("*")).first()
-        if state == seen:
-            break
-        seen = state
-    return labels.groupBy("user_id", "cluster_id").agg((F.min("label") == F.max("label")).alias("connected"))
+def _rivals(faces: DataFrame) -> DataFrame:
+    """(user_id, source, face_id, c1, s1, s2): each face's best other cluster, and the similarities of the two best; one of them is the best third cluster of any target."""
+    order = Window.partitionBy("user_id", "source", "face_id").orderBy(F.desc("best"), "target")
+    two = faces.select("user_id", "source", "face_id", "target", "best").withColumn("rn", F.row_number().over(order)).where("rn <= 2")
+    return two.groupBy("user_id", "source", "face_id").agg(
+        F.max(F.when(F.col("rn") == 1, F.col("target"))).alias("c1"), F.max(F.when(F.col("rn") == 1, F.col("best"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("best"))).alias("s2")
+    )
+
+
+def _bridge_faces(faces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The combined evidence of each pair's source faces, with the best similarity in any third cluster."""
+    per = faces.join(pairs.select("user_id", "source", "target"), ["user_id", "source", "target"])
+    rival = F.when(F.col("c1") == F.col("target"), F.col("s2")).otherwise(F.col("s1"))
+    return per.join(_rivals(faces), ["user_id", "source", "face_id"], "left").withColumn("rival", rival).drop("c1", "s1", "s2")
 
 
 def bridge_evidence(members: DataFrame, pairs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Per source face of each pair: support, best similarity and the best in any third cluster."""
-    sims = member_similarities(members, pairs)
-    per = sims.groupBy("user_id", "source", "target", "face_id").agg(F.count_if(F.col("sim") >= t.match).alias("support"), F.max("sim").alias("best"))
-    # the best of every cluster for each face of a source; of those only the three best can be a third cluster's
-    sources = members.join(pairs.select("user_id", F.col("source").alias("cluster_id")).distinct(), ["user_id", "cluster_id"], "left_semi")
-    mine = sources.select("user_id", F.col("cluster_id").alias("source"), "face_id", F.col("v").alias("sv"), F.col("norm").alias("sn"))
-    all_ = members.select("user_id", F.col("cluster_id").alias("third"), F.col("v").alias("ov"), F.col("norm").alias("tn"))
-    best = mine.join(all_, "user_id").where("source <> third").groupBy("user_id", "source", "face_id", "third").agg(F.max(cosine(F.col("sv"), F.col("ov"), F.col("sn"), F.col("tn"))).alias("sim"))
-    order = Window.partitionBy("user_id", "source", "face_id").orderBy(F.desc("sim"), "third")
-    two = best.withColumn("rn", F.row_number().over(order)).where("rn <= 2").groupBy("user_id", "source", "face_id").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("third"))).alias("c1"), F.max(F.when(F.col("rn") == 1, F.col("sim"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("sim"))).alias("s2")
-    )
-    return per.join(two, ["user_id", "source", "face_id"], "left").withColumn("rival", F.when(F.col("c1") == F.col("target"), F.col("s2")).otherwise(F.col("s1"))).drop("c1", "s1", "s2")
+    rows = evidence.similarity_rows(members, pairs.select("user_id", F.col("source").alias("cluster_id")), t)
+    return _bridge_faces(evidence.combined(rows), pairs)
 
 
-def fragment_bridges(members: DataFrame, sizes: DataFrame, shields: DataFrame, links: DataFrame, conflicts: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Every pair that sizes allow, with the first reason against merging the fragment (null: accepted) and its evidence."""
+def fragment_bridges(members: DataFrame, sizes: DataFrame, shields: DataFrame, links: DataFrame, conflicts: DataFrame, t: Thresholds = DEFAULT, keep=None) -> DataFrame:
+    """Every pair that sizes allow, with the first reason against merging the fragment (null: accepted) and its evidence.
+
+    keep(df) writes a table and reads it again; with it the pass over the similarities is made once."""
     pairs = fragments(sizes, t)
-    faces = bridge_evidence(members, pairs, t)
+    rows = evidence.similarity_rows(members, pairs.select("user_id", F.col("source").alias("cluster_id")), t)
+    rows = keep(rows) if keep else rows
+    faces = _bridge_faces(evidence.combined(rows), pairs)
     high, margin = F.col("best") >= t.high_confidence, F.col("best") - F.col("rival")
     agg = faces.groupBy("user_id", "source", "target").agg(
         (F.count_if(F.col("support") >= t.bridge_support) / F.count("*")).alias("source_coverage"), F.count_if(high).alias("high"), F.count_if(F.col("best") >= t.strong).alias("strong"),
         F.min("support").alias("min_support"), F.min("best").alias("min_score"), F.avg("best").alias("mean_score"), F.min(margin).alias("margin"),
         F.bool_or(F.coalesce(F.col("best") <= F.col("rival"), F.lit(False))).alias("beaten"), F.bool_or(F.coalesce(high & (margin < t.min_margin), F.lit(False))).alias("close"),
     )
-    sims = member_similarities(members, pairs).where(F.col("sim") >= t.match)
-    supported = faces.where(F.col("support") >= t.bridge_support).select("user_id", "source", "target", "face_id")
-    bridges = sims.join(supported, ["user_id", "source", "target", "face_id"], "left_semi").groupBy("user_id", "source", "target").agg(F.count_distinct("other_id").alias("bridge_faces"), F.count_distinct("other_photo").alias("bridge_photos"))
+    met = faces.where(F.col("support") >= t.bridge_support).select("user_id", "source", "target", F.explode(F.arrays_zip("others", "photos")).alias("o"))
+    bridges = met.groupBy("user_id", "source", "target").agg(F.count_distinct("o.others").alias("bridge_faces"), F.count_distinct("o.photos").alias("bridge_photos"))
     out = _blocked(pairs, "source", "target", shields, links, conflicts).join(agg, ["user_id", "source", "target"]).join(bridges, ["user_id", "source", "target"], "left")
-    out = out.join(connected(members, t).withColumnRenamed("cluster_id", "source"), ["user_id", "source"], "left")
+    out = out.join(evidence.connected(rows, sizes, evidence.most_blocks(members)), ["user_id", "source"], "left")
     few = lambda c, n: F.coalesce(F.col(c), F.lit(0)) < n
     reason = (
         F.when(F.col("blocker").isNotNull(), F.col("blocker"))
@@ -217,3 +196,14 @@ def splits(members: DataFrame, labelled: DataFrame, shields: DataFrame, manual:
     out = out.where((F.col("cohesion") >= t.match) & (F.col("cross_max") < t.lower)).join(shields.withColumn("shield", F.lit(True)), ["user_id", "cluster_id"], "left")
     safe = F.col("shield").isNull() & (F.col("smallest") >= t.split_group) & (F.col("cohesion") >= t.high_confidence)
     return out.select("user_id", "cluster_id", "n", "smallest", "cohesion", "cross_max", safe.alias("auto_safe"))
+
+
+def split_fractions(labelled: DataFrame) -> DataFrame:
+    """(user_id, cluster_id, label, fraction): each group's share of its cluster's faces; labelled: user_id, cluster_id, face_id, label."""
+    groups = labelled.groupBy("user_id", "cluster_id", "label").agg(F.count("*").alias("n"))
+    return groups.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy("user_id", "cluster_id"))).drop("n")
+
+
+def state_counts(faces: DataFrame) -> DataFrame:
+    """(user_id, assignment_state, faces): how many faces of each state an evaluation left."""
+    return faces.groupBy("user_id", "assignment_state").agg(F.count("*").alias("faces"))

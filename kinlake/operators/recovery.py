@@ -17,7 +17,11 @@ def deferred(faces: DataFrame) -> DataFrame:
 
 
 def restricted(faces: DataFrame) -> DataFrame:
-    return faces.where(F.col("assignment_state").isin("ambiguous", "unassigned") & F.col("restricted") & ~F.col("is_manual")).dropDuplicates(["user_id", "face_id"])
+    """Deferred faces that only fail the pose floor, one row for each id: of several the last, by all their columns in order."""
+    found = faces.where(F.col("assignment_state").isin("ambiguous", "unassigned") & F.col("restricted") & ~F.col("is_manual"))
+    rest = [c for c in faces.columns if c not in ("user_id", "face_id")]
+    last = found.groupBy("user_id", "face_id").agg(F.max(F.struct(*rest)).alias("r"))
+    return last.select("user_id", "face_id", "r.*").select(*faces.columns)
 
 
 def occupied(faces: DataFrame) -> DataFrame:
@@ -48,13 +52,22 @@ def recover_restricted(faces: DataFrame, exemplars: DataFrame, t: Thresholds = D
     return out.withColumn("reason", F.concat(prefix, F.col("reason")))
 
 
-def new_people(faces: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """(user_id, face_id, seed, group_id): members of new groups among unassigned faces.
+def unassigned(faces: DataFrame) -> DataFrame:
+    return deferred(faces).where("assignment_state = 'unassigned'")
 
-    Density clustering per tenant; with exactly one label the group is all points. A group needs
-    distinct photos, an eligible medoid, and every member close to it."""
-    waiting = deferred(faces).where("assignment_state = 'unassigned'")
-    found = density_labels(waiting, ["user_id"], 2, allow_single=True)
+
+def unassigned_labels(faces: DataFrame) -> DataFrame:
+    """(user_id, face_id, label): density clustering of each tenant's unassigned faces; -1 is noise."""
+    return density_labels(unassigned(faces), ["user_id"], 2, allow_single=True)
+
+
+def new_people(faces: DataFrame, t: Thresholds = DEFAULT, labels: DataFrame | None = None) -> DataFrame:
+    """(user_id, face_id, seed, group_id): members of new groups among unassigned faces; labels: as from unassigned_labels().
+
+    With exactly one label the group is all points. A group needs distinct photos, an eligible
+    medoid, and every member close to it."""
+    waiting = unassigned(faces)
+    found = unassigned_labels(faces) if labels is None else labels
     labels = found.where("label >= 0").groupBy("user_id").agg(F.count_distinct("label").alias("labels"))
     grouped = found.join(labels, "user_id").withColumn("label", F.when(F.col("labels") == 1, 0).otherwise(F.col("label"))).where("label >= 0")
     m = waiting.join(grouped.select("user_id", "face_id", "label"), ["user_id", "face_id"])

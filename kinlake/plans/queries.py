@@ -272,7 +272,7 @@ def quality_scores(spark, sf_dir):
     return d.select("face_id", *[F.round(c, 6).alias(n) for n, c in named.items()])
 
 
-@query(QI + "SELECT face_id, q < 0.3 OR h <= 40 OR abs(yaw) >= 0.6 AS hard_excluded, CASE WHEN q < 0.3 THEN 'quality' WHEN h <= 40 THEN 'size' WHEN abs(yaw) >= 0.6 THEN 'pose' END AS exclusion_kind, abs(yaw) >= 0.6 AND q >= 0.3 AND h > 40 AS restricted, q >= 0.7 AND h > 40 AND abs(yaw) < 0.6 AS exemplar_eligible FROM qq", base=False)
+@query(QI + "SELECT face_id, q < 0.3 OR h <= 40 OR abs(yaw) >= 0.6 AS hard_excluded, CASE WHEN q < 0.3 THEN 'quality' WHEN h <= 40 THEN 'size' WHEN abs(yaw) >= 0.6 THEN 'pose' END AS exclusion_kind, abs(yaw) >= 0.6 AND q >= 0.3 AND h > 40 AS restricted, CASE WHEN abs(yaw) >= 0.6 AND q >= 0.3 AND h > 40 THEN 'pose_floor_only' END AS restriction_reason, q >= 0.7 AND h > 40 AND abs(yaw) < 0.6 AS exemplar_eligible FROM qq", base=False)
 def quality_gates(spark, sf_dir):
     d = _quality_inputs(spark, sf_dir)
     h, b, y, e = map(F.col, ("h", "blur", "yaw", "ear"))
@@ -490,7 +490,7 @@ def association_scores(spark, sf_dir):
     return _boxes(spark, sf_dir).select("photo_id", "det", "cand", F.round(geometry.association(d, c, nose, F.lit(True)), 6).alias("score"))
 
 
-@query("SELECT user_id, face_id, user_id::VARCHAR || '/' || photo_id::VARCHAR AS path, (face_id % 3 <> 0) AS tenant_ok, (face_id % 2 = 0 OR face_id % 4 = 1) AS compatible FROM faces")
+@query("SELECT user_id, face_id, '/' || user_id::VARCHAR || '/' || photo_id::VARCHAR AS path, (face_id % 3 <> 0) AS tenant_ok, (face_id % 2 = 0 OR face_id % 4 = 1) AS compatible FROM faces")
 def request_predicates(spark, sf_dir):
     f = fx.faces(spark, sf_dir)
     tenant = F.when(F.col("face_id") % 3 == 0, F.lit("__legacy__")).otherwise(F.concat(F.lit(" t"), F.col("face_id").cast("string")))
@@ -568,5 +568,8 @@ def one_to_one_association(spark, sf_dir):
 def run_consolidation(spark, sf_dir):
     from kinlake.plans.consolidate import consolidate
 
-    state, _, _ = consolidate(_state(spark, sf_dir), _keep(spark))
+    state = consolidate(_state(spark, sf_dir), _keep(spark)).state
     return state.faces.select("user_id", "face_id", "cluster_id", "assignment_state")
+
+
+from kinlake.plans import control_queries  # noqa: E402, F401  registers its queries here

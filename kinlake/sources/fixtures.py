@@ -72,3 +72,64 @@ def cannot_links(found: DataFrame) -> DataFrame:
 def photo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a completed photo."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+STARTED = "2024-01-01 00:00:00"
+
+
+def photos(found: DataFrame) -> DataFrame:
+    """A row for each photo: a quarter each failed and under way (begun photo_id seconds after STARTED), the rest completed."""
+    i = F.col("photo_id")
+    rows = found.select("user_id", "photo_id").distinct()
+    state = F.when(i % 4 == 1, "processing").when(i % 4 == 2, "failed").otherwise("completed")
+    began = F.timestamp_seconds(F.unix_timestamp(F.lit(STARTED)) + i)
+    return rows.select(
+        "user_id",
+        "photo_id",
+        F.concat(F.lit("/u"), F.col("user_id").cast("string"), F.lit("/p"), i.cast("string"), F.lit(".jpg")).alias("image_path"),
+        (800 + i % 100).cast("int").alias("image_width"),
+        (600 + i % 50).cast("int").alias("image_height"),
+        state.alias("processing_status"),
+        F.when(state != "processing", began).alias("processed_at"),
+        F.lit("m1").alias("embedding_model_version"),
+        F.lit("c1").alias("config_version"),
+        F.when(state == "failed", F.lit("no face")).alias("error_message"),
+        F.when(state == "processing", began).alias("processing_started_at"),
+        F.when(state != "failed", F.concat(F.lit("t"), i.cast("string"))).alias("processing_token"),
+        F.lit(1).alias("processing_attempts"),
+    )
+
+
+def suggestions(found: DataFrame) -> DataFrame:
+    """A merge suggestion for each stored pair of clusters; every third tenant's are resolved already, and clusters that 9 divides give ids of the old form."""
+    pairs = cannot_links(found)
+    a, b = F.col("cluster_a_id").cast("string"), F.col("cluster_b_id").cast("string")
+    old = F.concat(F.lit("merge_"), a)
+    return pairs.select(
+        "user_id",
+        F.when(F.col("cluster_a_id") % 9 == 0, old).otherwise(F.concat(F.lit("merge_x"), a)).alias("suggestion_id"),
+        F.lit("merge").alias("suggestion_type"),
+        F.sort_array(F.array(a, b)).alias("cluster_ids"),
+        F.when(F.col("user_id") % 3 == 2, "rejected").otherwise("pending").alias("status"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit(STARTED)) + F.col("cluster_a_id")).alias("created_at"),
+        F.lit(None).cast("timestamp").alias("resolved_at"),
+    )
+
+
+def lifecycle(found: DataFrame) -> DataFrame:
+    """A row for all tenants but the first: as many photos as it has, and for odd ones a consolidation that began user_id hours after STARTED."""
+    rows = found.where("user_id > 0").groupBy("user_id").agg(F.count_distinct("photo_id").alias("n"))
+    hours = F.timestamp_seconds(F.unix_timestamp(F.lit(STARTED)) + F.col("user_id") * 3600)
+    odd = F.col("user_id") % 2 == 1
+    return rows.select(
+        "user_id",
+        F.col("n").cast("int").alias("photos_since_consolidation"),
+        hours.alias("last_photo_completed_at"),
+        F.lit(None).cast("timestamp").alias("last_consolidated_at"),
+        F.when(odd, hours).alias("count_due_since"),
+        F.when(odd, hours).alias("consolidation_started_at"),
+        F.when(odd, F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("consolidation_token"),
+        F.when(odd, 1).otherwise(0).alias("consolidation_attempts"),
+        F.lit("old").alias("last_consolidation_error"),
+        hours.alias("last_consolidation_error_at"),
+    )

@@ -1,8 +1,10 @@
 """Snapshots of the entity tables: parquet per table and tenant, and a manifest that names the current one.
 
-A new snapshot is written beside the old one and becomes current when its manifest takes its
-place, which is one rename; readers see all tables of one snapshot or of the other. One writer
-at a time is assumed.
+A new snapshot is written beside the old one and becomes current when its manifest appears, which
+is one rename to a name that nothing has yet: manifests are numbered and the highest is the
+current one. Readers see all tables of one snapshot or of the other, and a writer that stops half
+way leaves the last one current. Of two writers of one number the second fails. One writer at a
+time is assumed all the same, since nothing else keeps one from building on an old snapshot.
 """
 
 from __future__ import annotations
@@ -25,11 +27,19 @@ class Snapshots:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict | None:
-        p, fs = self._fs(f"{self.root}/manifest.json")
+    def _numbers(self) -> list[int]:
+        p, fs = self._fs(f"{self.root}/manifests")
         if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def manifest(self) -> dict | None:
+        found = self._numbers()
+        if not found:
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(p)).collect()))  # a few lines
+        path = f"{self.root}/manifests/{found[-1]:012d}.json"
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(path).collect()))  # a few lines
 
     def create(self) -> None:
         """Empty tables, if there is no snapshot yet."""
@@ -50,15 +60,15 @@ class Snapshots:
             df = tables[t] if t in tables else self.read(t) if old else self.spark.createDataFrame([], TABLES[t])
             df.select(*self.spark.createDataFrame([], TABLES[t]).columns).write.partitionBy("user_id").parquet(f"{self.root}/{name}/{t}")
         text = json.dumps({"snapshot": name, "schema_version": SCHEMA_VERSION, "before": old and old["snapshot"]})
-        p, fs = self._fs(f"{self.root}/manifest.json")
-        fresh, _ = self._fs(f"{self.root}/.manifest-{name}")
+        number = (self._numbers() or [0])[-1] + 1
+        p, fs = self._fs(f"{self.root}/manifests/{number:012d}.json")
+        fs.mkdirs(p.getParent())
+        fresh, _ = self._fs(f"{self.root}/manifests/.{name}")
         out = fs.create(fresh, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(fresh, p):
-            raise OSError(f"the manifest of {name} couldn't be put in place")
+        if fs.exists(p) or not fs.rename(fresh, p):
+            raise OSError(f"the manifest of {name} couldn't be put in place: another writer was there first")
         return name
 
     def delete_user(self, user_id: str) -> dict[str, int]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinlake.functions import geometry, keys, quality, vector
-from kinlake.operators import association, audit, density, exemplars, gallery, integrity, mutations, recovery, scores
+from kinlake.operators import association, audit, density, evidence, exemplars, gallery, integrity, mutations, recovery, scores
 from kinlake.sources import images, snapshot
 from kinlake.streaming.incremental import Gallery, replay, stream
 
@@ -106,10 +106,33 @@ def test_density_labels():
     assert set(density.labels(np.vstack([a]), allow_single=True).tolist()) <= {0, -1}
 
 
-def test_connected(spark):
+def test_connected(spark, monkeypatch):
     turn = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
-    f = faces(spark, [(i, 10, turn(60 * i)) for i in range(4)] + [(10, 20, turn(0)), (11, 20, turn(120))])
-    assert {r["cluster_id"]: r["connected"] for r in audit.connected(f).collect()} == {10: True, 20: False}
+    f = faces(spark, [(i, 10, turn(60 * i)) for i in range(4)] + [(10, 20, turn(0)), (11, 20, turn(120)), (12, 30, turn(5))])
+    for block in (evidence.BLOCK, 2):
+        monkeypatch.setattr(evidence, "BLOCK", block)
+        rows = evidence.similarity_rows(f, f.select("user_id", "cluster_id"))
+        got = evidence.connected(rows, audit.cluster_sizes(f), evidence.most_blocks(f)).collect()
+        assert {r["source"]: r["connected"] for r in got} == {10: True, 20: False, 30: True}
+
+
+def test_similarity_rows_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors, homes = rng.normal(size=(40, 3)), rng.integers(0, 5, 40)
+    f = faces(spark, [(i, int(homes[i]), vectors[i], {"photo_id": i // 2 if i % 5 else None}) for i in range(40)])
+    sources = spark.createDataFrame([(1, 1), (1, 3)], "user_id long, cluster_id long")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    want = {}
+    for i in range(40):
+        for c in set(homes.tolist()) - {homes[i]} if homes[i] in (1, 3) else ():
+            own = np.flatnonzero(homes == c)
+            near = own[sim[i, own] >= 0.41]
+            want[i, c] = (round(float(sim[i, own].max()), 6), len(near), sorted(near.tolist()), sorted(str(x // 2 if x % 5 else None) for x in near.tolist()))
+    for block in (evidence.BLOCK, 7):
+        monkeypatch.setattr(evidence, "BLOCK", block)
+        got = evidence.combined(evidence.similarity_rows(f, sources)).collect()
+        assert {(r["face_id"], r["target"]): (round(r["best"], 6), r["support"], sorted(r["others"]), sorted(map(str, r["photos"]))) for r in got} == want
 
 
 def test_integrity_and_mutations(spark):

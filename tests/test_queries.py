@@ -25,7 +25,7 @@ def plain(rows):
     return sorted((tuple(value(x) for x in r) for r in rows), key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(ORACLE_SQL) if n != "fragment_bridges"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, db, name):
     got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
