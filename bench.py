@@ -36,7 +36,7 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in HEADLINE:
         runs = []
-        for _ in range(1 if name == "run_consolidation" else 3):
+        for _ in range(3):
             began = time.perf_counter()
             base.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
