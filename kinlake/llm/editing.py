@@ -60,8 +60,23 @@ def distance(a: str, b: str, most: int) -> int:
     a, b = a[: len(a) - low], b[: len(b) - low]
     if not a or not b:
         return min(max(len(a), len(b)), most + 1)
-    score = len(a)
-    for at, score in enumerate(_columns(masks(a), len(a), b, False), 1):
-        if score - (len(b) - at) > most:
+    peq, m, n = masks(a), len(a), len(b)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, get = full, 0, m, peq.get
+    for start in range(0, n, 64):
+        for c in b[start : start + 64]:  # the columns of _columns(), without its generator
+            eq = get(c, 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (full & ~(xh | pv))
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = ph << 1 | 1
+            pv = (mh << 1 | ~(xv | ph)) & full
+            mv = ph & xv & full
+        if score - max(n - start - 64, 0) > most:
             return most + 1
     return min(score, most + 1)

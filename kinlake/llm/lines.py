@@ -1,40 +1,61 @@
 """Fuzzy line dedup: one occurrence stays of each connected group of near-equal lines.
 
 Lines are normalised (A-Z lower, digits as 0, one space for all other ASCII between words); lines
-with one form are one node. Each node has KEYS keys of ROWS minhashes of its character n-grams, so
-two nodes meet under a key with the ROWS-th power of their n-grams' resemblance, which a few edits
-lower little. Under each key nodes are linked that are within the edit similarity, and nothing
-else decides: pairs whose lengths or counts of characters differ by more than the edits allow are
-left out before, which loses none. A key of more than CROWD nodes, or of more than CHARS
-characters, is dealt to tasks by pairs of blocks, so any two nodes under it meet all the same.
+with one form are one node. A node's SimHash has BLOCKS blocks of WIDTH bits and 64 more bits. By
+the pigeonhole principle two nodes that differ in fewer than BLOCKS of the blocks' bits share a
+block; most that differ in more do so too, since several of those bits fall into one block. Two
+nodes are linked if they share a block, differ in at most APART of the 64 bits and APART_ALL of
+all bits, and are within the edit similarity. The size of a bucket changes nothing: a large one
+is dealt to tasks by pairs of parts, so any two nodes of it meet all the same. They are compared
+where they share their first block only.
+
+The join on blocks is a shuffle of arrays: each task sends the (block, node, 64 bits) of all its
+nodes as one row for each part of the buckets, and a part's rows are sorted as numbers. What
+leaves it are the nodes that have a partner by the 64 bits. These are held to all bits, and only
+the forms of nodes that still have a partner are read again and compared.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm.editing import distance
-from kinlake.llm.text import _CHAR, chunks, mix, rolling, spans, word_hashes
-from kinlake.llm.work import Scratch, by_runs, components, deal
-
-KEYS, ROWS = 12, 2
-#: Characters of an n-gram of short lines, and of long ones; between the two lengths a line has keys of both, since near lines' lengths differ.
-GRAMS, SHORT, LONG = (5, 6), 100, 89
-COUNTS = 32
-CROWD, CHARS = 512, 1_000_000
-LEAST_CHARS = 20
-FILTER_BITS, PROBES = 24, (0, 20, 40)
+from kinlake.llm.text import chunks, mix, spans, word_hashes
+from kinlake.llm.work import Scratch, by_many_runs, by_runs, components, deal, in_blocks
+
+BLOCKS, WIDTH = 16, 28
+#: Of the 64 bits beside the blocks, and of all bits; of lines within an edit similarity of 0.9 that share a block one in a hundred differs in more than 77 of all, unrelated ones in some 230.
+APART, APART_ALL = 14, 80
+#: Bytes of a feature, and the features of a line that are used (about; of longer lines those with the least hashes).
+GRAM, FEATURES = 3, 64
+WORDS = BLOCKS * WIDTH // 64 + 1
+#: Nodes of a block of a dealt bucket while only SimHashes are compared, and nodes and characters of one while forms are.
+CROWD_BITS, CROWD, CHARS = 8192, 2048, 4_000_000
+#: Words of either line that are passed over at once to find where both go on alike.
+WINDOW = 4
+#: Characters from which on a line's characters are counted before its edit distance is taken.
+COUNTED = 2000
+#: Pairs that wait for the slower way at once.
+WAITING = 50_000
+#: (block, node) entries of a part of the buckets, on average.
+PART = 1 << 19
+#: Forms whose SimHash a task remembers to have sent; beyond that it may send some again.
+SENT = 500_000
+ROWS_AT_ONCE = 1024
+FILTER_BITS, PROBES = (16, 26), (0, 19, 38)
 _FORM = np.full(256, 32, np.uint8)
 _FORM[128:] = np.arange(128, 256)
 _FORM[[*b"abcdefghijklmnopqrstuvwxyz"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
 _FORM[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = [*b"abcdefghijklmnopqrstuvwxyz"]
 _FORM[[*b"0123456789"]] = 48
-_TURNS = (mix(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_ODD = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _ranges(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +64,27 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts - begin, n) + np.arange(int(n.sum())), begin
 
 
+def _features(grams: np.ndarray, starts: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct grams, n from each of the ascending starts, whose 40-bit hash is at most `most`; by row, at least one for each."""
+    base, stop = int(starts[0]), int(starts[-1] + n[-1])
+    found = grams[base:stop] >> np.uint64(24)
+    gap = np.append(starts[1:], stop) - starts - n  # grams after each row's own, up to the next row
+    edges = np.stack([starts - base, starts - base + n], 1).ravel()
+    least = np.minimum.reduceat(np.append(found, np.uint64(0)), edges)[::2]
+    limit = np.stack([np.maximum(most, least) + np.uint64(1), np.zeros(len(n), np.uint64)], 1).ravel()  # none after its own
+    counts = np.stack([n, gap], 1).ravel()
+    keep = np.flatnonzero(found < np.repeat(limit, counts))
+    row = np.searchsorted(starts - base, keep, "right") - 1
+    found = np.sort(row.astype(np.uint64) << np.uint64(40) | found[keep])
+    found = found[np.diff(found, prepend=~found[:1]) != 0]
+    return (found >> np.uint64(40)).astype(np.int64), found & np.uint64((1 << 40) - 1)
+
+
 class Lines:
     """The lines of a chunk of texts that are compared: owner (the text), number in it, size of the form, and words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least_chars: int):
-        """Keeps lines whose form has at least least_chars bytes."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        """Keeps lines whose form isn't empty."""
         breaks = np.flatnonzero(data == 10)
         texts = np.arange(len(offsets) - 1)
         bounds = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")  # a line starts with its text or after a newline
@@ -59,11 +96,12 @@ class Lines:
         words = np.diff(first)
         lengths = np.concatenate([[0], np.cumsum(ends - starts)])
         size = lengths[first[1:]] - lengths[first[:-1]] + np.maximum(words - 1, 0)
-        keep = np.flatnonzero(size >= max(least_chars, 1))
+        keep = np.flatnonzero(size >= 1)
         self.owner, self.number, self.size = owner[keep], number[keep], size[keep]
         self.low, self.high = first[:-1][keep], first[1:][keep]
         self.starts, self.ends = starts, ends
         self.hashes = word_hashes(self.data, starts, ends)
+        self._joined = None
 
     def ids(self) -> np.ndarray:
         """A 64-bit hash of each form: a sum over its words, each mixed with its place."""
@@ -73,122 +111,216 @@ class Lines:
         mixed = mix(words ^ mix(place.astype(np.uint64) + np.uint64(1)))
         return mix(np.add.reduceat(mixed, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64) if len(n) else np.zeros(0, np.int64)
 
-    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """The words' bytes with one space after each, and where each form starts in them."""
-        inner = self.data != 32
-        inner[1:] |= inner[:-1].copy()
-        places = np.cumsum(inner) - inner
-        return self.data[inner], places[self.starts[self.low]]
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each form's characters, and their counts (up to 255) in COUNTS classes; an edit changes two counts by one at most."""
-        data, starts = self._joined()
-        at, _ = _ranges(starts, self.size)
-        byte, row = data[at], np.repeat(np.arange(len(self.size)), self.size)
-        lead = (byte & 0xC0) != 0x80  # one for each code point
-        table = np.bincount(row[lead] * COUNTS + byte[lead] % COUNTS, minlength=len(self.size) * COUNTS).reshape(-1, COUNTS)
-        return table.sum(1), np.minimum(table, 255).astype(np.uint8)
-
-    def keys(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key) for each key of each form."""
-        data, starts = self._joined()
-        lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for kind, (gram, own) in enumerate(zip(GRAMS, (chars < SHORT, chars >= LONG), strict=True)):
-            own = np.flatnonzero(own & (self.size >= gram))
-            if not len(own):
-                continue
-            hashes = (rolling(_CHAR[data], gram) >> np.uint64(32)).astype(np.uint32)
-            at, begin = _ranges(starts[own], self.size[own] - gram + 1)
-            hashes = hashes[at]
-            for k in range(KEYS):
-                key = np.full(len(own), kind * KEYS + k + 1, np.uint64)
-                for turn in _TURNS[k * ROWS : (k + 1) * ROWS]:
-                    key = mix(key ^ mix(np.minimum.reduceat(hashes * turn, begin).astype(np.uint64) + np.uint64(1)))
-                lines.append(own)
-                keys.append(key)
-        return np.concatenate(lines), np.concatenate(keys).view(np.int64)
-
-    def form(self, i: int) -> str:
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[self.low[i] : self.high[i]], self.ends[self.low[i] : self.high[i]], strict=True)).decode("utf-8", "replace")
+        if self._joined is None:
+            inner = self.data != 32
+            inner[1:] |= inner[:-1].copy()
+            places = np.cumsum(inner) - inner
+            self._joined = self.data[inner], places[self.starts[self.low]]
+        return self._joined
+
+    def simhashes(self, own: np.ndarray) -> np.ndarray:
+        """WORDS words of SimHash of each of these lines, of at least GRAM bytes: the blocks' bits and, last, the 64 others."""
+        data, starts = self.joined()
+        wide = data.astype(np.uint64)
+        grams = mix((wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)) + np.uint64(1)) if len(data) >= GRAM else np.zeros(0, np.uint64)
+        out = np.zeros((len(own), WORDS), np.uint64)
+        for low in range(0, len(own), ROWS_AT_ONCE):
+            part = own[low : low + ROWS_AT_ONCE]
+            n = self.size[part] - GRAM + 1
+            row, found = _features(grams, starts[part], n, np.minimum(FEATURES / n * 2.0**40, 2.0**40).astype(np.uint64))
+            met = np.bincount(row, minlength=len(part))
+            few = np.flatnonzero((met < FEATURES // 3) & (n > FEATURES // 3))
+            if len(few):  # lines that repeat their grams have fewer features than others of their length; twice, four times .. as many are tried
+                wider = FEATURES / n[few] * 2.0 ** (40 + np.floor(np.log2(FEATURES / met[few])))
+                more, rest = _features(grams, starts[part[few]], n[few], np.minimum(wider, 2.0**40).astype(np.uint64)), ~np.isin(row, few)
+                row, found = np.concatenate([row[rest], few[more[0]]]), np.concatenate([found[rest], more[1]])
+                order = np.argsort(row, kind="stable")
+                row, found = row[order], found[order]
+            out[low : low + len(part)] = majority(row, found, len(part))
+        return out
+
+    def forms(self, own: np.ndarray) -> pa.Array:
+        """These lines' forms, as strings."""
+        data, starts = self.joined()
+        at, begin = _ranges(starts[own], self.size[own])
+        raw, ends = data[at].tobytes(), np.append(begin, len(at)).astype(np.int32)
+        try:
+            raw.decode()
+        except UnicodeDecodeError:  # bytes that aren't UTF-8 become U+FFFD
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
+        return pa.StringArray.from_buffers(len(own), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw))
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bitwise sum of three, and what it carries."""
+    d = a ^ b
+    return d ^ c, (a & b) | (d & c)
+
+
+def majority(row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    """For rows 0 to n - 1, each with a run of features: the bits that most of the features' hashes have, those of the first where as many have them as not.
+
+    Counts are kept as bit planes: plane p holds bit p of the counts of all WORDS * 64 bits of a row."""
+    hashes = feature[:, None] * _ODD
+    hashes ^= hashes >> np.uint64(32)  # the low bits of a product depend on few bits, the high ones on all
+    m = np.bincount(row, minlength=n)
+    order = np.argsort(-m, kind="stable")
+    first, sizes = (np.cumsum(m) - m)[order], m[order]
+    planes = np.zeros((max(3, int(sizes[0]).bit_length()), n, WORDS), np.uint64)
+    hashes = np.concatenate([hashes, np.zeros((1, WORDS), np.uint64)])  # the last one stands for none
+    for t in range(0, int(sizes[0]), 4):  # four features at once
+        longer = int(np.searchsorted(-sizes, -t))  # rows with more than t features
+        place = first[:longer] + t
+        x = [hashes[place], *(hashes[np.where(sizes[:longer] > t + k, place + k, -1)] for k in (1, 2, 3))]
+        ones, a = _add(planes[0, :longer], x[0], x[1])
+        planes[0, :longer], b = _add(ones, x[2], x[3])
+        planes[1, :longer], carry = _add(planes[1, :longer], a, b)
+        for plane in planes[2 : max(3, (t + 4).bit_length())]:
+            plane = plane[:longer]
+            on = plane & carry
+            plane ^= carry
+            carry = on
+    half = sizes // 2
+    more, even = np.zeros((n, WORDS), np.uint64), np.full((n, WORDS), ~np.uint64(0))
+    for p in range(len(planes) - 1, -1, -1):
+        bit = np.where(half >> p & 1, ~np.uint64(0), np.uint64(0))[:, None]
+        more |= even & planes[p] & ~bit
+        even &= ~(planes[p] ^ bit)
+    ties = sizes % 2 == 0
+    more[ties] |= even[ties] & hashes[first[ties]]
+    out = np.empty_like(more)
+    out[order] = more
+    return out
 
 
-def line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(line_id, doc_id, line_no, chars, counts) for every line that is compared."""
+def block_keys(words: np.ndarray) -> np.ndarray:
+    """The blocks of each SimHash, each with its number in the upper bits."""
+    out = np.empty((len(words), BLOCKS), np.uint32)
+    for k in range(BLOCKS):
+        w, shift = divmod(k * WIDTH, 64)
+        bits = words[:, w] >> np.uint64(shift)
+        if shift + WIDTH > 64:
+            bits = bits | words[:, w + 1] << np.uint64(64 - shift)
+        out[:, k] = (bits & np.uint64((1 << WIDTH) - 1)).astype(np.uint32) | np.uint32(k << WIDTH)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in chunks(batch.column(1)):
-                x = Lines(data, offsets, least_chars)
-                chars, counts = x.counts()
-                counts = pa.array([c.tobytes() for c in counts], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.ids()), pa.array(ids[row + x.owner], pa.int64()), pa.array(x.number.astype(np.int32)), pa.array(chars.astype(np.int32)), counts],
-                    ["line_id", "doc_id", "line_no", "chars", "counts"],
-                )
 
-    return docs.mapInArrow(run, "line_id long, doc_id long, line_no int, chars int, counts binary")
+def least_bytes(percent: int) -> int:
+    """Forms shorter than this allow no edit, so they have no near ones."""
+    return max(GRAM, -(-100 // (100 - percent))) if percent < 100 else 1 << 62
 
 
-def key_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(id, key) of every line that is compared; lines of one form in several texts give the same rows."""
+def line_table(docs: DataFrame, percent: int) -> DataFrame:
+    """(line_id, doc_id, text_id, line_no, simhash) for every line with a form; simhash once or a few times for each form, and only of forms that may have near ones."""
+    least = least_bytes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            for _, data, offsets in chunks(batch.column(1)):
-                x = Lines(data, offsets, least_chars)
-                line, key = x.keys(x.counts()[0])
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids()[line]), pa.array(key)], ["id", "key"])
+            doc, text = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for row, data, offsets in chunks(batch.column(2)):
+                x = Lines(data, offsets)
+                ids = x.ids()
+                lead = np.unique(ids, return_index=True)[1]
+                lead = lead[x.size[lead] >= least]
+                if len(sent) > SENT:
+                    sent.clear()
+                lead = np.array([i for i, name in zip(lead.tolist(), ids[lead].tolist(), strict=True) if name not in sent], np.int64)
+                lead.sort()
+                sent.update(ids[lead].tolist())
+                has = np.zeros(len(ids), bool)
+                has[lead] = True
+                owner = row + x.owner
+                columns = [pa.array(ids), pa.array(doc[owner], pa.int64()), pa.array(text[owner], pa.int64()), pa.array(x.number.astype(np.int32)), _words_array(x.simhashes(lead), has)]
+                yield pa.RecordBatch.from_arrays(columns, ["line_id", "doc_id", "text_id", "line_no", "simhash"])
 
-    return docs.mapInArrow(run, "id long, key long")
+    return docs.mapInArrow(run, "line_id long, doc_id long, text_id long, line_no int, simhash binary")
 
 
-def _field(column: str, low: int, high: int):
-    return F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def _words_array(words: np.ndarray, has: np.ndarray) -> pa.Array:
+    """SimHashes as a column of binaries, null where `has` isn't set."""
+    offsets = np.concatenate([[0], np.cumsum(has * (8 * WORDS))]).astype(np.int32)
+    marks = np.packbits(has, bitorder="little").tobytes()
+    return pa.BinaryArray.from_buffers(pa.binary(), len(has), [pa.py_buffer(marks), pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes())])
 
 
-def _possible(chars: np.ndarray, counts: np.ndarray, i: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the first i may be within the edits that i and they allow, and how far their counts are apart."""
-    most = (100 - percent) * np.maximum(chars[:i], chars[i]) // 100
-    apart = np.abs(counts[:i] - counts[i]).sum(1)
-    return (np.abs(chars[:i] - chars[i]) <= most) & (apart <= 2 * most), apart
-
-
-def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
-    return group["id"].to_numpy(), group["chars"].to_numpy().astype(np.int64), counts, group["block"].to_numpy()
+def entries(nodes: DataFrame, parts: int) -> DataFrame:
+    """(part, entries): the (block, node, 64 bits) of all blocks of a task's nodes, by part of the buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+            found = np.empty((len(words), BLOCKS), _ENTRY)
+            found["key"] = block_keys(words)
+            found["id"] = batch.column(0).to_numpy()[:, None]
+            found["bits"] = words[:, -1:]
+            found = found.ravel()
+            part = (mix(found["key"].astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            found, part = found[order], part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            blobs = [found[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(found)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(blobs, pa.binary())], ["part", "entries"])
+
+    return nodes.mapInArrow(run, "part long, entries binary")
+
+
+_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("bits", "<u8")])
+
+
+def partners(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the entries, sorted by key, have another one of their key within APART bits, and where each key begins. In a key of more than CROWD_BITS entries all count as such."""
+    begin = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    n = np.diff(np.append(begin, len(key)))
+    has = np.repeat(n > CROWD_BITS, n)
+    left = np.where(has, 0, np.repeat(begin + n, n) - np.arange(len(key)) - 1)  # entries of the key that follow
+    at, step = np.flatnonzero(left), 1
+    while len(at):
+        near = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= APART]
+        has[near] = has[near + step] = True
+        step += 1
+        at = at[left[at] >= step]
+    return has, begin
+
+
+def candidates(nodes: DataFrame, parts: int) -> DataFrame:
+    """(component, id, first, size): the nodes of each bucket that have a partner in it, how many they are, and the bucket's block; component stands for that set of nodes, so it is the same for buckets with the same ones."""
+
+    def run(part: pa.Table) -> pa.RecordBatch | None:
+        found = np.frombuffer(b"".join(part["entries"].to_pylist()), _ENTRY)
+        found = found[np.argsort(found["key"].astype(np.uint64) << np.uint64(32) | mix(found["id"].view(np.uint64)) >> np.uint64(32))]
+        again = (found["key"][1:] == found["key"][:-1]) & (found["id"][1:] == found["id"][:-1])  # a node may have been sent by several tasks
+        found = found[np.concatenate([[True], ~again])]
+        key, ids = found["key"], found["id"]
+        has, begin = partners(key, found["bits"])
+        has_before = np.concatenate([[0], np.cumsum(has)])
+        n = has_before[np.append(begin[1:], len(key))] - has_before[begin]
+        ids = ids[has]
+        if not len(ids):
+            return None
+        n = n[n > 0]
+        sets = np.add.reduceat(mix(ids.view(np.uint64) + np.uint64(1)), np.cumsum(n) - n)
+        block = (key[has] >> np.uint32(WIDTH)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(sets).view(np.int64), n)), pa.array(ids), pa.array(block), pa.array(np.repeat(n, n))], ["component", "id", "first", "size"])
 
-def candidates(keyed: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(group, i, j, id, block, chars, counts): the nodes of each task that may be near another one of it."""
-    shared = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
-    met = scratch.keep(keyed.join(shared, "key").select("id", F.col("key").alias("component")).distinct())
-    member = nodes.select(F.col("line_id").alias("id"), F.col("chars").cast("long").alias("weight"))
-    dealt = deal(met, member, CROWD, CHARS)
-    tasks = dealt.join(nodes.select(F.col("line_id").alias("id"), "chars", "counts"), "id").select("group", "i", "j", "id", "block", "chars", "counts")
+    return by_runs(entries(nodes, parts), ["part"], run, "component long, id long, first int, size long")
 
-    def run(group: pa.Table) -> pa.RecordBatch | None:
-        if group.num_rows < 2:
-            return None
-        _, chars, counts, blocks = _columns(group)
-        alone, stays = group["i"][0] == group["j"][0], np.zeros(len(chars), bool)
-        for i in range(1, len(chars)):
-            near, _ = _possible(chars, counts, i, percent)
-            if not alone:
-                near &= blocks[:i] != blocks[i]
-            stays[:i] |= near
-            stays[i] |= near.any()
-        return group.filter(pa.array(stays)).combine_chunks().to_batches()[0] if stays.any() else None
 
-    return by_runs(tasks, ["group", "i", "j"], run, "group long, i int, j int, id long, block int, chars int, counts binary")
+def _field(column: str, low: int, high: int):
+    return F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids, of 2 ** FILTER_BITS bits (2 MB) however many they are; the ids are hashes, so their bits are the places."""
-    places = ids.select(F.explode(F.array(*(_field("id", s, s + FILTER_BITS) for s in PROBES))).alias("p"))
+    """A Bloom filter of the ids, of 16 bits each and 8 MB at most; the ids are hashes, so their bits are the places."""
+    bits = min(max((16 * ids.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    places = ids.select(F.explode(F.array(*(_field("id", s, s + bits) for s in PROBES))).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    rows = words.toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    rows = words.toPandas()  # at most 2 ** 20 rows
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
@@ -196,90 +328,225 @@ def bloom(ids: DataFrame) -> np.ndarray:
 def may_contain(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     found, ids = np.ones(len(ids), bool), ids.view(np.uint64)
     for s in PROBES:
-        p = (ids >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1)
+        p = (ids >> np.uint64(s)) & np.uint64(64 * len(filter_) - 1)
         found &= (filter_[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return found
 
 
-def forms_of(docs: DataFrame, wanted: DataFrame, least_chars: int) -> DataFrame:
-    """(id, form) of the lines whose ids are wanted. A Bloom filter keeps most others from the shuffle, and the join keeps out the rest."""
+def hashes_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, simhash) of the wanted ids, once each. A Bloom filter keeps others from the shuffle, all or, where more than some millions are wanted, a part."""
+    marks = hashed.sparkSession.sparkContext.broadcast(bloom(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_contain(marks.value, batch.column(0).to_numpy())))
+
+    found = hashed.select(F.col("line_id").alias("id"), "simhash").mapInArrow(run, "id long, simhash binary")
+    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
+def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, form) of the lines whose ids are wanted, once each; a Bloom filter as in hashes_of()."""
     marks = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = marks.value
         for batch in batches:
-            for _, data, offsets in chunks(batch.column(1)):
-                x = Lines(data, offsets, least_chars)
+            for _, data, offsets in chunks(batch.column(0)):
+                x = Lines(data, offsets)
                 ids = x.ids()
                 keep = np.flatnonzero(may_contain(filter_, ids))
                 keep = keep[np.unique(ids[keep], return_index=True)[1]]
                 if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([x.form(i) for i in keep], pa.string())], ["id", "form"])
-
-    found = docs.mapInArrow(run, "id long, form string")
-    return found.groupBy("id").agg(F.min("form").alias("form")).join(wanted, "id", "left_semi")
-
-
-def confirmed(texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the similar lines of each task."""
-
-    def run(group: pa.Table) -> pa.RecordBatch | None:
-        ids, chars, counts, blocks = _columns(group)
-        forms = group["form"].to_pylist()
-        alone, label, links = group["i"][0] == group["j"][0], np.arange(len(ids)), []
-        for i in range(1, len(ids)):
-            near, apart = _possible(chars, counts, i, percent)
-            near &= label[:i] != label[i]
-            if not alone:
-                near &= blocks[:i] != blocks[i]
-            near = np.flatnonzero(near)
-            for x in near[np.argsort(apart[near], kind="stable")]:  # the likeliest first, since one link spares the rest of a group
-                most = (100 - percent) * max(chars[i], chars[x]) // 100
-                if label[x] != label[i] and distance(forms[i], forms[x], int(most)) <= most:
-                    links.append((int(ids[i]), int(ids[x])))
-                    label[label == label[x]] = label[i]
-        if not links:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), x.forms(keep)], ["id", "form"])
+
+    found = docs.select("text").mapInArrow(run, "id long, form string")
+    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
+def rewritten(a: str, b: str, most: int) -> bool:
+    """Whether `most` edits are enough by one plain way: words in step, up to WINDOW of them written anew where they differ. True is certain, False says nothing."""
+    x, y = a.split(" "), b.split(" ")
+    n, m, i, j, cost = len(x), len(y), 0, 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(((p, s - p) for s in range(1, WINDOW + 1) for p in range(s + 1) if i + p < n and j + s - p < m and x[i + p] == y[j + s - p]), (1, 1))
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q) - (1 if p and q else 0)
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    cost += sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
+    return cost <= most
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most `most`. Of long lines characters are counted first: those that one has more often take an edit each."""
+    if max(len(a), len(b)) > COUNTED:
+        x, y = Counter(a), Counter(b)
+        if (x - y).total() > most or (y - x).total() > most:
+            return False
+    return distance(a, b, most) <= most
+
+
+def likely_pairs(task: np.ndarray, part: np.ndarray, first: np.ndarray, alone: np.ndarray, words: np.ndarray, chars: np.ndarray, percent: int, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, apart): the pairs of rows of each task that may be linked, and the bits in which they differ, at most one with each a at a time.
+
+    Rows of a task stand together. Left out are pairs of one part in a task of two, pairs whose
+    first common block is not `first`, pairs that differ in too many bits or in length, and those
+    that wanted(a, b), asked each time, doesn't want."""
+    begin = np.flatnonzero(np.diff(task, prepend=-1))
+    n = np.diff(np.append(begin, len(task)))
+    left = np.repeat(begin + n, n) - np.arange(len(task)) - 1
+    keys, at, step = block_keys(words), np.flatnonzero(left), 1
+    while len(at):
+        a = at[np.bitwise_count(words[at, -1] ^ words[at + step, -1]) <= APART]
+        b = a + step
+        fits = (100 * np.abs(chars[a] - chars[b]) <= (100 - percent) * np.maximum(chars[a], chars[b])) & (alone[a] | (part[a] != part[b]))
+        if wanted is not None:
+            fits &= wanted(a, b)
+        a, b = a[fits], b[fits]
+        apart = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
+        same = keys[a] == keys[b]
+        fits = (apart <= APART_ALL) & (same.argmax(1) == first[a]) & same[np.arange(len(a)), first[a]]
+        if fits.any():
+            yield a[fits], b[fits], apart[fits]
+        step += 1
+        at = at[left[at] >= step]
+
+
+class Forest:
+    """Links that join up numbered rows, each only if it joins two that were apart."""
+
+    def __init__(self, n: int):
+        self.root, self.links = np.arange(n), []
+
+    def _tops(self, x: np.ndarray) -> np.ndarray:
+        top = self.root[x]
+        while ((up := self.root[top]) != top).any():
+            top = up
+        self.root[x] = top
+        return top
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._tops(a) != self._tops(b)
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.find(a)] = self.find(b)
+        self.links.append((a, b))
+
+
+def _tasks(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """The rows' task numbers, parts, first blocks, whether their task is of one part, and SimHash words."""
+    group, i, j, part = (rows[c].to_numpy() for c in ("group", "i", "j", "block"))
+    task = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    return task, part, group & (BLOCKS - 1), i == j, np.frombuffer(b"".join(rows["simhash"].to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def held_to_all_bits(tasks: DataFrame) -> DataFrame:
+    """(component, id): the nodes of each task that have a likely partner in it; component's last four bits are the block. tasks: group (its last four bits: the block), i, j, id, block, simhash."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch | None:
+        task, part, first, alone, words = _tasks(rows)
+        has = np.zeros(len(task), bool)
+        for a, b, _ in likely_pairs(task, part, first, alone, words, np.zeros(len(task), np.int64), 0, lambda a, b: ~(has[a] & has[b])):
+            has[a] = has[b] = True
+        kept = np.flatnonzero(has)
+        if not len(kept):
+            return None
+        group, i, j, ids = (rows[c].to_numpy()[kept] for c in ("group", "i", "j", "id"))
+        name = mix(group.view(np.uint64) ^ mix(i.astype(np.uint64) << np.uint64(32) | j.astype(np.uint64)))
+        name = (name & np.uint64(~(BLOCKS - 1) & (1 << 64) - 1)).view(np.int64) + first[kept]
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids)], ["component", "id"])
+
+    return by_many_runs(tasks, ["group", "i", "j"], run, "component long, id long")
+
+
+def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the linked lines of each task; tasks: as for held_to_all_bits(), and form."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch | None:
+        task, part, first, alone, words = _tasks(rows)
+        ids, chars = rows["id"].to_numpy(), pc.utf8_length(rows["form"]).to_numpy().astype(np.int64)
+        forms, forest, waiting = rows["form"], Forest(len(ids)), []
+
+        def settle():  # what the plain way didn't show, unless links found meanwhile have joined it up
+            for _, x, y, m in sorted(waiting):
+                if forest.find(x) != forest.find(y) and within(forms[x].as_py(), forms[y].as_py(), m):
+                    forest.join(x, y)
+            waiting.clear()
+
+        for a, b, apart in likely_pairs(task, part, first, alone, words, chars, percent, forest.apart):
+            most = (100 - percent) * np.maximum(chars[a], chars[b]) // 100
+            for d, x, y, m in zip(apart.tolist(), a.tolist(), b.tolist(), most.tolist(), strict=True):
+                if forest.find(x) != forest.find(y):
+                    if rewritten(forms[x].as_py(), forms[y].as_py(), m):
+                        forest.join(x, y)
+                    else:
+                        waiting.append((d, x, y, m))
+            if len(waiting) > WAITING:
+                settle()
+        settle()
+        if not forest.links:
             return None
-        a, b = zip(*links, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        links = np.array(forest.links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], ["a", "b"])
 
-    return by_runs(texts, ["group", "i", "j"], run, "a long, b long")
+    return by_many_runs(tasks, ["group", "i", "j"], run, "a long, b long")
 
 
-def find_duplicates(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, exact_chars: int | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines, groups): the table of lines, and (line_id, component, keep_doc, keep_line) of every line form that has other occurrences or near ones."""
+def find_duplicates(docs: DataFrame, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
+    """(component, line_id, place, keep) of every line whose form occurs again or is linked to another: its (doc_id, text_id, line_no), and that of the line of its group that stays."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = scratch.keep(line_table(docs, least_chars if exact_chars is None else min(exact_chars, least_chars)))
-    nodes = scratch.keep(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.min("chars").alias("chars"), F.min("counts").alias("counts")))
-    tasks = scratch.keep(candidates(key_table(docs, least_chars), nodes, percent, scratch))
-    texts = forms_of(docs, tasks.select("id").distinct(), least_chars)
-    links = scratch.keep(confirmed(texts.join(tasks, "id"), percent))
-    near = components(spark, links, scratch)
-    joined = nodes.join(near.withColumnRenamed("id", "line_id"), "line_id", "left").where("n > 1 or component is not null")
-    joined = joined.select("line_id", F.coalesce("component", "line_id").alias("component"), "first")
-    keep = joined.groupBy("component").agg(F.min("first").alias("keep"))
-    groups = joined.join(keep, "component").select("line_id", "component", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
-    return lines, groups
-
-
-def deduplicate(docs: DataFrame, percent: int = 90, least_chars: int = LEAST_CHARS, exact_chars: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.col("text").cast("string").alias("text"))
+    lines = scratch.keep(line_table(docs, percent))
+    hashed = lines.where("simhash is not null").select("line_id", "simhash")
+    parts = -(-lines.count() * BLOCKS // PART) or 1
+    met = candidates(hashed, parts).groupBy("component", "id").agg(F.min("first").alias("first"), F.max("size").alias("size"))
+    met = scratch.keep(met.select("id", (F.col("component").bitwiseAND(F.lit(-BLOCKS)) + F.col("first")).alias("component"), F.ceil(F.col("size") / CROWD_BITS).cast("int").alias("blocks")))
+    wanted = scratch.keep(met.select("id").distinct())
+    hashes = scratch.keep(hashes_of(hashed, wanted))
+    alive = scratch.keep(held_to_all_bits(in_blocks(met).join(hashes, "id")))
+    scratch.release(met, wanted)
+    wanted = scratch.keep(alive.select("id").distinct())
+    known = scratch.keep(forms_of(docs, wanted).join(hashes, "id"))
+    scratch.release(hashes)
+    dealt = deal(alive, known.select("id", F.length("form").cast("long").alias("weight")), CROWD, CHARS)
+    links = scratch.keep(confirmed(dealt.join(known, "id"), percent))
+    scratch.release(alive, wanted, known)
+    near = components(spark, links, scratch).withColumnRenamed("id", "line_id")
+    again = lines.groupBy("line_id").agg(F.count("*").alias("n")).where("n > 1").select("line_id")
+    named = scratch.keep(again.join(near, "line_id", "full").select("line_id", F.coalesce("component", "line_id").alias("component")))
+    place = F.struct("doc_id", "text_id", "line_no").alias("place")
+    rows = scratch.keep(lines.select("line_id", place).join(named, "line_id"))
+    first = scratch.keep(rows.groupBy("component").agg(F.min("place").alias("keep")))  # a table of its own, so that the join back can be split
+    return rows.select("component", "line_id", "place").join(first, "component")
+
+
+def deduplicate(docs: DataFrame, percent: int = 90, scratch: Scratch | None = None) -> DataFrame:
     """docs with all but one occurrence of every group of near-equal lines cut from the texts, and n_lines, n_removed and removed (line numbers).
 
-    Lines end in a newline. Two forms are linked if they share a key and 100 * edit distance <=
-    (100 - percent) * the longer length; groups are connected by links. The occurrence with the smallest (doc_id, line number) stays. Lines whose
-    form is shorter than least_chars are linked to no other form; those of at least exact_chars
-    bytes (1: all with a letter, a digit or a character beyond ASCII) are still grouped with their exact repeats, the others always
-    stay, as all do where exact_chars is None. A null text stays null, with no line; an empty
-    one has one. Rows without a doc_id stay as they are; doc_id must be unique; columns of docs are kept, but for those named
-    like the three new ones; an empty table gives an empty result.
+    Lines end in a newline. Two forms are linked if they share a block of their SimHashes, differ
+    in at most APART of their other 64 bits and APART_ALL of all, and 100 * edit distance <= (100 - percent) * the longer
+    length; groups are connected by links. The occurrence with the smallest (doc_id, hash of the
+    text, line number) stays. Lines without a letter, a digit or a character beyond ASCII have no
+    form and always stay. A null text stays null, with no line; an empty one has one. Rows without
+    a doc_id stay as they are; rows that share doc_id and text are treated alike; columns of docs
+    are kept, but for those named like the three new ones; an empty table gives an empty result.
     """
-    lines, groups = find_duplicates(docs, percent, least_chars, exact_chars, scratch)
-    extra = lines.join(groups, "line_id").where("not (doc_id = keep_doc and line_no = keep_line)")
-    cut = extra.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    extra = find_duplicates(docs, percent, scratch).where("place <> keep").select("place.*")
+    cut = extra.groupBy(F.col("doc_id").alias("__cut_id"), F.col("text_id").alias("__cut_text")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(cut.withColumnRenamed("doc_id", "__cut_id"), F.col("doc_id") == F.col("__cut_id"), "left")
+    same = (F.col("doc_id") == F.col("__cut_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__cut_text"))
+    joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(cut, same, "left")
     parts = F.split(F.col("text"), "\n", -1)
     stay = F.filter(parts, lambda _, i: ~F.array_contains("removed", i))
     return joined.select(

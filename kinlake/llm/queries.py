@@ -60,19 +60,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
+    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = spark.sparkContext.broadcast(bpe.Codec(bpe.load(tokenizer_path())))
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, decoded="decoded", keep_text=False)
-    return coded.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest("token_ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, codec, into=None, digests=True, keep_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,21 +20,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With this setting of the engine a query's shuffle files go when it ends. The tables of a Scratch are written once each, so none of them needs the files again.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor's tasks read them again."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/kinlake-{uuid.uuid4().hex}"
         self.count = 0
+        self.numbers: dict[int, int] = {}
 
     def path(self) -> str:
         self.count += 1
         return f"{self.root}/{self.count}"
 
     def keep(self, df: DataFrame) -> DataFrame:
-        at = self.path()
-        df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        at, before = self.path(), self.spark.conf.get(TIDY, "false")
+        self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(TIDY, before)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.numbers[id(out)] = self.count
+        return out
+
+    def release(self, *kept: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df in kept:
+            self.drop(self.numbers.pop(id(df)))
 
     def drop(self, number: int) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -42,59 +58,133 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Links that a task joins up at once.
+LINKS_AT_ONCE = 1 << 20
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some links, sorted, and the least id that each reaches over them."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            return ids, ids[label]
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """(u, r): for each run of at most LINKS_AT_ONCE links, every id of it and the least that it reaches there."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= LINKS_AT_ONCE:
+                yield _star(held)
+                held, n = [], 0
+        if n:
+            yield _star(held)
+
+    def _star(held):
+        ids, least = least_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["u", "r"])
+
+    return links.mapInArrow(run, "u long, r long")
+
+
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches; ids without links are absent.
 
-    links has two long columns a and b. Alternates large-star and small-star steps, each a
-    grouped minimum (combined before the shuffle) and a join that adaptive execution can split,
-    so a hub with any number of links is no single task. Every round is a table in the shared
-    folder. Null ends and loops are left out; repeated links are harmless; an empty table gives
-    an empty result.
+    links has two long columns a and b. Each round every task joins up the links it has, a bounded
+    number at once, wherever they are; an id that is in several such runs then links the least
+    ids that it reaches in them, and these links, between the least ids alone, go into the next
+    round. Each round leaves at most half the ids that still have links, and one run is enough for
+    what fits into it. An id has one row for each run, so a hub with any number of links is no
+    single task, and the joins that lead labels back can be split. Every round is a table in the
+    shared folder. Null ends and loops are left out; repeated links are harmless; an empty table
+    gives an empty result.
     """
     scratch = scratch or Scratch(spark)
-    edges = scratch.keep(
-        links.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    number, seen = scratch.count, None
+    edges = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    rounds = []
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # a table of its own, so that the join back has plain shuffles on both sides, which can be split
-        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("u > m").select("u", F.col("m").alias("v"))).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.keep(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
-        scratch.drop(number)
-        scratch.drop(scratch.count - 1)
-        number = scratch.count
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        met = _stars(edges).groupBy("u").agg(F.min("r").alias("m"), F.collect_set("r").alias("rs"))
+        met = scratch.keep(met.select("u", "m", F.array_remove("rs", F.col("m")).alias("rs")))
+        rounds.append(met)
+        edges = met.where("size(rs) > 0").select(F.explode("rs").alias("a"), F.col("m").alias("b"))
+        if edges.isEmpty():
             break
-        seen = state
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
+    label = rounds.pop().select(F.col("u").alias("id"), F.col("m").alias("component"))
+    while rounds:
+        met = rounds.pop().select("u", "m")
+        up = label.select(F.col("id").alias("m"), "component")
+        label = scratch.keep(met.join(up, "m", "left").select(F.col("u").alias("id"), F.coalesce("component", "m").alias("component")))
+    return label
 
 
-def deal(coarse: DataFrame, weights: DataFrame, most: int, heaviest: int) -> DataFrame:
+def deal(coarse: DataFrame, weights: DataFrame | None, most: int, heaviest: int = 0) -> DataFrame:
     """(id, group, block, i, j): where each member of each component is compared.
 
     A component of more than `most` members, or of more than `heaviest` weight, is split by a hash
     of the id into blocks within both; there is a task (i, j) for every two blocks and for each
     alone, so any two members meet once, and no task holds more than about two blocks.
-    coarse: id, component; weights: id, weight.
+    coarse: id, component; weights: id, weight (without them only members count).
     """
-    weighed = coarse.join(weights, "id")
-    sizes = weighed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("weight") / heaviest)).cast("int").alias("blocks"))
-    placed = weighed.join(sizes, "component").select(
-        "id", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
-    )
+    weighed = coarse if weights is None else coarse.join(weights, "id")
+    blocks = F.ceil(F.count("*") / most)
+    sizes = weighed.groupBy("component").agg((blocks if weights is None else F.greatest(blocks, F.ceil(F.sum("weight") / heaviest))).cast("int").alias("blocks"))
+    placed = weighed.join(sizes.where("blocks > 1"), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # few are split
+    return in_blocks(placed)
+
+
+def in_blocks(placed: DataFrame) -> DataFrame:
+    """The tasks of deal() for members (id, component, blocks) whose component's number of blocks is known."""
+    placed = placed.select("id", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.select("id", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
+def _starts(batch: pa.RecordBatch, keys: list[str], last: pa.RecordBatch | None) -> np.ndarray:
+    """Rows at which another key begins; the first one counts if it differs from that of the batch before."""
+    changed = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        c = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+        changed[1:] |= c[1:] != c[:-1]
+        if last is not None:
+            changed[0] |= last.column(last.schema.get_field_index(k))[-1].as_py() != c[0]
+    return np.flatnonzero(changed)
+
+
+def by_many_runs(df: DataFrame, keys: list[str], apply, schema: str) -> DataFrame:
+    """Shuffles df by keys and calls apply(table) for whole runs of rows with one key, as many as came together; it returns a record batch or None."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _starts(batch, keys, held[-1] if held else None)
+            if held and not len(starts):
+                held.append(batch)
+                continue
+            cut = int(starts[-1]) if len(starts) else 0
+            whole = [*held, batch.slice(0, cut)] if cut else held
+            if whole and (out := apply(pa.Table.from_batches(whole))) is not None:
+                yield out
+            held = [batch.slice(cut)]
+        if held and (out := apply(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def by_runs(df: DataFrame, keys: list[str], apply, schema: str, order: list[str] = ()) -> DataFrame:
     """Shuffles df by keys and calls apply(table) for the rows of each key, as an Arrow table; it returns a record batch or None.
 
@@ -105,16 +195,11 @@ def by_runs(df: DataFrame, keys: list[str], apply, schema: str, order: list[str]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-            changed = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                changed[1:] |= c[1:] != c[:-1]
-            if held:
-                last = held[-1]
-                changed[0] = any(last.column(last.schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True))
-            cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            starts = _starts(batch, keys, held[-1] if held else None).tolist()
+            cuts = [0, *starts, batch.num_rows]
+            first = set(starts)
             for a, b in zip(cuts, cuts[1:]):
-                if changed[a] and held:
+                if a in first and held:
                     if (out := apply(pa.Table.from_batches(held))) is not None:
                         yield out
                     held = []

@@ -90,15 +90,55 @@ def test_winnowing_owner_is_the_last_least():
         assert got[i] == i + max(j for j in range(24) if w[j] == w.min())
 
 
-def test_simhash_bits_and_forest():
+def test_maximal_repeats():
+    assert substrings.maximal(np.array([9, 3, 4, 3, 20]), 5).tolist() == [[3, 14], [20, 25]]
+    assert substrings.maximal(np.array([0, 5, 11]), 5).tolist() == [[0, 10], [11, 16]]
+    assert substrings.maximal(np.zeros(0, int), 5).tolist() == []
+
+
+def test_line_forms_and_ids():
     texts = ["The quick, brown fox jumps 12\n\n__short\nthe quick BROWN fox-jumps 93", None, "é É x\n"]
     ((_, data, offsets),) = text.chunks(pa.array(texts))
-    x = lines.Lines(data, offsets, 1)
+    x = lines.Lines(data, offsets)
     assert x.owner.tolist() == [0, 0, 0, 2] and x.number.tolist() == [0, 2, 3, 0]
-    assert [x.form(i) for i in range(4)] == ["the quick brown fox jumps 00", "short", "the quick brown fox jumps 00", "é É x"]
-    a, ids = x.simhashes(), x.ids()
-    assert a[0] == a[2] != a[1] and ids[0] == ids[2] != ids[1] and x.size.tolist() == [28, 5, 28, 7]
-    assert len(lines._forest(np.arange(3), np.array([0, 1, 3], np.uint64), 1)) == 2
+    assert x.forms(np.arange(4)).to_pylist() == ["the quick brown fox jumps 00", "short", "the quick brown fox jumps 00", "é É x"]
+    ids, hashes = x.ids(), x.simhashes(np.arange(4))
+    assert ids[0] == ids[2] != ids[1] and x.size.tolist() == [28, 5, 28, 7]
+    assert (hashes[0] == hashes[2]).all() and (hashes[0] != hashes[1]).any()
+
+
+def test_simhash_is_the_majority_of_the_features():
+    rng = np.random.default_rng(1)
+    m = rng.integers(1, 20, 50)
+    row, feature = np.repeat(np.arange(50), m), rng.integers(0, 1 << 40, m.sum()).astype(np.uint64)
+    got = lines.majority(row, feature, 50)
+    hashes = feature[:, None] * lines._ODD
+    hashes ^= hashes >> np.uint64(32)
+    bits = np.unpackbits(got.view(np.uint8), axis=1, bitorder="little")
+    keys = lines.block_keys(got)
+    for r in range(50):
+        own = np.unpackbits(hashes[row == r].view(np.uint8), axis=1, bitorder="little")
+        twice = 2 * own.sum(0, dtype=int)
+        assert (bits[r] == np.where(twice == m[r], own[0], twice > m[r])).all()
+        for k in range(lines.BLOCKS):
+            block = bits[r, k * lines.WIDTH : (k + 1) * lines.WIDTH].astype(np.int64) @ (1 << np.arange(lines.WIDTH))
+            assert keys[r, k] == block + (k << lines.WIDTH)
+
+
+def test_partners_of_line_entries():
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 40, 120).astype(np.uint32))
+    bits = rng.integers(0, 1 << 12, 120).astype(np.uint64) * np.uint64(0x1001001001001)
+    for crowd in (1, 3, 1000):
+        lines.CROWD_BITS, held = crowd, lines.CROWD_BITS
+        try:
+            has, begin = lines.partners(key, bits)
+        finally:
+            lines.CROWD_BITS = held
+        assert begin.tolist() == [int(np.argmax(key == k)) for k in np.unique(key)]
+        for i in range(120):
+            others = [j for j in np.flatnonzero(key == key[i]) if j != i]
+            assert has[i] == (len(others) >= crowd or any(int(bits[i] ^ bits[j]).bit_count() <= lines.APART for j in others))
 
 
 def test_marginals_match_plain_forward_backward():
@@ -153,9 +193,14 @@ def test_secret_spans_follow_the_plain_patterns():
 
 def test_warc_round_trip():
     payloads = [b"", b"x", b"a\r\n\r\nb\0", bytes(range(256)) * 100_000]
-    raw = b"".join(m for i, p in enumerate(payloads) for m in warc.members(warc.record(i, "http://e/ x", p, warc.digest(p), len(p))))
-    got = [warc._head(h, b) for h, b in warc.records(raw)]
-    assert [p for _, p in got] == payloads and [h[0] for h, _ in got] == [0, 1, 2, 3]
+    whole = [warc.record(f"<urn:{i}>", i, "http://e/ x", warc.DATE, warc.http_head(len(p)), p, warc.digest(p), len(p)) for i, p in enumerate(payloads)]
+    for raw in (b"".join(m for r in whole for m in warc.members(r)), b"".join(whole)):
+        got = [warc._head(h, b) for h, b in warc.records(raw)]
+        assert [p for _, p in got] == payloads and [h[:4] for h, _ in got] == [[f"<urn:{i}>", "response", i, "http://e/%20x"] for i in range(4)]
+    with pytest.raises(ValueError):
+        list(warc.records(raw[:-3]))
+    with pytest.raises(ValueError):
+        warc._head({"warc-type": "response", "warc-record-id": "x", "warc-payload-digest": "sha1:" + warc.digest(b"y")}, b"HTTP/1.1 200 OK\r\n\r\nx")
     assert all(m[-1] == 0 for p in payloads for m in warc.members(p))
 
 

@@ -1,7 +1,7 @@
 """Benchmark items too short for an error budget."""
 
 from kinlake.llm import decontaminate
-from tests.llm.test_operators import table
+from tests.llm.test_text_operators import table
 
 
 def test_short_items_match_as_whole_words(spark):

@@ -45,6 +45,26 @@ def test_components(spark):
     assert work.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_small_runs(spark, monkeypatch):
+    monkeypatch.setattr(work, "LINKS_AT_ONCE", 4)
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1001 + i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(60)]
+    rng.shuffle(links)
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(links, "a long, b long").repartition(5).coalesce(5)
+    got = work.components(spark, df).collect()
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert len(got) == len(linked) and {r["id"]: r["component"] for r in got} == {x: find(x) for x in linked}
+
+
 def test_near_duplicates_against_brute_force(spark, corpus):
     sets = {}
     for i, t in corpus:
@@ -90,6 +110,9 @@ def test_substrings_against_brute_force(spark, corpus):
     same = prose(random.Random(1), 50)
     one = substrings.deduplicate(table(spark, [(1, same + " x " + same), (None, same)])).collect()
     assert [(r["n_words"], r["n_removed"]) for r in one] == [(101, 100)]
+    other, end = prose(random.Random(2), 50), prose(random.Random(3), 40)
+    shared = substrings.deduplicate(table(spark, [(1, same), (1, other + " " + end), (2, end), (3, other), (3, other), (4, "few words"), (4, "few words")])).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in shared) == [(1, 50, 0), (1, 90, 90), (2, 40, 40), (3, 50, 50), (3, 50, 50), (4, 2, 0), (4, 2, 0)]
 
 
 def test_warc_revisits(spark):
@@ -104,6 +127,75 @@ def test_warc_revisits(spark):
     assert empty.count() == 0
 
 
+def warc_text(kind, name, block, **headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", "WARC-Date: " + headers.pop("date", "2020-01-01T00:00:00Z")]
+    lines += [f"{k.replace('_', '-')}: {v}" for k, v in headers.items()] + [f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def read_back(spark, path):
+    """Payloads by record id, and the RECORD rows."""
+    found = {}
+    for row in warc._archives(spark, path).collect():
+        for h, b in warc.records(bytes(row["content"])):
+            found.setdefault(h["warc-record-id"], []).append((h["warc-type"], warc.split_block(b)[1]))
+    return found, {r["rec"]: r for r in warc.read_records(spark, path).collect()}
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Archives written elsewhere: other kinds of records, revisits of the source, file names, no page ids."""
+    import gzip
+
+    http, page = b"HTTP/1.1 200 OK\r\nServer: a\r\n\r\n", b"<p>one</p>"
+    sha = lambda x: "sha1:" + warc.digest(x)
+    one = [
+        warc_text("warcinfo", "i", b"software: x\r\n", Content_Type="application/warc-fields"),
+        warc_text("request", "q", b"GET / HTTP/1.1\r\n\r\n", WARC_Target_URI="http://a/"),
+        warc_text("response", "a", http + page, WARC_Target_URI="http://a/", WARC_Payload_Digest=sha(page)),
+        warc_text("response", "b", http + page, WARC_Target_URI="http://b/", date="2021-01-01T00:00:00Z"),
+        warc_text("metadata", "m", b"k: v\r\n", WARC_Concurrent_To="<a>"),
+    ]
+    two = [
+        warc_text("revisit", "r", http, WARC_Refers_To="<a>", WARC_Target_URI="http://a/"),
+        warc_text("revisit", "s", http, WARC_Payload_Digest=sha(b"elsewhere"), WARC_Refers_To="<z>"),
+        warc_text("response", "p1", http + b"two", X_Page_Id="1", WARC_Payload_Digest=sha(b"two")),
+        warc_text("revisit", "p2", http, X_Page_Id="2", WARC_Payload_Digest=sha(b"two"), X_Refers_To_Page_Id="1"),
+        warc_text("response", "e", http, X_Page_Id="3"),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in one))
+    (tmp_path / "in" / "y.warc").write_bytes(b"".join(two))
+    warc.rewrite(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    payloads, rows = read_back(spark, f"file://{tmp_path}/out")
+    assert payloads == {
+        "<i>": [("warcinfo", b"software: x\r\n")], "<q>": [("request", b"GET / HTTP/1.1\r\n\r\n")], "<m>": [("metadata", b"k: v\r\n")],
+        "<a>": [("response", page)], "<b>": [("revisit", b"")], "<r>": [("revisit", b"")], "<s>": [("revisit", b"")],
+        "<p1>": [("revisit", b"")], "<p2>": [("response", b"two")], "<e>": [("response", b"")],
+    }
+    assert {n: rows[n]["refers"] for n in ("<b>", "<r>", "<s>", "<p1>")} == {"<b>": "<a>", "<r>": "<a>", "<s>": "<z>", "<p1>": "<p2>"}
+    assert rows["<p1>"]["refers_page"] == 2 and rows["<p1>"]["bytes"] == 3 and rows["<a>"]["http"] == http and rows["<b>"]["date"] == "2021-01-01T00:00:00Z"
+    warc.rewrite(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/again")
+    assert read_back(spark, f"file://{tmp_path}/again") == (payloads, rows)
+
+
+def test_warc_keeps_every_payload_however_small_its_filters(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILTER_BITS", (6, 6))  # nearly every record meets such a filter
+    rows = [(i, f"http://{i}", f"text {i % 60}" if i % 7 else "") for i in range(200)]
+    heads, path = warc.deduplicate(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    last = {}
+    for i, _, h in rows:
+        last[h] = max(i, last.get(h, -1))
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in heads.collect()} == {(i, "response" if last[h] == i else "revisit", None if last[h] == i else last[h]) for i, _, h in rows}
+    payloads, found = read_back(spark, path)
+    assert len(payloads) == 200 and {found[n]["page_id"]: p for n, [(kind, p)] in payloads.items() if kind == "response"} == {i: h.encode() for h, i in last.items()}
+
+
+def test_warc_small_payloads_are_all_responses(spark):
+    rows = [(1, None, "ab"), (2, None, "ab"), (3, None, "abcdef"), (4, None, "abcdef")]
+    heads, _ = warc.deduplicate(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=5)
+    assert {r["page_id"]: r["refers_to"] for r in heads.collect()} == {1: None, 2: None, 3: 4, 4: None}
+
+
 def test_toxicity_learns_and_tags(spark):
     rng = random.Random(4)
     docs, labels = [], []
@@ -114,19 +206,19 @@ def test_toxicity_learns_and_tags(spark):
             w[rng.randrange(40)] = "vilewords!"
         docs.append((i, " ".join(w)))
         labels.append((i, 1, int(i % 3 == 0)))
-    docs += [(900, None), (901, ""), (902, "vilewords " * 30_000), (902, "fine")]
+    docs += [(900, None), (901, ""), (902, "vilewords " * 30_000), (902, "fine"), (903, "éö " + docs[0][1])]
     d, known = table(spark, docs), spark.createDataFrame(labels + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     field = spark.sparkContext.broadcast(toxicity.fit(d, known))
     got = toxicity.tag(d, field).collect()
     by = {r["doc_id"]: r for r in got if r["doc_id"] < 300}
-    assert len(got) == 304 and all(0 <= r["score"] <= 1 for r in got)
+    assert len(got) == 305 and all(0 <= r["score"] <= 1 for r in got)
     assert sum((by[i]["score"] >= 0.5) == (i % 3 == 0) for i in range(300)) >= 295
-    spans = by[0]["spans"]
-    raw = docs[0][1].encode()
-    assert spans and all(raw[s["start"] : s["end"]].startswith(b"vilewords") or b"vilewords" in raw[s["start"] : s["end"]] for s in spans)
+    for i, t in (docs[0], docs[-1]):  # offsets in code points
+        (spans,) = (r["spans"] for r in got if r["doc_id"] == i)
+        assert spans and all("vilewords" in t[s["start"] : s["end"]] and t[s["start"] : s["end"]].strip() == t[s["start"] : s["end"]] for s in spans)
     assert toxicity.tag(table(spark, []), field).count() == 0
     bare = toxicity.fit(d, known.where("false"))
-    assert toxicity.tag(d, spark.sparkContext.broadcast(bare)).count() == 304
+    assert toxicity.tag(d, spark.sparkContext.broadcast(bare)).count() == 305
 
 
 def test_secrets(spark):
@@ -151,64 +243,12 @@ def test_lines(spark):
     rows = [(1, f"{a}\n{b}\nshort"), (2, f"{b.upper()}\n\nshort\n{prose(rng, 20)}"), (3, near), (4, None), (5, ""), (6, f"{b}\n{b}"), (None, a)]
     got = {r["doc_id"]: r for r in lines.deduplicate(table(spark, rows)).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
-    assert got[2]["text"] == "\n".join(rows[1][1].split("\n")[1:]) and got[2]["removed"] == [0]
+    assert got[2]["text"] == "\n" + rows[1][1].split("\n")[3] and got[2]["removed"] == [0, 2] and got[2]["n_lines"] == 4
     assert got[6]["text"] == "" and got[6]["n_removed"] == 2 and got[4]["text"] is None and got[4]["n_lines"] == 0
     assert got[5]["n_lines"] == 1 and got[None]["text"] == a and got[1]["group"] == "g"
     assert lines.deduplicate(table(spark, [])).count() == 0
 
 
-def test_line_links_against_brute_force(spark, monkeypatch):
-    from kinlake.llm.editing import distance
-
-    rng = random.Random(9)
-    forms = []
-    for _ in range(12):
-        base = prose(rng, 60).split()
-        for edits in (0, 1, 1, 2, 3):
-            w = list(base)
-            for _ in range(edits):
-                w[rng.randrange(len(w))] = prose(rng, 1)
-            forms.append(" ".join(w))
-    forms = sorted(set(forms))
-    import pyarrow as pa
-
-    from kinlake.llm.text import chunks
-
-    ((_, data, offsets),) = chunks(pa.array(forms))
-    own = lines.Lines(data, offsets, 1)
-    sims, ids = own.simhashes(), own.ids().tolist()
-    assert [own.form(i) for i in range(len(forms))] == forms and len(set(ids)) == len(forms)
-    root = list(range(len(forms)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(forms)):
-        for j in range(i):
-            x = int(sims[i] ^ sims[j])
-            shares = sum(x >> p & ((1 << (q - p)) - 1) == 0 for p, q in zip(lines._CUTS, lines._CUTS[1:])) >= 2
-            most = 10 * max(len(forms[i]), len(forms[j])) // 100
-            if shares and x.bit_count() <= lines.BITS and distance(forms[i], forms[j], most) <= most:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    want = {frozenset(ids[i] for i in range(len(forms)) if find(i) == r) for r in range(len(forms)) if find(r) == r}
-    want = {g for g in want if len(g) > 1}
-    for crowd in (lines.CROWD, 1):
-        monkeypatch.setattr(lines, "CROWD", crowd)
-        _, groups = lines.find_duplicates(table(spark, list(enumerate(forms))))
-        got = defaultdict(set)
-        for r in groups.collect():
-            got[r["component"]].add(r["line_id"])
-        if crowd > 1:
-            assert want and {frozenset(g) for g in got.values()} == want
-        else:  # pairs within BLOCKS - 2 bits are found however crowded a bucket is
-            for i in range(len(forms)):
-                for j in range(i):
-                    if int(sims[i] ^ sims[j]).bit_count() < lines.BLOCKS - 1 and find(i) == find(j):
-                        assert any({ids[i], ids[j]} <= g for g in got.values())
-
-
 def test_decontamination(spark):
     rng = random.Random(12)
     item = "The Quick, brown fox; jumps over " + prose(rng, 20)
@@ -294,6 +334,37 @@ def test_quality(spark):
     assert quality.score(d, known.where("false")).count() == 244
 
 
+def test_posteriors_against_plain_arithmetic(spark):
+    import math
+
+    rng = random.Random(15)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, "x", "y"]), rng.gauss(1, 2), i) for i in range(300)] + [("d", "z", -3.0, 300)]
+    got = {r["total"]: r for r in quality.posteriors(spark.createDataFrame(rows, "h string, q string, evidence double, total long"), "h", "q").collect()}
+    share = lambda e: 1 / (1 + math.exp(-e))
+    logit = lambda p: math.log(p / (1 - p))
+
+    def strength(groups, means):
+        n = sum(len(g) for g in groups)
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, means))
+        noise = sum((sum(x * x for x in g) - sum(g) ** 2 / len(g)) / max(len(g) - 1, 1) for g in groups)
+        return min(max(max(m * (1 - m) for m in means) / max((between - noise) / n, 1e-9) - 1, 2), 10_000)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, q, e, _ in rows:
+        hosts[h].append(share(e))
+        paths[h, q].append(share(e))
+    mean = sum(map(sum, hosts.values())) / len(rows)
+    up = strength(list(hosts.values()), [mean] * len(hosts))
+    host_share = {h: (sum(g) + up * mean) / (len(g) + up) for h, g in hosts.items()}
+    inner = strength(list(paths.values()), [host_share[h] for h, _ in paths])
+    for h, q, e, i in rows:
+        g = paths[h, q]
+        others = (sum(g) - share(e) + inner * host_share[h]) / (len(g) - 1 + inner)
+        assert got[i]["host_share"] == pytest.approx(host_share[h])
+        assert got[i]["path_share"] == pytest.approx((sum(g) + inner * host_share[h]) / (len(g) + inner))
+        assert got[i]["posterior"] == pytest.approx(share(e + logit(others) - logit(mean)))
+
+
 def test_sparse_sites_shrink_to_the_levels_above(spark):
     rows = [("big", "a", 5.0)] * 300 + [("big", "b", -5.0)] * 300 + [("bad", "c", -5.0)] * 400 + [("one", "d", -5.0)]
     got = {(r["source"], r["lang"]): r for r in quality.posteriors(spark.createDataFrame(rows, "source string, lang string, evidence double"), "source", "lang").distinct().collect()}
