@@ -1,18 +1,21 @@
-"""MinHash near-duplicates by banding at two depths of an LSH forest.
+"""MinHash near-duplicates by an LSH forest.
 
 Texts are sets of hashed word shingles; equal sets are one class. Each of TREES trees has its own
-sequence of minhashes; no order is sorted, classes meet by a hash of a prefix: a region is the
-classes of a tree that share its first `depth` minhashes, or two more where more than CROWD
-classes share those (the rest of such a region is left to the other trees). Neighbours in a region are candidates; the components of these
-neighbourhoods are found without ever writing out pairs, and within each the links are confirmed
-on full sets. depth is the largest at which a pair at the threshold shares no region of any of
-the 32 trees with a chance below 1 in a million: 6 at 0.85 (in crowded regions 8, 4 in 100,000),
-4 at 0.8 (6, 6 in 100,000).
-
-A component of more than BLOCK classes or SHINGLES shingles is dealt to several tasks, one for every two blocks of it,
-so any pair of it meets in one task and no task holds more than two blocks. A task drops a pair
-only if both are linked already, if their sizes or their sketches of 128 minhashes rule the
-similarity out (6 standard deviations off), or if the full sets do.
+sequence of LONGEST minhashes, and its classes are put in the order of these sequences: one sort
+by ranges over all trees, in which a run of like sequences may go on from one partition to the
+next. Neighbours in an order are candidates by the length of the prefix that both share. The
+depth at which they are adapts to the region: `depth` is enough everywhere, and so is up to two
+less where a class has no neighbour that deep, as long as the two are each other's nearest; in a
+crowded region neighbours share more, and each class still is a candidate of its two neighbours
+only, so no region writes out its pairs. `depth` is the largest at which a pair at the threshold
+shares no region of any of the trees with a chance below 1 in a million: 6 at 0.85, 4 at 0.8.
+
+The components of these candidates are found, and within each the links are confirmed on full
+sets: all classes of a region are in one component, so a pair needs no link of its own to meet.
+A component of more than BLOCK classes or SHINGLES shingles is dealt to several tasks, one for
+every two blocks of it, so any pair of it meets in one task and no task holds more than two
+blocks. A task drops a pair only if both are linked already, if their sizes or their sketches of
+128 minhashes rule the similarity out (6 standard deviations off), or if the full sets do.
 """
 
 from __future__ import annotations
@@ -25,18 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlake.llm.text import _LOWER, chunks, mix, rolling, signed, spans, text_windows, word_hashes
+from kinlake.llm.text import _LOWER, chunks, rolling, spans, text_windows, word_hashes
 from kinlake.llm.work import Scratch, by_runs, components, deal
 
 HASHES = 128
 TREES, LONGEST = 32, 8
-CROWD = 1000
+#: How much less than `depth` is enough for two classes that are each other's nearest.
+SLACK = 2
 BLOCK, SHINGLES = 1024, 2_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, TREES * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, TREES * LONGEST, dtype=np.uint64)
-_ORDER = np.arange(TREES * LONGEST).reshape(TREES, LONGEST)  # no minhash is in two trees, so they are independent
-_STEP = mix(np.arange(1, TREES + 1, dtype=np.uint64))
+#: Bytes of a tree's sequence: two of each minhash. No minhash is in two trees, so they are independent.
+SEQUENCE = 2 * LONGEST
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -63,45 +67,88 @@ def minhashes(shingles: np.ndarray, n: int = HASHES) -> np.ndarray:
 
 def depth_for(percent: int) -> int:
     s = percent / 100
-    return max(d for d in range(1, LONGEST - 1) if d == 1 or (1 - s**d) ** TREES <= 1e-6)
+    return max(d for d in range(1, LONGEST + 1) if d == 1 or (1 - s**d) ** TREES <= 1e-6)
 
 
-def signatures(df: DataFrame, k: int, depth: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys): set_id digests the full set; keys holds a hash of depth and of depth + 2 minhashes for every tree."""
+def signatures(df: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, orders): set_id digests the full set; orders holds each tree's sequence, null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, keys = [], [], []
+            n, ids, orders = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = minhashes(s, TREES * LONGEST)[_ORDER] if len(s) else None
-                keys.append([] if low is None else np.stack([mix(rolling_row(low[:, :depth]) ^ _STEP), mix(rolling_row(low[:, : depth + 2]) ^ _STEP)], 1).ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "keys"])
+                orders.append((minhashes(s, TREES * LONGEST) >> np.uint64(48)).astype(">u2").tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(orders, pa.binary())], ["doc_id", "n_shingles", "set_id", "orders"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
+    return df.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, orders binary")
 
 
-def rolling_row(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values), np.uint64)
-    for j in range(values.shape[1]):
-        out = mix(out + values[:, j])
-    return out
+def shared_prefix(tree: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+    """For each row but the last, how many minhashes its sequence shares with that of the next row, none in another tree."""
+    same = (sequence[1:] == sequence[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    return np.logical_and.accumulate(same, axis=1).sum(1)
 
 
-def neighbourhoods(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) from every member of a region of the forest to its first; classes: doc_id, keys.
+def deep_enough(prefix: np.ndarray, before: int, depth: int) -> np.ndarray:
+    """Which of the prefixes make two rows candidates; before: the prefix that stands before the first, 0 follows the last."""
+    least = max(depth - SLACK, 1)
+    left, right = np.concatenate([[before], prefix[:-1]]), np.concatenate([prefix[1:], [0]])
+    return (prefix >= depth) | ((prefix >= least) & (prefix > left) & (prefix > right))
 
-    The counts are tables of their own, so that the joins back can be split where a region is crowded."""
-    spots = classes.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.get("keys", 2 * t).alias("near"), F.get("keys", 2 * t + 1).alias("deep")))).alias("tree", "s"))
-    spots = spots.select("doc_id", F.col("s.near").alias("near"), F.col("s.deep").alias("deep"))
-    near = scratch.keep(spots.groupBy("near").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    shared = spots.join(near, "near")
-    links = shared.where(F.col("n") <= CROWD).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    dense = shared.where(F.col("n") > CROWD).select("doc_id", "deep")
-    deep = scratch.keep(dense.groupBy("deep").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    more = dense.join(deep, "deep").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    return links.unionByName(more).where("a <> b").distinct()
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sequence = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, LONGEST)
+    return batch.column(0).to_numpy(), sequence, batch.column(2).to_numpy()
+
+
+def neighbours(spots: DataFrame, depth: int) -> DataFrame:
+    """(a, b, tree, sequence) from spots (tree, sequence, doc_id) in order: a and b are candidates; rows with a tree are instead the first and the last of a partition, a its doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before, last = None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                yield _edge(batch, 0)
+            last = batch
+            tree, sequence, doc = _rows(batch)
+            if held is not None:
+                tree, sequence, doc = (np.concatenate(x) for x in zip(held, (tree, sequence, doc), strict=True))
+            prefix = shared_prefix(tree, sequence)
+            if len(prefix) > 1:  # the last prefix waits for the next one
+                good = np.flatnonzero(deep_enough(prefix, before, depth)[:-1])
+                yield _links(doc[good], doc[good + 1])
+                before = int(prefix[-2])
+                held = tree[-2:], sequence[-2:], doc[-2:]
+            else:
+                held = tree, sequence, doc
+        if last is not None:
+            if len(held[0]) == 2 and deep_enough(shared_prefix(*held[:2]), before, depth)[0]:
+                yield _links(held[2][:1], held[2][1:])
+            yield _edge(last, last.num_rows - 1)
+
+    def _links(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], ["a", "b", "tree", "sequence"])
+
+    def _edge(batch, i):
+        row = batch.slice(i, 1)
+        return pa.RecordBatch.from_arrays([row.column(2), pa.nulls(1, pa.int64()), row.column(0).cast(pa.int32()), row.column(1).cast(pa.binary())], ["a", "b", "tree", "sequence"])
+
+    return spots.mapInArrow(run, "a long, b long, tree int, sequence binary")
+
+
+def candidates(classes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between neighbours of all orders; classes: doc_id, orders."""
+    spots = classes.where("orders is not null").select("doc_id", "orders", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    spots = spots.select("tree", F.expr(f"substring(orders, tree * {SEQUENCE} + 1, {SEQUENCE})").alias("sequence"), "doc_id")
+    order = ["tree", "sequence", "doc_id"]
+    found = scratch.keep(neighbours(spots.repartitionByRange(*order).sortWithinPartitions(*order), depth))
+    edges = found.where("tree is not null").select("tree", "sequence", F.col("a").alias("doc_id"))  # two rows of each partition
+    over = neighbours(edges.repartition(1).sortWithinPartitions(*order), depth).where("tree is null")
+    return found.where("tree is null").select("a", "b").unionByName(over.select("a", "b")).where("a <> b").distinct()
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
@@ -170,13 +217,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
     docs = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_docs = scratch.keep(signatures(docs, k, depth_for(percent)))
+    signed_docs = scratch.keep(signatures(docs, k))
     members = signed_docs.select("doc_id", "n_shingles", "set_id")
-    leads = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("lead"))
-    classes = signed_docs.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys")
-    coarse = components(spark, neighbourhoods(classes, scratch), scratch)
-    dealt = deal(coarse, classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("weight")), BLOCK, SHINGLES)
+    # tables of their own, so that the joins back to hot sets can be split
+    leads = scratch.keep(members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("lead")))
+    classes = signed_docs.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "orders")
+    classes = scratch.keep(classes)
+    coarse = components(spark, candidates(classes, depth_for(percent), scratch), scratch)
+    dealt = deal(coarse, classes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("weight")), BLOCK, SHINGLES)
     links = scratch.keep(verified(docs.withColumnRenamed("doc_id", "id").join(dealt, "id"), k, percent))
     joined = components(spark, links, scratch)
-    found = leads.join(joined, leads["lead"] == joined["id"], "left").select("set_id", F.coalesce("component", "lead").alias("component"))
+    found = scratch.keep(leads.join(joined, leads["lead"] == joined["id"], "left").select("set_id", F.coalesce("component", "lead").alias("component")))
     return members.join(found, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
