@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm.text import chunks, spans, word_hashes
+from kinlake.llm.work import Scratch
 
 SAMPLE = 4000
 #: Characters of a training document's text are used whole; longer texts than this aren't sampled.
@@ -113,7 +114,7 @@ def evidence(docs: DataFrame, model, keys: list[str]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own.evidence(shapes(batch.column(len(keys)))))], [*keys, "evidence"])
 
-    return docs.select(*keys, F.col("text").cast("string")).mapInArrow(run, f"{schema}, evidence double")
+    return docs.select(*(F.col(f"`{k}`") for k in keys), F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, evidence double")
 
 
 def _logit(p: Column) -> Column:
@@ -137,8 +138,9 @@ def posteriors(found: DataFrame, host: str, path: str) -> DataFrame:
     path is a group of its own.
     """
     p = 1 / (1 + F.exp(-F.col("evidence")))
+    own_host, own_path = F.col(f"`{host}`"), F.col(f"`{path}`")
     sums = [F.count("*").alias("n"), F.sum(p).alias("total"), F.sum(p * p).alias("squares")]
-    paths = found.groupBy(F.col(host).alias("h"), F.col(path).alias("q")).agg(*sums)
+    paths = found.groupBy(own_host.alias("h"), own_path.alias("q")).agg(*sums)
     hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
     whole = hosts.agg((F.sum("total") / F.sum("n")).alias("mean"))
     hosts = hosts.crossJoin(F.broadcast(whole))  # one row
@@ -146,19 +148,21 @@ def posteriors(found: DataFrame, host: str, path: str) -> DataFrame:
     hosts = hosts.crossJoin(F.broadcast(levels)).select(F.col("h").alias("hh"), "mean", ((F.col("total") + F.col("host_strength") * F.col("mean")) / (F.col("n") + F.col("host_strength"))).alias("host_share"))
     paths = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh")))
     inner = paths.agg(_strength(F.col("host_share")).alias("path_strength"))
-    paths = paths.crossJoin(F.broadcast(inner)).select("h", "q", "n", "total", "mean", "host_share", "path_strength")
-    joined = found.join(paths, F.col(host).eqNullSafe(F.col("h")) & F.col(path).eqNullSafe(F.col("q")))
+    level = F.struct("h", "q", "n", "total", "mean", "host_share", "path_strength").alias("__level")  # one name, so that no column of found can clash
+    paths = paths.crossJoin(F.broadcast(inner)).select(level)
+    of = lambda c: F.col(f"__level.{c}")
+    joined = found.join(paths, own_host.eqNullSafe(of("h")) & own_path.eqNullSafe(of("q")))
     clip = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
-    others = clip((F.col("total") - p + F.col("path_strength") * F.col("host_share")) / (F.col("n") - 1 + F.col("path_strength")))
+    others = clip((of("total") - p + of("path_strength") * of("host_share")) / (of("n") - 1 + of("path_strength")))
     return joined.select(
-        *found.columns,
-        "host_share",
-        ((F.col("total") + F.col("path_strength") * F.col("host_share")) / (F.col("n") + F.col("path_strength"))).alias("path_share"),
-        (1 / (1 + F.exp(-(F.col("evidence") + _logit(others) - _logit(clip(F.col("mean"))))))).alias("posterior"),
+        *(F.col(f"`{c}`") for c in found.columns),
+        of("host_share").alias("host_share"),
+        ((of("total") + of("path_strength") * of("host_share")) / (of("n") + of("path_strength"))).alias("path_share"),
+        (1 / (1 + F.exp(-(F.col("evidence") + _logit(others) - _logit(clip(of("mean"))))))).alias("posterior"),
     )
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keys: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keys: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
     """keys, host, path, evidence, host_share, path_share and posterior of every document.
 
     A null or empty text is scored by the shape of an empty one; repeated rows count each; a table
@@ -167,10 +171,13 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     names = list(dict.fromkeys([*keys, host, path]))
-    return posteriors(evidence(docs, model, names), host, path)
+    found = (scratch or Scratch(docs.sparkSession)).keep(evidence(docs, model, names))  # read three times below
+    return posteriors(found, host, path)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs with a posterior of at least `least`, and their columns."""
-    good = score(docs, labels, host, path).where(F.col("posterior") >= least).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs with a posterior of at least `least`, and their columns. Rows without a doc_id are judged too; rows that share doc_id and text are treated alike."""
+    text_id = F.xxhash64(F.col("text").cast("string"))
+    good = score(docs.withColumn("__text_id", text_id), labels, host, path, ("doc_id", "__text_id")).where(F.col("posterior") >= least)
+    good = good.select(F.col("doc_id").alias("__id"), "__text_id").distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_id == F.col("__text_id")), "left_semi").select(*docs.columns)
