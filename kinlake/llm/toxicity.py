@@ -257,7 +257,9 @@ def _pair_expectations(field: Field, scores: np.ndarray, first: np.ndarray, p: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """Trains on at most `sample` labelled documents of both labels, of at most sample_chars characters in all, taken whole in an order by hash."""
+    """Trains on at most `sample` labelled documents of both labels, of at most sample_chars characters in all, taken whole in an order by hash.
+
+    So that one text can't fill the sample, texts of over a hundredth of sample_chars don't train; they are scored whole like all others."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held_in = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     order = F.xxhash64("doc_id", F.lit(4))
@@ -276,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
 
 
 def tag(docs: DataFrame, field, least: float = 0.5) -> DataFrame:
-    """(doc_id, score, spans): the score of every whole text and its toxic spans, in bytes of UTF-8.
+    """(doc_id, score, spans): the score of every whole text and its toxic spans, in code points, end exclusive.
 
     field: a broadcast Field. A span is a run of words whose marginals reach `least`. A null or
     empty text has no words, no span and the score of a text in which nothing was found; repeated
@@ -299,9 +301,10 @@ def tag(docs: DataFrame, field, least: float = 0.5) -> DataFrame:
                     new[1:] = (np.diff(hits) != 1) | (np.diff(doc) != 0)
                     begin = np.flatnonzero(new)
                     end = np.append(begin[1:], len(hits)) - 1
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
                     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                         d = int(doc[a])
-                        found[d].append({"start": int(starts[hits[a]] - offsets[d]), "end": int(ends[hits[b]] - offsets[d])})
+                        found[d].append({"start": int(points[starts[hits[a]]] - points[offsets[d]]), "end": int(points[ends[hits[b]]] - points[offsets[d]])})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), pa.array(scores), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "score", "spans"]
                 )
