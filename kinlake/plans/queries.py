@@ -54,11 +54,15 @@ REASON = """CASE WHEN c1 IS NULL AND eligible THEN 'new_cluster_seed_no_existing
   WHEN s1 >= th - 0.08::DOUBLE THEN 'ambiguous_score_inside_threshold_band' WHEN eligible THEN 'new_cluster_seed_no_candidate_above_ambiguous_band' ELSE 'unassigned_no_match_and_not_exemplar_eligible' END"""
 
 
-def query(sql: str | None = None, base: bool = True):
+#: The same tables with members closer to their anchor and one face in a photo, so that merges are accepted.
+TIGHT = BASE.replace("0.45::DOUBLE + 0.1::DOUBLE * (vec_id % 5)", "0.75::DOUBLE + 0.05::DOUBLE * (vec_id % 5)").replace("vec_id // 3 AS photo_id", "vec_id AS photo_id")
+
+
+def query(sql: str | None = None, base: bool = True, start: str = BASE):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = (BASE if base else "") + sql
+            ORACLE_SQL[f.__name__] = (start if base else "") + sql
         return f
 
     return put
@@ -72,9 +76,9 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_members(fx.all_members(fx.faces(spark, sf_dir)))
 
 
-def _audit(spark: SparkSession, sf_dir: str):
+def _audit(spark: SparkSession, sf_dir: str, tight: bool = False):
     """(members, their scores, sizes, links, photo conflicts): what the audits share."""
-    faces = fx.faces(spark, sf_dir)
+    faces = fx.faces(spark, sf_dir, tight)
     members = audit.audit_members(fx.all_members(faces))
     found = scores.face_cluster_scores(members, fx.exemplars(faces))
     return members, found, audit.cluster_sizes(members), fx.cannot_links(faces), audit.photo_conflicts(members)
@@ -193,12 +197,15 @@ SHIELD = ", shield AS (SELECT DISTINCT user_id, cluster_id FROM clusters WHERE i
 BLOCK = "CASE WHEN {a} IN (SELECT cluster_id FROM shield s WHERE s.user_id = x.user_id) THEN 'source_user_protected' WHEN {b} IN (SELECT cluster_id FROM shield s WHERE s.user_id = x.user_id) THEN 'target_user_protected' WHEN EXISTS (SELECT 1 FROM links l WHERE l.user_id = x.user_id AND l.a = least({a}, {b}) AND l.b = greatest({a}, {b})) THEN 'stored_cannot_link' WHEN EXISTS (SELECT 1 FROM conflicts l WHERE l.user_id = x.user_id AND l.a = least({a}, {b}) AND l.b = greatest({a}, {b})) THEN 'same_photo_conflict' END"
 
 
-def _shields(spark, sf_dir):
-    f = fx.faces(spark, sf_dir)
+def _shields(spark, sf_dir, tight=False):
+    f = fx.faces(spark, sf_dir, tight)
     return audit.protected(fx.clusters(f).withColumn("has_manual_correction", F.lit(False)), fx.all_members(f))
 
 
-@query(COVER + SHIELD + f"SELECT user_id, a, b, CASE WHEN na < 2 OR nb < 2 THEN 'singleton_cluster_protected' WHEN blocker IS NOT NULL THEN blocker WHEN ca < 1 OR cb < 1 THEN 'not_full_mutual_high_confidence_coverage' WHEN sa < least(2, na) OR sb < least(2, nb) THEN 'insufficient_strong_anchors_both_directions' WHEN la < 0.05 THEN 'third_person_competition_a_to_b' WHEN lb < 0.05 THEN 'third_person_competition_b_to_a' END AS reason, CASE WHEN (na, a) <= (nb, b) THEN a ELSE b END AS source FROM (SELECT x.*, {BLOCK.format(a='x.a', b='x.b')} AS blocker FROM both_ x)")
+MUTUAL = f"CASE WHEN na < 2 OR nb < 2 THEN 'singleton_cluster_protected' WHEN blocker IS NOT NULL THEN blocker WHEN ca < 1 OR cb < 1 THEN 'not_full_mutual_high_confidence_coverage' WHEN sa < least(2, na) OR sb < least(2, nb) THEN 'insufficient_strong_anchors_both_directions' WHEN la < 0.05 THEN 'third_person_competition_a_to_b' WHEN lb < 0.05 THEN 'third_person_competition_b_to_a' END AS reason, CASE WHEN (na, a) <= (nb, b) THEN a ELSE b END AS source FROM (SELECT x.*, {BLOCK.format(a='x.a', b='x.b')} AS blocker FROM both_ x)"
+
+
+@query(COVER + SHIELD + f"SELECT user_id, a, b, {MUTUAL}")
 def mutual_auto_merge(spark, sf_dir):
     _, s, sizes, links, conflicts = _audit(spark, sf_dir)
     return audit.mutual_merges(s, sizes, _shields(spark, sf_dir), links, conflicts).select("user_id", "a", "b", "reason", "source")
@@ -219,18 +226,65 @@ def fragment_bridge_support(spark, sf_dir):
 
 
 
-@query(FRAGMENT + SHIELD + f""", lk AS (SELECT user_id, c, face_id, other_id FROM ms WHERE c = d AND sim >= 0.41::DOUBLE - 0.08::DOUBLE),
+BRIDGED = """, lk AS (SELECT user_id, c, face_id, other_id FROM ms WHERE c = d AND sim >= 0.41::DOUBLE - 0.08::DOUBLE),
  r AS (SELECT * FROM (WITH RECURSIVE reach(user_id, c, face_id) AS (SELECT user_id, c, min(face_id) FROM ms GROUP BY user_id, c UNION SELECT l.user_id, l.c, l.other_id FROM reach q JOIN lk l ON l.user_id = q.user_id AND l.c = q.c AND l.face_id = q.face_id) SELECT user_id, c AS source, count(*) AS n FROM reach GROUP BY user_id, c)),
- ag AS (SELECT user_id, source, target, avg((support >= 2)::INT) AS cov, count(*) FILTER (best >= 0.41::DOUBLE + 0.05::DOUBLE) AS high, count(*) FILTER (best >= 0.41::DOUBLE + 0.1::DOUBLE) AS strong, coalesce(bool_or(best <= rival), false) AS beaten, coalesce(bool_or(best >= 0.41::DOUBLE + 0.05::DOUBLE AND best - rival < 0.05), false) AS close FROM ev GROUP BY ALL),
+ ag AS (SELECT user_id, source, target, avg((support >= 2)::INT) AS cov, count(*) FILTER (best >= 0.41::DOUBLE + 0.05::DOUBLE) AS high, count(*) FILTER (best >= 0.41::DOUBLE + 0.1::DOUBLE) AS strong, min(best) AS min_score, avg(best) AS mean_score, min(best - rival) AS margin, coalesce(bool_or(best <= rival), false) AS beaten, coalesce(bool_or(best >= 0.41::DOUBLE + 0.05::DOUBLE AND best - rival < 0.05), false) AS close FROM ev GROUP BY ALL),
  br AS (SELECT p.user_id, p.source, p.target, count(DISTINCT other_id) AS bf, count(DISTINCT other_photo) AS bp FROM per p JOIN ms m ON p.user_id = m.user_id AND p.source = m.c AND p.target = m.d AND p.face_id = m.face_id WHERE p.support >= 2 AND sim >= 0.41 GROUP BY ALL)
- SELECT user_id, source, target, CASE WHEN blocker IS NOT NULL THEN blocker WHEN n < ns THEN 'source_fragment_not_internally_connected' WHEN beaten THEN 'target_not_best_member_level_alternative' WHEN close THEN 'high_conf_bridge_has_third_person_competition' WHEN cov < 1 THEN 'not_every_source_face_has_repeated_target_member_support'
+"""
+BRIDGE = f"""CASE WHEN blocker IS NOT NULL THEN blocker WHEN n < ns THEN 'source_fragment_not_internally_connected' WHEN beaten THEN 'target_not_best_member_level_alternative' WHEN close THEN 'high_conf_bridge_has_third_person_competition' WHEN cov < 1 THEN 'not_every_source_face_has_repeated_target_member_support'
   WHEN high < least(2, ns) THEN 'insufficient_high_conf_bridge_source_faces' WHEN strong < least(2, ns) THEN 'insufficient_strong_bridge_source_faces' WHEN coalesce(bf, 0) < 2 THEN 'bridge_depends_on_too_few_target_faces' WHEN coalesce(bp, 0) < 2 THEN 'bridge_depends_on_too_few_target_photos' END AS reason
- FROM (SELECT x.*, {BLOCK.format(a='x.source', b='x.target')} AS blocker FROM pairs x) x JOIN ag USING (user_id, source, target) LEFT JOIN br USING (user_id, source, target) LEFT JOIN r USING (user_id, source)""")
+ FROM (SELECT x.*, {BLOCK.format(a='x.source', b='x.target')} AS blocker FROM pairs x) x JOIN ag USING (user_id, source, target) LEFT JOIN br USING (user_id, source, target) LEFT JOIN r USING (user_id, source)"""
+
+
+@query(FRAGMENT + SHIELD + BRIDGED + f" SELECT user_id, source, target, {BRIDGE}")
 def fragment_bridges(spark, sf_dir):
     m, _, sizes, links, conflicts = _audit(spark, sf_dir)
     return audit.fragment_bridges(m, sizes, _shields(spark, sf_dir), links, conflicts).select("user_id", "source", "target", "reason")
 
 
+@query(FRAGMENT + SHIELD + BRIDGED + f" SELECT user_id, source, target, {BRIDGE}", start=TIGHT)
+def tight_fragment_bridges(spark, sf_dir):
+    m, _, sizes, links, conflicts = _audit(spark, sf_dir, True)
+    return audit.fragment_bridges(m, sizes, _shields(spark, sf_dir, True), links, conflicts).select("user_id", "source", "target", "reason")
+
+
+@query(COVER + "SELECT user_id, a, b, round(ca, 6) AS coverage_ab, round(cb, 6) AS coverage_ba FROM both_ ANTI JOIN links USING (user_id, a, b) ANTI JOIN conflicts USING (user_id, a, b) WHERE na >= 2 AND nb >= 2 AND ca >= 0.9 AND cb >= 0.9", start=TIGHT)
+def tight_merge_candidates(spark, sf_dir):
+    _, s, sizes, links, conflicts = _audit(spark, sf_dir, True)
+    return audit.mutual_suggestions(s, sizes, links, conflicts).select("user_id", "a", "b", _r("coverage_ab"), _r("coverage_ba"))
+
+
+@query(COVER + SHIELD + f"SELECT user_id, a, b, {MUTUAL}", start=TIGHT)
+def tight_auto_merge(spark, sf_dir):
+    _, s, sizes, links, conflicts = _audit(spark, sf_dir, True)
+    return audit.mutual_merges(s, sizes, _shields(spark, sf_dir, True), links, conflicts).select("user_id", "a", "b", "reason", "source")
+
+
+PRIORITY = COVER + SHIELD + FRAGMENT + BRIDGED + f""", mu AS (SELECT user_id, a, b, la, lb, {MUTUAL}), m2 AS (SELECT mu.user_id, 0 AS tier, mu.source, CASE WHEN mu.source = a THEN b ELSE a END AS target, 1.0::DOUBLE AS source_coverage, least(la, lb) AS margin FROM mu WHERE reason IS NULL),
+ m3 AS (SELECT m2.user_id, tier, m2.source, m2.target, source_coverage, f.strong, f.min_score, f.mean_score, m2.margin FROM m2 JOIN full_ f ON f.user_id = m2.user_id AND f.source = m2.source AND f.target = m2.target),
+ fr AS (SELECT user_id, source, target, cov, strong, min_score, mean_score, margin, {BRIDGE}),
+ every AS (SELECT * FROM m3 UNION ALL SELECT user_id, 1, source, target, cov, strong, min_score, mean_score, margin FROM fr WHERE reason IS NULL),
+ once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY user_id, least(source, target), greatest(source, target) ORDER BY tier, source_coverage DESC, strong DESC, min_score DESC, mean_score DESC, margin DESC NULLS FIRST, source, target) = 1)
+ SELECT user_id, CASE tier WHEN 0 THEN 'mutual_full_coverage' ELSE 'fragment_member_bridge' END AS mode, source, target, round(min_score, 6) AS min_score, (row_number() OVER (PARTITION BY user_id ORDER BY tier, source_coverage DESC, strong DESC, min_score DESC, mean_score DESC, margin DESC NULLS FIRST, source, target))::INT AS priority FROM once"""
+
+
+def _priority(spark, sf_dir, tight):
+    m, s, sizes, links, conflicts = _audit(spark, sf_dir, tight)
+    shields = _shields(spark, sf_dir, tight)
+    found = audit.merge_priority(audit.mutual_merges(s, sizes, shields, links, conflicts), audit.fragment_bridges(m, sizes, shields, links, conflicts))
+    return found.select("user_id", "mode", "source", "target", _r("min_score"), "priority")
+
+
+@query(PRIORITY)
+def merge_priority(spark, sf_dir):
+    return _priority(spark, sf_dir, False)
+
+
+@query(PRIORITY, start=TIGHT)
+def tight_merge_priority(spark, sf_dir):
+    return _priority(spark, sf_dir, True)
+
+
 @query(", mm AS (SELECT x.user_id, x.cluster_id, x.face_id, x.quality_score, avg(list_inner_product(x.v, y.v) / (x.norm * y.norm + 1e-9)) AS s FROM members x JOIN members y ON x.user_id = y.user_id AND x.cluster_id = y.cluster_id GROUP BY ALL) SELECT user_id, cluster_id, arg_min(face_id, (-s, face_id)) AS medoid, round(max(s), 6) AS mean_sim FROM mm WHERE quality_score >= 0.7 GROUP BY ALL")
 def medoid(spark, sf_dir):
     return audit.medoids(_members(spark, sf_dir)).select("user_id", "cluster_id", "medoid", _r("mean_sim"))
@@ -535,13 +589,6 @@ def split_candidates(spark, sf_dir):
     return audit.splits(m, density_labels(m, ["user_id", "cluster_id"]), _shields(spark, sf_dir), m.where("false").select("user_id", "cluster_id"))
 
 
-@query()
-def merge_priority(spark, sf_dir):
-    m, s, sizes, links, conflicts = _audit(spark, sf_dir)
-    shields = _shields(spark, sf_dir)
-    return audit.merge_priority(audit.mutual_merges(s, sizes, shields, links, conflicts), audit.fragment_bridges(m, sizes, shields, links, conflicts))
-
-
 @query()
 def new_people(spark, sf_dir):
     return recovery.new_people(fx.faces(spark, sf_dir))

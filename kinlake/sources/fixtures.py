@@ -11,18 +11,19 @@ from kinlake.operators.exemplars import quality_exemplars
 BASE_DATE = "2024-01-01"
 
 
-def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture of each vector with its label's first one, so that groups exist; all operands are doubles."""
+def faces(spark: SparkSession, sf_dir: str, tight: bool = False) -> DataFrame:
+    """A mixture of each vector with its label's first one, so that groups exist; all operands are doubles. tight: closer groups, and one face in a photo."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     anchors = e.groupBy("label").agg(F.min_by("e", "vec_id").alias("a"))  # a row for each label
-    w = F.lit(0.45) + F.lit(0.1) * F.pmod("vec_id", F.lit(5))
+    low, step = (0.75, 0.05) if tight else (0.45, 0.1)
+    w = F.lit(low) + F.lit(step) * F.pmod("vec_id", F.lit(5))
     digit = F.pmod("vec_id", F.lit(10))
     found = e.join(anchors, "label").withColumn("w", w)
     photo = F.expr("vec_id div 3")
     found = found.select(
         (photo % 4).alias("user_id"),
         F.col("vec_id").alias("face_id"),
-        photo.alias("photo_id"),
+        (F.col("vec_id") if tight else photo).alias("photo_id"),
         (F.col("vec_id") % 3).alias("face_index"),
         (F.col("label") * 2 + F.when(F.col("vec_id") % 7 == 0, 1).otherwise(0)).cast("long").alias("home"),
         (F.col("vec_id") * 37 % 101 / F.lit(100.0)).alias("quality_score"),
