@@ -8,9 +8,10 @@ elsewhere (*.warc.gz, *.warc) are read too, each file whole by one task.
 
 rewrite() shuffles headers by payload digest: of the records with one payload one becomes the
 response and the others revisits of it, revisits of the source included. Payloads stay where
-they are read: a Bloom filter of the records that lose theirs tells, for nearly all others, that
-their record can be written at once. Only payloads of records that the filter can't tell apart,
-and of those that must move to another record, are joined to their header.
+they are read: Bloom filters of the records that lose theirs, of the others that meet that filter,
+and of the losers that meet the second one tell nearly all records apart, which are written or
+passed over at once. Only payloads of records that meet all three, and of those that must move to
+another record, are joined to their header; mostly there are none.
 """
 
 from __future__ import annotations
@@ -128,12 +129,13 @@ def split_block(block: bytes) -> tuple[bytes, bytes]:
     return (block[: end + 4], block[end + 4 :]) if end >= 0 else (b"", block)
 
 
-def _head(headers: dict[str, str], block: bytes) -> tuple[list, bytes]:
+def _head(headers: dict[str, str], block: bytes, checked: bool = False) -> tuple[list, bytes]:
     """A row of RECORD, and the payload (empty for revisits).
 
     The digest of a response is that of its payload here, and one that doesn't match the stated
     SHA-1 is an error, but for payloads in a transfer encoding, whose stated digest is of
-    something else. Records that are neither response nor revisit have none."""
+    something else; a stated one that was checked before is taken as it is. Records that are
+    neither response nor revisit have none."""
     number = lambda k: int(headers[k]) if headers.get(k, "").lstrip("-").isdigit() else None
     kind, name = headers["warc-type"], headers["warc-record-id"]
     row = [name, kind, number("x-page-id"), headers.get("warc-target-uri"), headers.get("warc-date", DATE)]
@@ -141,8 +143,9 @@ def _head(headers: dict[str, str], block: bytes) -> tuple[list, bytes]:
     stated = stated[5:].upper() if stated[:5].lower() == "sha1:" and len(stated) == 37 else None
     http, payload = split_block(block)
     if kind == "response":
-        found = digest(payload)
-        if stated and found != stated and b"transfer-encoding" not in http.lower():
+        plain = b"transfer-encoding" not in http.lower()
+        found = stated if checked and stated and plain else digest(payload)
+        if stated and found != stated and plain:
             raise ValueError(f"payload of {name} doesn't match its digest")
         return [*row, found, len(payload), http, None, None, True], payload
     if kind == "revisit":
@@ -274,6 +277,33 @@ def _met(filter_: np.ndarray, names: list[str]) -> np.ndarray:
     return out
 
 
+def _meeting(names: DataFrame, filter_) -> DataFrame:
+    """Those of the names (a column rec) that meet a broadcast filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _met(filter_.value, batch.column(0).to_pylist()) if batch.num_rows else []
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return names.select("rec").mapInArrow(run, "rec string")
+
+
+class Sorter:
+    """Tells by its id whether a record with a payload keeps it (True), loses it (False), or can't be told (None)."""
+
+    def __init__(self, filters: list[np.ndarray]):
+        self.filters = [(f.tobytes(), (64 * len(f)) - 1) for f in filters]
+
+    def __call__(self, name: str) -> bool | None:
+        h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+        for level, (bits, mask) in enumerate(self.filters):
+            for shift in (0, 19, 38):
+                place = h >> shift & mask
+                if not bits[place >> 3] >> (place & 7) & 1:
+                    return level % 2 == 0
+        return None
+
+
 def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = 0, scratch: Scratch | None = None) -> None:
     """Reads the archives of source and writes them to target with revisits resolved and fresh headers.
 
@@ -281,31 +311,30 @@ def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = 0,
     payload. Rewriting what was rewritten changes nothing but the order of records.
     """
     scratch = scratch or Scratch(spark)
-    found = scratch.keep(resolve(read_records(spark, source), least_bytes, scratch))
-    lost = record_filter(found.where("carries and original is not null").select("rec"))
-    lost_ = spark.sparkContext.broadcast(lost)
-
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = _met(lost_.value, batch.column(0).to_pylist()) if batch.num_rows else []
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    own = found.where("carries and original is null")
-    unclear = own.select("rec").distinct().mapInArrow(hit, "rec string")
+    every = scratch.keep(read_records(spark, source))
+    found = scratch.keep(resolve(every, least_bytes, scratch))
+    scratch.release(every)
+    own, losers = found.where("carries and original is null"), found.where("carries and original is not null")
+    filters = [record_filter(losers.select("rec"))]
+    unclear = scratch.keep(_meeting(own, spark.sparkContext.broadcast(filters[0])).distinct())
+    filters.append(record_filter(unclear))
+    filters.append(record_filter(_meeting(losers, spark.sparkContext.broadcast(filters[1]))))
+    unclear = _meeting(unclear, spark.sparkContext.broadcast(filters[2]))
+    sorter = spark.sparkContext.broadcast(Sorter(filters))
     moved = found.where("not carries and original is null and carrier is not null").select(F.col("carrier").alias("rec"))
     wanted = scratch.keep(unclear.unionByName(moved).distinct())
-    wanted_ = spark.sparkContext.broadcast(record_filter(wanted))
 
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members of all records that need no join."""
+        keeps = sorter.value
         for batch in batches:
             for c in batch.column(0):
-                names, out = [], []
+                out = []
                 for h, b in records(c.as_py()):
                     if h["warc-type"] not in ("response", "revisit"):
                         out += members(verbatim(h, b))
-                    elif h["warc-type"] == "response" and not _met(lost_.value, [h["warc-record-id"]])[0]:
-                        (rec, _, page, url, date, own_digest, size, http, *_), payload = _head(h, b)
+                    elif h["warc-type"] == "response" and keeps(h["warc-record-id"]):
+                        (rec, _, page, url, date, own_digest, size, http, *_), payload = _head(h, b, True)
                         out += members(record(rec, page, url, date, http, payload, own_digest, size))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
@@ -329,11 +358,13 @@ def rewrite(spark: SparkSession, source: str, target: str, least_bytes: int = 0,
 
     cols = ["rec", "page_id", "url", "date", "http", "digest", "bytes", "refers", "refers_page", "original", "carrier"]
     texts = _archives(spark, source)
-    needed = scratch.keep(texts.mapInArrow(bodies, "carrier string, body binary").join(wanted.withColumnRenamed("rec", "carrier"), "carrier", "left_semi").dropDuplicates(["carrier"]))
-    late = own.join(unclear, "rec", "left_semi").unionByName(found.where("not carries and original is null and carrier is not null"))
-    late = late.select(*cols).join(needed, "carrier").select(*cols, "body")
-    revisits = found.where("original is not null or carrier is null").select(*cols, F.lit(None).cast("binary").alias("body"))
-    _write(texts.mapInArrow(at_once, "member binary").unionByName(revisits.unionByName(late).mapInArrow(headed, "member binary")), target)
+    rows = found.where("original is not null or carrier is null").select(*cols, F.lit(None).cast("binary").alias("body"))
+    if not wanted.isEmpty():
+        wanted_ = spark.sparkContext.broadcast(record_filter(wanted))
+        needed = scratch.keep(texts.mapInArrow(bodies, "carrier string, body binary").join(wanted.withColumnRenamed("rec", "carrier"), "carrier", "left_semi").dropDuplicates(["carrier"]))
+        late = own.join(unclear, "rec", "left_semi").unionByName(found.where("not carries and original is null and carrier is not null"))
+        rows = rows.unionByName(late.select(*cols).join(needed, "carrier").select(*cols, "body"))
+    _write(texts.mapInArrow(at_once, "member binary").unionByName(rows.mapInArrow(headed, "member binary")), target)
 
 
 def deduplicate(pages: DataFrame, least_bytes: int = 0, scratch: Scratch | None = None) -> tuple[DataFrame, str]:
