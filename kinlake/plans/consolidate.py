@@ -142,15 +142,35 @@ def _apply(faces: DataFrame, decisions: DataFrame) -> DataFrame:
     return met.withColumn("assignment_state", F.when(took, "confirmed").otherwise(F.col("assignment_state"))).withColumn("cluster_id", F.coalesce("target", "cluster_id")).select(*faces.columns)
 
 
+#: Columns of a face that keep what a decision on it rested on, and the decision's columns.
+EVIDENCE = {
+    "candidate_cluster_id": "best_cluster",
+    "best_match_score": "best_score",
+    "second_best_cluster_id": "second_cluster",
+    "second_best_score": "second_score",
+    "score_margin": "margin",
+    "decision_threshold": "threshold",
+    "decision_reason": "reason",
+}
+
+
+def decided(faces: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions (user_id, face_id, target, state, and those of EVIDENCE) taken into the faces: state, cluster and, where faces have such columns, evidence."""
+    held = decisions.select("user_id", "face_id", F.struct("target", "state", *EVIDENCE.values()).alias("__d"))
+    met = faces.join(held, ["user_id", "face_id"], "left")
+    values = {"assignment_state": F.col("__d.state"), "cluster_id": F.when(F.col("__d.state") == "confirmed", F.col("__d.target")), **{c: F.col(f"__d.{d}") for c, d in EVIDENCE.items()}}
+    return mutations.set_where(met, F.col("__d").isNotNull(), values).select(*faces.columns)
+
+
 def consolidate(state: mutations.State, keep, t: Thresholds = DEFAULT) -> Run:
     """Recovery, new people, corrections, recovery again if anything was corrected, restricted faces, and a last audit."""
 
     def taken(s, decisions):
-        faces = _apply(s.faces, decisions.where("state = 'confirmed'").select("user_id", "face_id", "target"))
+        faces = decided(s.faces, decisions)
         return _settle(replace(s, faces=faces, clusters=mutations.with_counts(s.clusters, faces)), keep)
 
     def recover(s):
-        done = keep(recovery.recover_deferred(s.faces, s.exemplars, t).select("user_id", "face_id", F.col("assigned_cluster").alias("target"), "state"))
+        done = keep(recovery.recover_deferred(s.faces, s.exemplars, t).select("user_id", "face_id", F.col("assigned_cluster").alias("target"), "state", *EVIDENCE.values()))
         return taken(s, done), done
 
     state, first = recover(state)
@@ -168,6 +188,6 @@ def consolidate(state: mutations.State, keep, t: Thresholds = DEFAULT) -> Run:
     again = None
     if log:
         state, again = recover(state)
-    turned = keep(recovery.recover_restricted(state.faces, state.exemplars, t).select("user_id", "face_id", F.col("best_cluster").alias("target"), "state"))
+    turned = keep(recovery.recover_restricted(state.faces, state.exemplars, t).select("user_id", "face_id", F.col("best_cluster").alias("target"), "state", *EVIDENCE.values()))
     state = taken(state, turned)
     return Run(state, audit_state(state, t), first, labels, born, log, again, turned)

@@ -78,7 +78,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _audit(spark: SparkSession, sf_dir: str, tight: bool = False):
     """(members, their scores, sizes, links, photo conflicts): what the audits share."""
-    faces = fx.faces(spark, sf_dir, tight)
+    faces = _keep(spark)(fx.faces(spark, sf_dir, tight))  # the views are derived from vectors by formulas, and read many times
     members = audit.audit_members(fx.all_members(faces))
     found = scores.face_cluster_scores(members, fx.exemplars(faces))
     return members, found, audit.cluster_sizes(members), fx.cannot_links(faces), audit.photo_conflicts(members)
@@ -239,7 +239,7 @@ BRIDGE = f"""CASE WHEN blocker IS NOT NULL THEN blocker WHEN n < ns THEN 'source
 @query(FRAGMENT + SHIELD + BRIDGED + f" SELECT user_id, source, target, {BRIDGE}")
 def fragment_bridges(spark, sf_dir):
     m, _, sizes, links, conflicts = _audit(spark, sf_dir)
-    return audit.fragment_bridges(m, sizes, _shields(spark, sf_dir), links, conflicts).select("user_id", "source", "target", "reason")
+    return audit.fragment_bridges(m, sizes, _shields(spark, sf_dir), links, conflicts, keep=_keep(spark)).select("user_id", "source", "target", "reason")
 
 
 @query(FRAGMENT + SHIELD + BRIDGED + f" SELECT user_id, source, target, {BRIDGE}", start=TIGHT)
@@ -271,7 +271,7 @@ PRIORITY = COVER + SHIELD + FRAGMENT + BRIDGED + f""", mu AS (SELECT user_id, a,
 def _priority(spark, sf_dir, tight):
     m, s, sizes, links, conflicts = _audit(spark, sf_dir, tight)
     shields = _shields(spark, sf_dir, tight)
-    found = audit.merge_priority(audit.mutual_merges(s, sizes, shields, links, conflicts), audit.fragment_bridges(m, sizes, shields, links, conflicts))
+    found = audit.merge_priority(audit.mutual_merges(s, sizes, shields, links, conflicts), audit.fragment_bridges(m, sizes, shields, links, conflicts, keep=_keep(spark)))
     return found.select("user_id", "mode", "source", "target", _r("min_score"), "priority")
 
 

@@ -178,9 +178,15 @@ def test_split_suggestions_name_their_groups(spark):
 
 def test_a_whole_run_and_its_summary(spark):
     rows = [(i, 10, [1, 0.01 * i]) for i in range(1, 4)] + [(i, 20, [1, 0.01 * i]) for i in range(4, 7)] + [(7, None, [1, 0.02]), (8, None, [0, 1]), (9, None, [0.01, 1])]
-    run = consolidate.consolidate(state_of(spark, rows), keep)
+    start = state_of(spark, rows)
+    start = mutations.State(start.faces.withColumns({"decision_reason": F.lit("old"), "best_match_score": F.lit(0.1)}), start.clusters, start.exemplars, start.cannot_links)
+    run = consolidate.consolidate(start, keep)
+    seven = run.state.faces.where("face_id = 7").first()
+    assert seven["decision_reason"].startswith("consolidation_recovery:") and seven["best_match_score"] > 0.9 and seven["assignment_state"] == "confirmed"
+    assert run.state.faces.where("face_id = 1").first()["decision_reason"] == "old"
     found = {r["counter"]: r["value"] for r in run.summary().collect()}
-    assert found["initial_deferred_checked"] == 3 and found["initial_recovered_confirmed"] == 1 and found["unassigned_hdbscan_points"] == 2 and found["auto_merges"] == 1
+    # face 7 is near both clusters until they are one
+    assert found["initial_deferred_checked"] == 3 and found["post_correction_recovered_confirmed"] == 1 and found["unassigned_hdbscan_points"] == 2 and found["auto_merges"] == 1
     assert found.get("new_cluster_faces", 0) + found.get("remaining_unassigned", 0) == 2 and [a["kind"] for a in run.actions] == ["merge"]
     assert {r["cluster_id"] for r in run.state.faces.where("face_id < 8").collect()} == {run.actions[0]["survivor"]}
     assert run.suggestions(spark.createDataFrame([], "user_id long, suggestion_id string"), now()).count() == 0

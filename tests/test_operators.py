@@ -224,3 +224,27 @@ def test_snapshots(spark, tmp_path):
     old = snapshot.migrate({n: rows.drop("user_id") for n in ("photos", "faces", "clusters", "exemplars", "suggestions", "cannot_links")}, 5)
     assert old["faces"].first()["user_id"] == "__legacy__" and "recognition_restricted" in old["faces"].columns
     assert snapshot.duplicate_keys("clusters", rows.unionByName(rows)).count() == 1
+
+
+def test_splits_of_two_far_groups(spark):
+    turn = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
+    f = faces(spark, [(i, 10, turn(i)) for i in (1, 2, 3)] + [(i, 10, turn(85 + i)) for i in (4, 5, 6)] + [(i, 20, turn(i)) for i in (7, 8)] + [(i, 20, turn(85 + i)) for i in (9, 10)] + [(i, 30, turn(20 * i)) for i in (11, 12, 13, 14)])
+    labelled = spark.createDataFrame([(1, c, i, k) for c, ids in ((10, (1, 2, 3, 4, 5, 6)), (20, (7, 8, 9, 10)), (30, (11, 12, 13, 14))) for k, half in enumerate((ids[: len(ids) // 2], ids[len(ids) // 2 :])) for i in half], "user_id long, cluster_id long, face_id long, label int")
+    none = spark.createDataFrame([], "user_id long, cluster_id long")
+    got = {r["cluster_id"]: r for r in audit.splits(f, labelled, none, none).collect()}
+    assert set(got) == {10, 20}  # the third one's groups are near each other
+    assert got[10]["auto_safe"] and not got[20]["auto_safe"]  # groups of two are for people to decide
+    assert got[10]["cross_max"] == pytest.approx(math.cos(math.radians(86)), abs=1e-6) and got[10]["cohesion"] == pytest.approx(math.cos(math.radians(1)), abs=1e-6)
+    assert {r["cluster_id"] for r in audit.splits(f, labelled, spark.createDataFrame([(1, 10)], none.schema), none).where("auto_safe").collect()} == set()
+    assert {r["cluster_id"] for r in audit.splits(f, labelled, none, spark.createDataFrame([(1, 10)], none.schema)).collect()} == {20}
+
+
+def test_new_people_need_a_seed_and_distinct_photos(spark):
+    turn = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
+    rows = [(1, None, turn(0)), (2, None, turn(5)), (3, None, turn(90), {"quality_score": 0.5}), (4, None, turn(95), {"quality_score": 0.5}), (5, None, turn(180)), (6, None, turn(181), {"photo_id": 5}), (7, None, turn(270)), (8, None, turn(355))]
+    f = faces(spark, rows)
+    labels = spark.createDataFrame([(1, i, k) for i, k in ((1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, 3))], "user_id long, face_id long, label int")
+    got = recovery.new_people(f, labels=labels).collect()
+    assert {r["face_id"] for r in got} == {1, 2} and len({r["group_id"] for r in got}) == 1
+    one = recovery.new_people(f.where("face_id in (1, 2, 8)"), labels=spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 8, -1)], labels.schema)).collect()
+    assert {r["face_id"] for r in one} == {1, 2, 8}  # with one label the group is all points
