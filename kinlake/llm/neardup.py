@@ -10,12 +10,13 @@ crowded region neighbours share more, and each class still is a candidate of its
 only, so no region writes out its pairs. `depth` is the largest at which a pair at the threshold
 shares no region of any of the trees with a chance below 1 in a million: 6 at 0.85, 4 at 0.8.
 
-The components of these candidates are found, and within each the links are confirmed on full
-sets: all classes of a region are in one component, so a pair needs no link of its own to meet.
-A component of more than BLOCK classes or SHINGLES shingles is dealt to several tasks, one for
-every two blocks of it, so any pair of it meets in one task and no task holds more than two
-blocks. A task drops a pair only if both are linked already, if their sizes or their sketches of
-128 minhashes rule the similarity out (6 standard deviations off), or if the full sets do.
+The components of these candidates are found: all classes of a region are in one component, so a
+pair needs no link of its own to meet. Within each, minhashes are compared first, and only texts
+of classes that are likely (up to 6 standard deviations off) to have a similar one are read again,
+to confirm the links on full sets. A component of many classes is dealt to several tasks, one for
+every two blocks of it, for either step, so any pair of it meets in one task and no task holds
+more than two blocks. A task drops a pair only if both are linked already, if their sizes or their
+minhashes rule the similarity out, or if the full sets do.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ from kinlake.llm.work import Scratch, by_runs, components, deal
 
 HASHES = 128
 TREES, LONGEST = 32, 8
-#: How much less than `depth` is enough for two classes that are each other's nearest.
-SLACK = 2
-BLOCK, SHINGLES = 1024, 2_000_000
+#: How much less than `depth` is enough for two classes that are each other's nearest, but never less than SHALLOWEST.
+SLACK, SHALLOWEST = 2, 4
+#: Classes of a block while minhashes are compared, and classes and shingles of one while sets are.
+BLOCK_ORDERS, BLOCK, SHINGLES = 2048, 1024, 2_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, TREES * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, TREES * LONGEST, dtype=np.uint64)
@@ -93,7 +95,7 @@ def shared_prefix(tree: np.ndarray, sequence: np.ndarray) -> np.ndarray:
 
 def deep_enough(prefix: np.ndarray, before: int, depth: int) -> np.ndarray:
     """Which of the prefixes make two rows candidates; before: the prefix that stands before the first, 0 follows the last."""
-    least = max(depth - SLACK, 1)
+    least = max(depth - SLACK, min(depth, SHALLOWEST))
     left, right = np.concatenate([[before], prefix[:-1]]), np.concatenate([prefix[1:], [0]])
     return (prefix >= depth) | ((prefix >= least) & (prefix > left) & (prefix > right))
 
@@ -189,6 +191,33 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int, cross: np.nda
     return links
 
 
+def likely(tasks: DataFrame, percent: int) -> DataFrame:
+    """(component, id): the classes of each task that have a likely partner in it; component stands for the task. tasks: group, i, j, id, block, n_shingles, orders."""
+    share, n = percent / 100, TREES * LONGEST
+    least = n * share - 6 * np.sqrt(n * share * (1 - share))
+
+    def run(group: pa.Table) -> pa.RecordBatch | None:
+        if group.num_rows < 2:
+            return None
+        hashes = np.frombuffer(b"".join(group["orders"].to_pylist()), np.uint16).reshape(-1, n)
+        sizes, blocks, ids = (group[c].to_numpy() for c in ("n_shingles", "block", "id"))
+        alone, has = group["i"][0] == group["j"][0], np.zeros(len(ids), bool)
+        for x in range(1, len(ids)):
+            fits = (100 * np.minimum(sizes[:x], sizes[x]) >= percent * np.maximum(sizes[:x], sizes[x])) & ~(has[:x] & has[x])
+            if not alone:
+                fits &= blocks[:x] != blocks[x]
+            y = np.flatnonzero(fits)
+            y = y[(hashes[y] == hashes[x]).sum(1) >= least]
+            has[y] = True
+            has[x] |= len(y) > 0
+        if not has.any():
+            return None
+        name = hashlib.blake2b(f"{group['group'][0]} {group['i'][0]} {group['j'][0]}".encode(), digest_size=8).digest()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(has.sum()), int.from_bytes(name, "little", signed=True))), pa.array(ids[has])], ["component", "id"])
+
+    return by_runs(tasks, ["group", "i", "j"], run, "component long, id long")
+
+
 def verified(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links confirmed on full sets; texts: group, i, j (the task), id, block, text."""
 
@@ -224,7 +253,9 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
     classes = signed_docs.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "orders")
     classes = scratch.keep(classes)
     coarse = components(spark, candidates(classes, depth_for(percent), scratch), scratch)
-    dealt = deal(coarse, classes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("weight")), BLOCK, SHINGLES)
+    known = classes.select(F.col("doc_id").alias("id"), "n_shingles", "orders")
+    alive = scratch.keep(likely(deal(coarse, None, BLOCK_ORDERS).join(known, "id"), percent).distinct())
+    dealt = deal(alive, classes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("weight")), BLOCK, SHINGLES)
     links = scratch.keep(verified(docs.withColumnRenamed("doc_id", "id").join(dealt, "id"), k, percent))
     joined = components(spark, links, scratch)
     found = scratch.keep(leads.join(joined, leads["lead"] == joined["id"], "left").select("set_id", F.coalesce("component", "lead").alias("component")))

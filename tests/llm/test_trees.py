@@ -53,5 +53,6 @@ def test_depth_adapts_to_sparse_regions():
     assert deep(np.array([6, 4, 2, 5, 3]), 0, 6).tolist() == [True, False, False, True, False]
     assert deep(np.array([4, 4]), 0, 6).tolist() == [False, False]  # neither is the other's nearest
     assert deep(np.array([4]), 5, 6).tolist() == [False] and deep(np.array([3]), 0, 6).tolist() == [False]
+    assert deep(np.array([4, 2, 3]), 0, 4).tolist() == [True, False, False]
     a = np.array([[1, 2], [1, 2], [1, 3], [0, 3]])
     assert neardup.shared_prefix(np.array([0, 0, 0, 1]), a).tolist() == [2, 1, 0]
