@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+
 
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -80,3 +84,105 @@ def distance(a: str, b: str, most: int) -> int:
         if score - max(n - start - 64, 0) > most:
             return most + 1
     return min(score, most + 1)
+
+
+#: Patterns longer than SIDE_BY_SIDE are compared one pair at a time (over COUNTED, their characters are counted first); shorter ones many pairs side by side, in tables of at most TABLE words.
+SIDE_BY_SIDE, COUNTED, TABLE = 1024, 2000, 1 << 22
+_ONE, _TOP = np.uint64(1), np.uint64(63)
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without what they begin and end with alike; the shorter first."""
+    if len(a) > len(b):
+        a, b = b, a
+    low, high = 0, len(a)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if b.startswith(a[:mid]) else (low, mid - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, len(a)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if b.endswith(a[len(a) - mid :]) else (low, mid - 1)
+    return a[: len(a) - low], b[: len(b) - low]
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """A row of code points for each text, 0 after its end."""
+    return np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), width)
+
+
+def _side_by_side(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """Which pairs (pattern, text, most) are within their edits: Myers' columns in blocks of 64 rows, all blocks of all pairs at a time.
+
+    Block w takes a letter of the text w steps after the first block did, when the block above it has passed on what it carries."""
+    m, n, most = (np.array(x) for x in ([len(p) for p, _, _ in pairs], [len(t) for _, t, _ in pairs], [k for *_, k in pairs]))
+    last = (m - 1) // 64
+    order = np.argsort(-(n + last), kind="stable")  # the longest first, so that those still at work are the first ones
+    m, n, most, last = m[order], n[order], most[order], last[order]
+    blocks, width, count = int(last.max()) + 1, int(n.max()), len(pairs)
+    patterns, texts = _codes([pairs[i][0] for i in order], 64 * blocks), _codes([pairs[i][1] for i in order], width)
+    alphabet = np.unique(patterns)
+    alphabet = alphabet[alphabet != 0]
+    size = len(alphabet) + 1
+    peq = np.zeros((blocks, count, size), np.uint64)  # the last letter stands for all that no pattern has
+    for k, letter in enumerate(alphabet):
+        peq[:, :, k] = np.packbits(patterns == letter, axis=1, bitorder="little").view(np.uint64).T
+    at = np.searchsorted(alphabet, texts)
+    letters = np.where(alphabet[np.minimum(at, size - 2)] == texts, at, size - 1)
+    letters = np.concatenate([letters, np.full((count, blocks), size - 1)], 1) + np.arange(count)[:, None] * size
+    letters, below = np.ascontiguousarray(letters.T), np.arange(blocks)[:, None] * (count * size)
+    peq = peq.ravel()
+    pv, mv = np.full((blocks, count), ~np.uint64(0)), np.zeros((blocks, count), np.uint64)
+    up, down = np.zeros((blocks + 1, count), np.uint64), np.zeros((blocks + 1, count), np.uint64)
+    up[0] = 1  # the row above all grows by one with each column
+    score, bit, ends = m.astype(np.int64), ((m - 1) % 64).astype(np.uint64), n + last
+    live, pair = count, np.arange(count)
+    for step in range(int(ends[0])):
+        while ends[live - 1] <= step:
+            live -= 1
+        k = min(step + 1, blocks)
+        place = letters[step - k + 1 : step + 1, :live][::-1] + below[:k]
+        eq, p, v = peq[place], pv[:k, :live], mv[:k, :live]
+        hp, hn = up[:k, :live], down[:k, :live]
+        xv = eq | v
+        eq |= hn
+        xh = (((eq & p) + p) ^ p) | eq
+        ph, mh = v | ~(xh | p), p & xh
+        own, t = np.minimum(last[:live], k - 1), step - last[:live]
+        moves = ((ph[own, pair[:live]] >> bit[:live]) & _ONE).astype(np.int64) - ((mh[own, pair[:live]] >> bit[:live]) & _ONE).astype(np.int64)
+        score[:live] += np.where((t >= 0) & (t < n[:live]), moves, 0)
+        carry, borrow = ph >> _TOP, mh >> _TOP
+        ph = ph << _ONE | hp
+        mh = mh << _ONE | hn
+        pv[:k, :live], mv[:k, :live] = mh | ~(xv | ph), ph & xv
+        up[1 : k + 1, :live], down[1 : k + 1, :live] = carry, borrow
+    out = np.empty(count, bool)
+    out[order] = score <= most
+    return out
+
+
+def all_within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """For each (a, b, most) whether the edit distance is at most `most`."""
+    out, groups = np.zeros(len(pairs), bool), {}
+    for i, (a, b, most) in enumerate(pairs):
+        if abs(len(a) - len(b)) > most:
+            continue
+        a, b = _trimmed(a, b)
+        if not a or len(b) <= most:
+            out[i] = len(b) <= most
+        elif len(a) > SIDE_BY_SIDE or "\0" in a or "\0" in b:
+            if len(b) > COUNTED:  # characters that one has more often than the other take an edit each
+                x, y = Counter(a), Counter(b)
+                if (x - y).total() > most or (y - x).total() > most:
+                    continue
+            out[i] = distance(a, b, most) <= most
+        else:
+            groups.setdefault((-(-len(a) // 64)).bit_length(), []).append((i, (a, b, most)))
+    for level, found in groups.items():
+        found.sort(key=lambda x: -len(x[1][1]))
+        step = max(16, TABLE // (128 << level))
+        for k in range(0, len(found), step):
+            part = found[k : k + step]
+            out[[i for i, _ in part]] = _side_by_side([x for _, x in part])
+    return out

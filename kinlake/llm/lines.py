@@ -17,7 +17,6 @@ the forms of nodes that still have a partner are read again and compared.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlake.llm.editing import distance
+from kinlake.llm.editing import all_within
 from kinlake.llm.text import chunks, mix, spans, word_hashes
 from kinlake.llm.work import Scratch, by_many_runs, by_runs, components, deal, in_blocks
 
@@ -40,10 +39,8 @@ WORDS = BLOCKS * WIDTH // 64 + 1
 CROWD_BITS, CROWD, CHARS = 8192, 2048, 4_000_000
 #: Words of either line that are passed over at once to find where both go on alike.
 WINDOW = 4
-#: Characters from which on a line's characters are counted before its edit distance is taken.
-COUNTED = 2000
-#: Pairs that wait for the slower way at once.
-WAITING = 50_000
+#: Pairs that wait for the slower way, and of those the ones whose edit distances are taken at once.
+WAITING, AT_ONCE = 50_000, 1024
 #: (block, node) entries of a part of the buckets, on average.
 PART = 1 << 19
 #: Forms whose SimHash a task remembers to have sent; beyond that it may send some again.
@@ -381,15 +378,6 @@ def rewritten(a: str, b: str, most: int) -> bool:
     return cost <= most
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`. Of long lines characters are counted first: those that one has more often take an edit each."""
-    if max(len(a), len(b)) > COUNTED:
-        x, y = Counter(a), Counter(b)
-        if (x - y).total() > most or (y - x).total() > most:
-            return False
-    return distance(a, b, most) <= most
-
-
 def likely_pairs(task: np.ndarray, part: np.ndarray, first: np.ndarray, alone: np.ndarray, words: np.ndarray, chars: np.ndarray, percent: int, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, apart): the pairs of rows of each task that may be linked, and the bits in which they differ, at most one with each a at a time.
 
@@ -478,9 +466,13 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
         forms, forest, waiting = rows["form"], Forest(len(ids)), []
 
         def settle():  # what the plain way didn't show, unless links found meanwhile have joined it up
-            for _, x, y, m in sorted(waiting):
-                if forest.find(x) != forest.find(y) and within(forms[x].as_py(), forms[y].as_py(), m):
-                    forest.join(x, y)
+            waiting.sort()
+            for k in range(0, len(waiting), AT_ONCE):
+                open_ = [(x, y, m) for _, x, y, m in waiting[k : k + AT_ONCE] if forest.find(x) != forest.find(y)]
+                near = all_within([(forms[x].as_py(), forms[y].as_py(), m) for x, y, m in open_])
+                for (x, y, _), ok in zip(open_, near.tolist(), strict=True):
+                    if ok and forest.find(x) != forest.find(y):
+                        forest.join(x, y)
             waiting.clear()
 
         for a, b, apart in likely_pairs(task, part, first, alone, words, chars, percent, forest.apart):

@@ -90,6 +90,39 @@ def test_winnowing_owner_is_the_last_least():
         assert got[i] == i + max(j for j in range(24) if w[j] == w.min())
 
 
+def test_edit_distances_side_by_side(monkeypatch):
+    rng = random.Random(6)
+    pairs = [("", "", 0), ("", "abc", 3), ("", "abc", 2), ("a" * 64, "a" * 63 + "b", 1), ("x" * 65, "y" * 65, 64), ("x" * 65, "y" * 65, 65), ("a\0b", "acb", 1)]
+    for _ in range(600):
+        a = "".join(rng.choice("abcdé😀 ") for _ in range(rng.choice((3, 20, 64, 65, 130, 300))))
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            spot, kind = rng.randrange(len(b) + 1), rng.random()
+            if kind < 0.4 and b:
+                b[min(spot, len(b) - 1)] = rng.choice("abcdxyz")
+            elif kind < 0.7:
+                b.insert(spot, rng.choice("abcq"))
+            elif b:
+                del b[min(spot, len(b) - 1)]
+        pairs.append((a, "".join(b), rng.randint(0, 25)))
+    want = [plain_distance(a, b) <= most for a, b, most in pairs]
+    for longest in (editing.SIDE_BY_SIDE, 100):
+        monkeypatch.setattr(editing, "SIDE_BY_SIDE", longest)
+        assert editing.all_within(pairs).tolist() == want
+    monkeypatch.setattr(editing, "TABLE", 1 << 10)
+    assert editing.all_within(pairs).tolist() == want
+    assert editing.all_within([]).tolist() == []
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def test_maximal_repeats():
     assert substrings.maximal(np.array([9, 3, 4, 3, 20]), 5).tolist() == [[3, 14], [20, 25]]
     assert substrings.maximal(np.array([0, 5, 11]), 5).tolist() == [[0, 10], [11, 16]]

@@ -84,7 +84,6 @@ def test_what_is_rewritten_is_within_the_edits():
         d = distance(a, b, 1000)
         for most in (d - 1, d, d + 3):
             assert not lines.rewritten(a, b, most) or d <= most
-            assert lines.within(a, b, most) == (d <= most)
             hits += lines.rewritten(a, b, most)
     assert hits > 300
 
