@@ -87,7 +87,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 #: Patterns longer than SIDE_BY_SIDE are compared one pair at a time (over COUNTED, their characters are counted first); shorter ones many pairs side by side, in tables of at most TABLE words.
-SIDE_BY_SIDE, COUNTED, TABLE = 1024, 2000, 1 << 22
+SIDE_BY_SIDE, COUNTED, TABLE = 4096, 2000, 1 << 22
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 
@@ -115,7 +115,10 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
 def _side_by_side(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     """Which pairs (pattern, text, most) are within their edits: Myers' columns in blocks of 64 rows, all blocks of all pairs at a time.
 
-    Block w takes a letter of the text w steps after the first block did, when the block above it has passed on what it carries."""
+    Block w takes a letter of the text w steps after the first block did, when the block above it
+    has passed on what it carries. Only blocks within the most edits of the diagonal work: one
+    that comes in starts 64 above the one over it, and the row over the first one grows by one
+    with each column, both as much as can be, so no distance comes out too small."""
     m, n, most = (np.array(x) for x in ([len(p) for p, _, _ in pairs], [len(t) for _, t, _ in pairs], [k for *_, k in pairs]))
     last = (m - 1) // 64
     order = np.argsort(-(n + last), kind="stable")  # the longest first, so that those still at work are the first ones
@@ -136,27 +139,42 @@ def _side_by_side(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     pv, mv = np.full((blocks, count), ~np.uint64(0)), np.zeros((blocks, count), np.uint64)
     up, down = np.zeros((blocks + 1, count), np.uint64), np.zeros((blocks + 1, count), np.uint64)
     up[0] = 1  # the row above all grows by one with each column
-    score, bit, ends = m.astype(np.int64), ((m - 1) % 64).astype(np.uint64), n + last
-    live, pair = count, np.arange(count)
+    score, bit, ends, band = m.astype(np.int64), ((m - 1) % 64).astype(np.uint64), n + last, int(most.max())
+    bottom = np.full((blocks, count), 64, np.int64)  # the distance at each block's last row
+    live, reached = count, 0
     for step in range(int(ends[0])):
         while ends[live - 1] <= step:
             live -= 1
-        k = min(step + 1, blocks)
-        place = letters[step - k + 1 : step + 1, :live][::-1] + below[:k]
-        eq, p, v = peq[place], pv[:k, :live], mv[:k, :live]
-        hp, hn = up[:k, :live], down[:k, :live]
+        low, high = max(0, -(-(step - 63 - band) // 65)), min(blocks - 1, (step + band) // 65, step)
+        if high > reached:
+            reached = high
+            over = bottom[high - 1] - up[high].astype(np.int64) + down[high].astype(np.int64)
+            bottom[high] = over + 64
+            new = last == high
+            score[new] = over[new] + (m[new] - 1) % 64 + 1
+        if low:
+            up[low, :live], down[low, :live] = 1, 0
+        if low > high:
+            continue
+        rows = slice(low, high + 1)
+        place = letters[step - high : step - low + 1, :live][::-1] + below[rows]
+        eq, p, v = peq[place], pv[rows, :live], mv[rows, :live]
+        hp, hn = up[rows, :live], down[rows, :live]
         xv = eq | v
         eq |= hn
         xh = (((eq & p) + p) ^ p) | eq
         ph, mh = v | ~(xh | p), p & xh
-        own, t = np.minimum(last[:live], k - 1), step - last[:live]
-        moves = ((ph[own, pair[:live]] >> bit[:live]) & _ONE).astype(np.int64) - ((mh[own, pair[:live]] >> bit[:live]) & _ONE).astype(np.int64)
-        score[:live] += np.where((t >= 0) & (t < n[:live]), moves, 0)
+        t = step - last[:live]
+        ours = np.flatnonzero((t >= 0) & (t < n[:live]) & (last[:live] >= low) & (last[:live] <= high))
+        if len(ours):
+            own = last[ours] - low
+            score[ours] += ((ph[own, ours] >> bit[ours]) & _ONE).astype(np.int64) - ((mh[own, ours] >> bit[ours]) & _ONE).astype(np.int64)
         carry, borrow = ph >> _TOP, mh >> _TOP
         ph = ph << _ONE | hp
         mh = mh << _ONE | hn
-        pv[:k, :live], mv[:k, :live] = mh | ~(xv | ph), ph & xv
-        up[1 : k + 1, :live], down[1 : k + 1, :live] = carry, borrow
+        pv[rows, :live], mv[rows, :live] = mh | ~(xv | ph), ph & xv
+        up[low + 1 : high + 2, :live], down[low + 1 : high + 2, :live] = carry, borrow
+        bottom[rows, :live] += carry.astype(np.int64) - borrow.astype(np.int64)
     out = np.empty(count, bool)
     out[order] = score <= most
     return out

@@ -39,8 +39,8 @@ WORDS = BLOCKS * WIDTH // 64 + 1
 CROWD_BITS, CROWD, CHARS = 8192, 2048, 4_000_000
 #: Words of either line that are passed over at once to find where both go on alike.
 WINDOW = 4
-#: Pairs that wait for the slower way, and of those the ones whose edit distances are taken at once.
-WAITING, AT_ONCE = 50_000, 1024
+#: Pairs that are put in order together, and those that are compared before it is asked again which ones are still apart.
+WAITING, AT_ONCE = 200_000, 4096
 #: (block, node) entries of a part of the buckets, on average.
 PART = 1 << 19
 #: Forms whose SimHash a task remembers to have sent; beyond that it may send some again.
@@ -463,29 +463,44 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
     def run(rows: pa.Table) -> pa.RecordBatch | None:
         task, part, first, alone, words = _tasks(rows)
         ids, chars = rows["id"].to_numpy(), pc.utf8_length(rows["form"]).to_numpy().astype(np.int64)
-        forms, forest, waiting = rows["form"], Forest(len(ids)), []
-
-        def settle():  # what the plain way didn't show, unless links found meanwhile have joined it up
-            waiting.sort()
-            for k in range(0, len(waiting), AT_ONCE):
-                open_ = [(x, y, m) for _, x, y, m in waiting[k : k + AT_ONCE] if forest.find(x) != forest.find(y)]
-                near = all_within([(forms[x].as_py(), forms[y].as_py(), m) for x, y, m in open_])
-                for (x, y, _), ok in zip(open_, near.tolist(), strict=True):
-                    if ok and forest.find(x) != forest.find(y):
+        forms, forest, held = rows["form"], Forest(len(ids)), []
+
+        def still_apart(a: np.ndarray, b: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+            """The pairs that no link joins yet, AT_ONCE asked at a time, each with the edits that it allows."""
+            for k in range(0, len(a), AT_ONCE):
+                x, y = a[k : k + AT_ONCE], b[k : k + AT_ONCE]
+                apart = forest.apart(x, y)
+                x, y = x[apart], y[apart]
+                yield list(zip(x.tolist(), y.tolist(), ((100 - percent) * np.maximum(chars[x], chars[y]) // 100).tolist(), strict=True))
+
+        def texts(x: int, y: int, most: int) -> tuple[str, str, int]:
+            return forms[x].as_py(), forms[y].as_py(), most
+
+        def settle():  # the likeliest first, since one link spares others; the slower way last, when fewest pairs are apart
+            a, b, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order, rest = np.argsort(apart, kind="stable"), []
+            for pairs in still_apart(a[order], b[order]):
+                for x, y, most in pairs:
+                    if forest.find(x) != forest.find(y):
+                        if rewritten(*texts(x, y, most)):
+                            forest.join(x, y)
+                        else:
+                            rest.append((x, y))
+            for pairs in still_apart(*np.array(rest, np.int64).reshape(-1, 2).T):
+                for (x, y, _), near in zip(pairs, all_within([texts(*p) for p in pairs]).tolist(), strict=True):
+                    if near and forest.find(x) != forest.find(y):
                         forest.join(x, y)
-            waiting.clear()
 
-        for a, b, apart in likely_pairs(task, part, first, alone, words, chars, percent, forest.apart):
-            most = (100 - percent) * np.maximum(chars[a], chars[b]) // 100
-            for d, x, y, m in zip(apart.tolist(), a.tolist(), b.tolist(), most.tolist(), strict=True):
-                if forest.find(x) != forest.find(y):
-                    if rewritten(forms[x].as_py(), forms[y].as_py(), m):
-                        forest.join(x, y)
-                    else:
-                        waiting.append((d, x, y, m))
-            if len(waiting) > WAITING:
+        waiting = 0
+        for found in likely_pairs(task, part, first, alone, words, chars, percent, forest.apart):
+            held.append(found)
+            waiting += len(found[0])
+            if waiting > WAITING:
                 settle()
-        settle()
+                waiting = 0
+        if held:
+            settle()
         if not forest.links:
             return None
         links = np.array(forest.links)
@@ -519,6 +534,7 @@ def find_duplicates(docs: DataFrame, percent: int = 90, scratch: Scratch | None
     named = scratch.keep(again.join(near, "line_id", "full").select("line_id", F.coalesce("component", "line_id").alias("component")))
     place = F.struct("doc_id", "text_id", "line_no").alias("place")
     rows = scratch.keep(lines.select("line_id", place).join(named, "line_id"))
+    scratch.release(lines, links, named)
     first = scratch.keep(rows.groupBy("component").agg(F.min("place").alias("keep")))  # a table of its own, so that the join back can be split
     return rows.select("component", "line_id", "place").join(first, "component")
 

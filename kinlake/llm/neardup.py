@@ -259,4 +259,5 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
     links = scratch.keep(verified(docs.withColumnRenamed("doc_id", "id").join(dealt, "id"), k, percent))
     joined = components(spark, links, scratch)
     found = scratch.keep(leads.join(joined, leads["lead"] == joined["id"], "left").select("set_id", F.coalesce("component", "lead").alias("component")))
+    scratch.release(leads, classes, alive, links)
     return members.join(found, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
