@@ -243,6 +243,14 @@ def _words_array(words: np.ndarray, has: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(has), [pa.py_buffer(marks), pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes())])
 
 
+def _words(simhash: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The SimHashes of a column without nulls, a row each."""
+    if isinstance(simhash, pa.ChunkedArray):
+        simhash = simhash.combine_chunks()
+    first = np.frombuffer(simhash.buffers()[1], np.int32)[simhash.offset] if len(simhash) else 0
+    return np.frombuffer(simhash.buffers()[2] or b"", np.uint64, len(simhash) * WORDS, int(first)).reshape(-1, WORDS) if len(simhash) else np.zeros((0, WORDS), np.uint64)
+
+
 def entries(nodes: DataFrame, parts: int) -> DataFrame:
     """(part, entries): the (block, node, 64 bits) of all blocks of a task's nodes, by part of the buckets."""
 
@@ -250,14 +258,14 @@ def entries(nodes: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+            words = _words(batch.column(1))
             found = np.empty((len(words), BLOCKS), _ENTRY)
             found["key"] = block_keys(words)
             found["id"] = batch.column(0).to_numpy()[:, None]
             found["bits"] = words[:, -1:]
             found = found.ravel()
             part = (mix(found["key"].astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
             found, part = found[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             blobs = [found[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(found)])]
@@ -331,7 +339,7 @@ def may_contain(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def hashes_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, simhash) of the wanted ids, once each. A Bloom filter keeps others from the shuffle, all or, where more than some millions are wanted, a part."""
+    """(id, simhash) of the wanted ids and of a few others, once each. A Bloom filter keeps most others from the shuffle or, where more than some millions are wanted, a part; the join that follows keeps out the rest."""
     marks = hashed.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +347,11 @@ def hashes_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(may_contain(marks.value, batch.column(0).to_numpy())))
 
     found = hashed.select(F.col("line_id").alias("id"), "simhash").mapInArrow(run, "id long, simhash binary")
-    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return found.dropDuplicates(["id"])
 
 
 def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, form) of the lines whose ids are wanted, once each; a Bloom filter as in hashes_of()."""
+    """(id, form) of the lines whose ids are wanted, and of a few others, once each; a Bloom filter as in hashes_of()."""
     marks = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,8 +365,7 @@ def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), x.forms(keep)], ["id", "form"])
 
-    found = docs.select("text").mapInArrow(run, "id long, form string")
-    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return docs.select("text").mapInArrow(run, "id long, form string").dropDuplicates(["id"])
 
 
 def rewritten(a: str, b: str, most: int) -> bool:
@@ -369,6 +376,12 @@ def rewritten(a: str, b: str, most: int) -> bool:
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
+        if i + 1 < n and j + 1 < m and x[i + 1] == y[j + 1]:  # one word for another, the commonest change
+            cost += max(len(x[i]), len(y[j]))
+            if cost > most:
+                return False
+            i, j = i + 1, j + 1
+            continue
         p, q = next(((p, s - p) for s in range(1, WINDOW + 1) for p in range(s + 1) if i + p < n and j + s - p < m and x[i + p] == y[j + s - p]), (1, 1))
         cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q) - (1 if p and q else 0)
         if cost > most:
@@ -435,7 +448,7 @@ def _tasks(rows: pa.Table) -> tuple[np.ndarray, ...]:
     """The rows' task numbers, parts, first blocks, whether their task is of one part, and SimHash words."""
     group, i, j, part = (rows[c].to_numpy() for c in ("group", "i", "j", "block"))
     task = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-    return task, part, group & (BLOCKS - 1), i == j, np.frombuffer(b"".join(rows["simhash"].to_pylist()), np.uint64).reshape(-1, WORDS)
+    return task, part, group & (BLOCKS - 1), i == j, _words(rows["simhash"])
 
 
 def held_to_all_bits(tasks: DataFrame) -> DataFrame:
