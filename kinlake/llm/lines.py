@@ -527,13 +527,13 @@ def find_duplicates(docs: DataFrame, percent: int = 90, scratch: Scratch | None
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.col("text").cast("string").alias("text"))
-    lines = scratch.keep(line_table(docs, percent))
+    lines = scratch.keep(line_table(docs, percent), "snappy")
     hashed = lines.where("simhash is not null").select("line_id", "simhash")
     parts = -(-lines.count() * BLOCKS // PART) or 1
     met = candidates(hashed, parts).groupBy("component", "id").agg(F.min("first").alias("first"), F.max("size").alias("size"))
-    met = scratch.keep(met.select("id", (F.col("component").bitwiseAND(F.lit(-BLOCKS)) + F.col("first")).alias("component"), F.ceil(F.col("size") / CROWD_BITS).cast("int").alias("blocks")))
+    met = scratch.keep(met.select("id", (F.col("component").bitwiseAND(F.lit(-BLOCKS)) + F.col("first")).alias("component"), F.ceil(F.col("size") / CROWD_BITS).cast("int").alias("blocks")), "snappy")
     wanted = scratch.keep(met.select("id").distinct())
-    hashes = scratch.keep(hashes_of(hashed, wanted))
+    hashes = scratch.keep(hashes_of(hashed, wanted), "snappy")
     alive = scratch.keep(held_to_all_bits(in_blocks(met).join(hashes, "id")))
     scratch.release(met, wanted)
     wanted = scratch.keep(alive.select("id").distinct())

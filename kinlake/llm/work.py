@@ -36,11 +36,12 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        """df as a table; for one of hashes, which hardly shrink, a faster compression is enough."""
         at, before = self.path(), self.spark.conf.get(TIDY, "false")
         self.spark.conf.set(TIDY, "true")
         try:
-            df.write.option("compression", "zstd").parquet(at)
+            df.write.option("compression", compression).parquet(at)
         finally:
             self.spark.conf.set(TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(at)
