@@ -42,6 +42,8 @@ ENCODINGS = {
 }
 CLASSES = (20, 24, 32, 48, 64, 96, 128)
 DRAWN = 2000
+#: Characters of a token that are worked on at once; a longer one is tested whole, piece by piece.
+PIECE = 4096
 TAIL = 0.25
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 _CODE = np.full(256, 96, np.uint8)
@@ -92,26 +94,36 @@ def length_class(n: int) -> int:
     return int(np.searchsorted(CLASSES, n, "right")) - 1
 
 
-def battery(codes: np.ndarray, size: int) -> np.ndarray:
-    """For rows of codes below size, how far each test is from a uniform source (columns chi, runs, serial)."""
-    n, width = codes.shape
-    counts = np.zeros((n, size))
-    np.add.at(counts, (np.arange(n)[:, None], codes), 1)
+def _figures(counts: np.ndarray, width: int, changes: np.ndarray, lagged: np.ndarray, squared: np.ndarray) -> np.ndarray:
+    """The columns of battery() from each row's counts of codes, changes between halves, and sums of products about its mean."""
+    size = counts.shape[1]
     expected = width / size
     chi = (((counts - expected) ** 2).sum(1) / expected - (size - 1)) / np.sqrt(2 * (size - 1))
-    high = codes >= size / 2
-    ups = high.sum(1)
-    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    ups = counts[:, np.arange(size) >= size / 2].sum(1)
+    runs = 1 + changes
     mean = 1 + 2 * ups * (width - ups) / width
     spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / max(width - 1, 1), 1e-9))
     runs = np.where((ups > 0) & (ups < width), (runs - mean) / np.maximum(spread, 0.25), width)
-    x = codes - codes.mean(1, keepdims=True)
-    serial = (x[:, 1:] * x[:, :-1]).sum(1) / np.maximum((x * x).sum(1), 1e-9) * np.sqrt(width)
+    serial = lagged / np.maximum(squared, 1e-9) * np.sqrt(width)
     return np.stack([np.maximum(chi, 0), np.abs(runs), np.abs(serial)], 1)
 
 
-def _codes(tokens: list[str], encoding: int) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+def _counts(codes: np.ndarray, size: int) -> np.ndarray:
+    n = len(codes)
+    counts = np.zeros((n, size))
+    np.add.at(counts, (np.arange(n)[:, None], codes), 1)
+    return counts
+
+
+def battery(codes: np.ndarray, size: int) -> np.ndarray:
+    """For rows of codes below size, how far each test is from a uniform source (columns chi, runs, serial)."""
+    high = codes >= size / 2
+    x = codes - codes.mean(1, keepdims=True)
+    return _figures(_counts(codes, size), codes.shape[1], (high[:, 1:] != high[:, :-1]).sum(1), (x[:, 1:] * x[:, :-1]).sum(1), (x * x).sum(1))
+
+
+def _codes(tokens: list[str], encoding: int, kind: type = np.int64) -> np.ndarray:
+    table = np.zeros(256, kind)
     alphabet = list(ENCODINGS.values())[encoding]
     table[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(len(alphabet))
     return table[np.frombuffer("".join(tokens).encode(), np.uint8)].reshape(len(tokens), -1)
@@ -122,17 +134,37 @@ def departure(codes: np.ndarray, encoding: int) -> np.ndarray:
 
     Besides the three tests it holds how far the row lacks character classes of its alphabet
     (digits, lower and upper case). The padding sign = is no part of a token here."""
+    size = len(list(ENCODINGS.values())[encoding])
+    return _departure(battery(codes, size), _counts(codes, size), codes.shape[1], encoding)
+
+
+def _departure(figures: np.ndarray, counts: np.ndarray, width: int, encoding: int) -> np.ndarray:
     alphabet = list(ENCODINGS.values())[encoding]
-    out = np.sqrt((battery(codes, len(alphabet)) ** 2).sum(1))
+    out = np.sqrt((figures**2).sum(1))
     for kind in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
         member = np.array([c in kind for c in alphabet])
         share = member.mean()
         if 0 < share < 1:
-            want = share * codes.shape[1]
-            out += np.maximum(want - member[codes].sum(1), 0) / np.sqrt(max(want * (1 - share), 1e-9))
+            want = share * width
+            out += np.maximum(want - counts[:, member].sum(1), 0) / np.sqrt(max(want * (1 - share), 1e-9))
     return out
 
 
+def long_departure(token: str, encoding: int) -> np.ndarray:
+    """departure() of one whole token of any length, PIECE characters at a time."""
+    codes, size = _codes([token], encoding, np.uint8)[0], len(list(ENCODINGS.values())[encoding])
+    width, counts = len(codes), np.bincount(codes, minlength=size).astype(float)
+    mean = counts @ np.arange(size) / width
+    changes, lagged = 0, 0.0
+    for i in range(0, width - 1, PIECE):
+        part = codes[i : i + PIECE + 1]  # with the next piece's first
+        high, x = part >= size / 2, part - mean
+        changes += int((high[1:] != high[:-1]).sum())
+        lagged += float((x[1:] * x[:-1]).sum())
+    squared = counts @ (np.arange(size) - mean) ** 2
+    return _departure(_figures(counts[None], width, *(np.array([v]) for v in (changes, lagged, squared))), counts[None], width, encoding)
+
+
 def chance(null: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The chance of a departure of at most `value`: by sorted draws, and by an exponential tail below their TAIL quantile.
 
@@ -174,7 +206,11 @@ class Ordinary:
         out, groups = np.ones(len(tokens)), {}
         for i, t in enumerate(tokens):
             bare = t.rstrip("=")
-            groups.setdefault((infer_encoding(bare), min(len(bare), 4096)), []).append((i, bare[:4096] if len(bare) <= 4096 else _fold(bare)))
+            encoding = infer_encoding(bare)
+            if len(bare) > PIECE:
+                out[i] = chance(self.reference(encoding, len(bare)), long_departure(bare, encoding))[0]
+            else:
+                groups.setdefault((encoding, len(bare)), []).append((i, bare))
         for (encoding, length), found in groups.items():
             null = self.reference(encoding, length)
             value = departure(_codes([t for _, t in found], encoding), encoding)
@@ -182,11 +218,6 @@ class Ordinary:
         return out
 
 
-def _fold(token: str) -> str:
-    """4096 characters spread evenly over a longer token."""
-    return "".join(token[i * len(token) // 4096] for i in range(4096))
-
-
 def character_chain(df: DataFrame, text: str = "text") -> np.ndarray:
     """How often each printable ASCII character follows another, over all texts."""
 

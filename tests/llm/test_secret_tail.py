@@ -43,3 +43,26 @@ def test_limits_are_those_of_benjamini_and_hochberg(spark):
             plain = ordered[good[-1]]
             below = ordered[ordered <= plain * 2 ** (-1 / secrets._BINS)]
             assert got.get(size, 0.0) <= plain and (not len(below) or got[size] >= below[-1])
+
+
+def test_long_tokens_are_tested_whole():
+    """Every other character of this token is the same one, which characters spread evenly over it don't show."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list(secrets.ENCODINGS["base64"]))
+    random_ = "".join(rng.choice(letters, 4 * 4096))
+    half = "".join(c + "a" for c in random_[: 2 * 4096])
+    table = np.zeros((97, 97))
+    for a in "etaoinshrdlu":
+        for b in "etaoinshrdlu":
+            table[ord(a) - 32, ord(b) - 32] = 1000
+    p = secrets.Ordinary(table).p_values([random_, half])
+    assert p[0] < 1e-3 and p[1] > 0.5
+
+
+def test_pieces_of_a_long_token_add_up():
+    rng = np.random.default_rng(5)
+    for encoding, letters in enumerate(secrets.ENCODINGS.values()):
+        for n in (secrets.PIECE + 1, 2 * secrets.PIECE, 3 * secrets.PIECE + 77):
+            token = "".join(rng.choice(list(letters), n))
+            whole = secrets.departure(secrets._codes([token], encoding), encoding)
+            assert np.allclose(secrets.long_departure(token, encoding), whole, rtol=1e-9)
