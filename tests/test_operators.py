@@ -248,3 +248,14 @@ def test_new_people_need_a_seed_and_distinct_photos(spark):
     assert {r["face_id"] for r in got} == {1, 2} and len({r["group_id"] for r in got}) == 1
     one = recovery.new_people(f.where("face_id in (1, 2, 8)"), labels=spark.createDataFrame([(1, 1, 0), (1, 2, 0), (1, 8, -1)], labels.schema)).collect()
     assert {r["face_id"] for r in one} == {1, 2, 8}  # with one label the group is all points
+
+
+def test_connected_of_a_long_chain_keeps_a_short_plan(spark, monkeypatch):
+    """Faces a step of 4 degrees apart are a chain over many blocks; the plan holds no rounds, which nested in each other on the driver."""
+    turn = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
+    f = faces(spark, [(i, 10, turn(4 * i)) for i in range(40)] + [(100, 20, turn(0)), (101, 20, turn(180)), (102, 20, turn(5))])
+    monkeypatch.setattr(evidence, "BLOCK", 4)
+    rows = evidence.similarity_rows(f, f.select("user_id", "cluster_id"))
+    found = evidence.connected(rows, audit.cluster_sizes(f), evidence.most_blocks(f))
+    assert {r["source"]: r["connected"] for r in found.collect()} == {10: True, 20: False}
+    assert "InMemoryTableScan" not in found._jdf.queryExecution().executedPlan().toString()
