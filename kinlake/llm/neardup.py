@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm.text import _LOWER, chunks, rolling, spans, text_windows, word_hashes
-from kinlake.llm.work import Scratch, by_runs, components, deal
+from kinlake.llm.work import Scratch, by_runs, components, deal, shuffled
 
 HASHES = 128
 TREES, LONGEST = 32, 8
@@ -250,14 +250,14 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, scratch: Scrat
     members = signed_docs.select("doc_id", "n_shingles", "set_id")
     # tables of their own, so that the joins back to hot sets can be split
     leads = scratch.keep(members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("lead")))
-    classes = signed_docs.join(leads.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "orders")
+    classes = signed_docs.join(shuffled(leads.select(F.col("lead").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "n_shingles", "orders")
     classes = scratch.keep(classes)
     coarse = components(spark, candidates(classes, depth_for(percent), scratch), scratch)
     known = classes.select(F.col("doc_id").alias("id"), "n_shingles", "orders")
-    alive = scratch.keep(likely(deal(coarse, None, BLOCK_ORDERS).join(known, "id"), percent).distinct())
+    alive = scratch.keep(likely(deal(coarse, None, BLOCK_ORDERS).join(shuffled(known), "id"), percent).distinct())
     dealt = deal(alive, classes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("weight")), BLOCK, SHINGLES)
-    links = scratch.keep(verified(docs.withColumnRenamed("doc_id", "id").join(dealt, "id"), k, percent))
+    links = scratch.keep(verified(docs.withColumnRenamed("doc_id", "id").join(shuffled(dealt), "id"), k, percent))
     joined = components(spark, links, scratch)
-    found = scratch.keep(leads.join(joined, leads["lead"] == joined["id"], "left").select("set_id", F.coalesce("component", "lead").alias("component")))
+    found = scratch.keep(leads.join(shuffled(joined), leads["lead"] == joined["id"], "left").select("set_id", F.coalesce("component", "lead").alias("component")))
     scratch.release(leads, classes, alive, links)
-    return members.join(found, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return members.join(shuffled(found), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -370,3 +370,13 @@ def test_sparse_sites_shrink_to_the_levels_above(spark):
     got = {(r["source"], r["lang"]): r for r in quality.posteriors(spark.createDataFrame(rows, "source string, lang string, evidence double"), "source", "lang").distinct().collect()}
     assert got["big", "a"]["path_share"] > 0.9 and got["big", "b"]["path_share"] < 0.1 and 0.4 < got["big", "a"]["host_share"] < 0.6
     assert got["one", "d"]["host_share"] > got["bad", "c"]["host_share"]
+
+
+def test_near_duplicates_send_no_table_to_the_driver(spark):
+    """Tables of ids are narrow in files, so the engine takes them for small, at any number of rows."""
+    rng = random.Random(17)
+    text = prose(rng, 60)
+    df = table(spark, [(i, text if i % 2 else prose(rng, 60)) for i in range(40)])
+    found = neardup.near_duplicates(df)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["component_id"] for r in found.collect() if r["doc_id"] % 2} == {1}
