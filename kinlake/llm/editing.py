@@ -180,11 +180,48 @@ def _side_by_side(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     return out
 
 
+#: Characters of a gram, texts for which grams are looked at, the multiplier of their hashes, and marks of texts made at once.
+GRAM, LONG, _ODD, MARKS = 6, 512, np.uint64(0x9E3779B97F4A7C15), 1 << 24
+
+
+def _gram_marks(texts: list[str], bits: int) -> np.ndarray:
+    """A row of 2 ** bits marks for each text, those of its grams' hashes set, as words."""
+    sizes = np.array([len(t) for t in texts])
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends, marks = np.cumsum(sizes), np.zeros((len(texts), 1 << bits), bool)
+    n = len(letters) - GRAM + 1
+    if n > 0:
+        hashes = letters[:n]
+        for k in range(1, GRAM):
+            hashes = hashes * _ODD + letters[k : n + k]
+        row = np.repeat(np.arange(len(texts)), sizes)[:n]
+        whole = np.flatnonzero(np.arange(n) + GRAM <= ends[row])  # grams of one text
+        marks[row[whole], (hashes[whole] * _ODD >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(marks, axis=1).view(np.uint64)
+
+
+def may_be_within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """False for pairs (a, b, most) of which one has more grams that the other lacks than `most` edits can change, GRAM each. Grams of one hash hide differences and make none, so False is certain."""
+    out = np.ones(len(pairs), bool)
+    order = sorted(range(len(pairs)), key=lambda i: -max(len(pairs[i][0]), len(pairs[i][1])))
+    while order:
+        bits = max(6, (8 * max(map(len, pairs[order[0]][:2]))).bit_length())
+        part, order = order[: max(1, MARKS >> bits + 1)], order[max(1, MARKS >> bits + 1) :]
+        number: dict[str, int] = {}
+        x, y = (np.array([number.setdefault(pairs[i][side], len(number)) for i in part]) for side in (0, 1))
+        marks, most = _gram_marks(list(number), bits), np.array([pairs[i][2] for i in part])
+        lacking = np.maximum(np.bitwise_count(marks[x] & ~marks[y]).sum(1, dtype=np.int64), np.bitwise_count(marks[y] & ~marks[x]).sum(1, dtype=np.int64))
+        out[part] = lacking <= GRAM * most
+    return out
+
+
 def all_within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     """For each (a, b, most) whether the edit distance is at most `most`."""
     out, groups = np.zeros(len(pairs), bool), {}
+    long = [i for i, (a, b, most) in enumerate(pairs) if max(len(a), len(b)) >= LONG and abs(len(a) - len(b)) <= most]
+    unlike = {i for i, may in zip(long, may_be_within([pairs[i] for i in long]).tolist(), strict=True) if not may}
     for i, (a, b, most) in enumerate(pairs):
-        if abs(len(a) - len(b)) > most:
+        if abs(len(a) - len(b)) > most or i in unlike:
             continue
         a, b = _trimmed(a, b)
         if not a or len(b) <= most:

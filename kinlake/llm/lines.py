@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kinlake.llm.editing import all_within
 from kinlake.llm.text import chunks, mix, spans, word_hashes
-from kinlake.llm.work import Scratch, by_many_runs, by_runs, components, deal, in_blocks
+from kinlake.llm.work import Scratch, by_many_runs, by_runs, components, deal, in_blocks, shuffled
 
 BLOCKS, WIDTH = 16, 28
 #: Of the 64 bits beside the blocks, and of all bits; of lines within an edit similarity of 0.9 that share a block one in a hundred differs in more than 77 of all, unrelated ones in some 230.
@@ -41,8 +41,10 @@ CROWD_BITS, CROWD, CHARS = 8192, 2048, 4_000_000
 WINDOW = 4
 #: Pairs that are put in order together, and those that are compared before it is asked again which ones are still apart.
 WAITING, AT_ONCE = 200_000, 4096
-#: (block, node) entries of a part of the buckets, on average.
-PART = 1 << 19
+#: (block, node) entries of a part of the buckets, on average, and the least number of parts. The larger a part, the oftener it holds several blocks of a node, which then shrink together.
+PART, LEAST_PARTS = 1 << 21, 16
+#: Counts of keys' hashes in a part, at most.
+COUNTS = (1 << 24) - 1
 #: Forms whose SimHash a task remembers to have sent; beyond that it may send some again.
 SENT = 500_000
 ROWS_AT_ONCE = 1024
@@ -77,16 +79,25 @@ def _features(grams: np.ndarray, starts: np.ndarray, n: np.ndarray, most: np.nda
     return (found >> np.uint64(40)).astype(np.int64), found & np.uint64((1 << 40) - 1)
 
 
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line of some texts: where it starts, its text, and its number in it."""
+    breaks = np.flatnonzero(data == 10)
+    bounds = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")  # a line starts with its text or after a newline
+    owner = np.sort(np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1]), kind="stable")
+    return bounds, owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
+
+
+def spots(text_id: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line's place, its text's id and its number there."""
+    return mix(text_id.view(np.uint64) ^ mix(number.astype(np.uint64) + np.uint64(1))).view(np.int64)
+
+
 class Lines:
     """The lines of a chunk of texts that are compared: owner (the text), number in it, size of the form, and words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         """Keeps lines whose form isn't empty."""
-        breaks = np.flatnonzero(data == 10)
-        texts = np.arange(len(offsets) - 1)
-        bounds = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")  # a line starts with its text or after a newline
-        owner = np.sort(np.concatenate([texts, np.searchsorted(offsets, breaks, "right") - 1]), kind="stable")
-        number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        bounds, owner, number = line_starts(data, offsets)
         self.data = _FORM[data]
         edges = np.append(bounds, len(data))
         starts, ends, first = spans(self.data, edges)
@@ -277,6 +288,17 @@ def entries(nodes: DataFrame, parts: int) -> DataFrame:
 _ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("bits", "<u8")])
 
 
+def _not_alone(blobs: pa.ChunkedArray) -> np.ndarray:
+    """The entries of these blobs but for most of those whose key no other one has, told by counts of the keys' hashes."""
+    found = []
+    for x in blobs.chunks:
+        ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+        found.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    found = np.concatenate(found).view(_ENTRY)
+    slot = found["key"] * np.uint32(0x9E3779B1) >> np.uint32(32 - min(2 * len(found), COUNTS).bit_length())
+    return found[np.flatnonzero(np.bincount(slot)[slot] > 1)]
+
+
 def partners(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the entries, sorted by key, have another one of their key within APART bits, and where each key begins. In a key of more than CROWD_BITS entries all count as such."""
     begin = np.flatnonzero(np.diff(key, prepend=~key[:1]))
@@ -296,7 +318,9 @@ def candidates(nodes: DataFrame, parts: int) -> DataFrame:
     """(component, id, first, size): the nodes of each bucket that have a partner in it, how many they are, and the bucket's block; component stands for that set of nodes, so it is the same for buckets with the same ones."""
 
     def run(part: pa.Table) -> pa.RecordBatch | None:
-        found = np.frombuffer(b"".join(part["entries"].to_pylist()), _ENTRY)
+        found = _not_alone(part["entries"])
+        if not len(found):
+            return None
         found = found[np.argsort(found["key"].astype(np.uint64) << np.uint64(32) | mix(found["id"].view(np.uint64)) >> np.uint64(32))]
         again = (found["key"][1:] == found["key"][:-1]) & (found["id"][1:] == found["id"][:-1])  # a node may have been sent by several tasks
         found = found[np.concatenate([[True], ~again])]
@@ -338,34 +362,43 @@ def may_contain(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return found
 
 
-def hashes_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, simhash) of the wanted ids and of a few others, once each. A Bloom filter keeps most others from the shuffle or, where more than some millions are wanted, a part; the join that follows keeps out the rest."""
-    marks = hashed.sparkSession.sparkContext.broadcast(bloom(wanted))
+def hashes_of(lines: DataFrame, wanted: DataFrame, spot: bool = False) -> DataFrame:
+    """(id, simhash) of the wanted ids and of a few others, once each, and, if asked for, the spot of one of the id's lines. A Bloom filter keeps most others from the shuffle or, where more than some millions are wanted, a part; the join that follows keeps out the rest."""
+    marks = lines.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_contain(marks.value, batch.column(0).to_numpy())))
+            found = batch.filter(pa.array(may_contain(marks.value, batch.column(0).to_numpy())))
+            own = [pa.array(spots(found.column(2).to_numpy(), found.column(3).to_numpy()))] if spot else []
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), *own], ["id", "simhash", "spot"][: 2 + spot])
 
-    found = hashed.select(F.col("line_id").alias("id"), "simhash").mapInArrow(run, "id long, simhash binary")
+    columns = ["line_id", "simhash", "text_id", "line_no"][: 4 if spot else 2]
+    found = lines.where("simhash is not null").select(*columns).mapInArrow(run, "id long, simhash binary" + ", spot long" * spot)
     return found.dropDuplicates(["id"])
 
 
 def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, form) of the lines whose ids are wanted, and of a few others, once each; a Bloom filter as in hashes_of()."""
+    """(id, form) of the lines at the wanted spots (a column id), and of a few others, once each; a Bloom filter as in hashes_of(). Other lines aren't taken apart."""
     marks = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = marks.value
         for batch in batches:
-            for _, data, offsets in chunks(batch.column(0)):
-                x = Lines(data, offsets)
+            text_id = batch.column(0).to_numpy()
+            for row, data, offsets in chunks(batch.column(1)):
+                bounds, owner, number = line_starts(data, offsets)
+                keep = np.flatnonzero(may_contain(filter_, spots(text_id[row + owner], number)))
+                if not len(keep):
+                    continue
+                size = np.append(bounds[1:], len(data))[keep] - bounds[keep]
+                at, begin = _ranges(bounds[keep], size)
+                x = Lines(data[at], np.append(begin, len(at)))  # each line as a text of its own
                 ids = x.ids()
-                keep = np.flatnonzero(may_contain(filter_, ids))
-                keep = keep[np.unique(ids[keep], return_index=True)[1]]
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), x.forms(keep)], ["id", "form"])
+                own = np.unique(ids, return_index=True)[1]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), x.forms(own)], ["id", "form"])
 
-    return docs.select("text").mapInArrow(run, "id long, form string").dropDuplicates(["id"])
+    return docs.select("text_id", "text").mapInArrow(run, "id long, form string").dropDuplicates(["id"])
 
 
 def rewritten(a: str, b: str, most: int) -> bool:
@@ -476,7 +509,7 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
     def run(rows: pa.Table) -> pa.RecordBatch | None:
         task, part, first, alone, words = _tasks(rows)
         ids, chars = rows["id"].to_numpy(), pc.utf8_length(rows["form"]).to_numpy().astype(np.int64)
-        forms, forest, held = rows["form"], Forest(len(ids)), []
+        forms, forest, held = rows["form"].to_pylist(), Forest(len(ids)), []
 
         def still_apart(a: np.ndarray, b: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
             """The pairs that no link joins yet, AT_ONCE asked at a time, each with the edits that it allows."""
@@ -487,7 +520,7 @@ def confirmed(tasks: DataFrame, percent: int) -> DataFrame:
                 yield list(zip(x.tolist(), y.tolist(), ((100 - percent) * np.maximum(chars[x], chars[y]) // 100).tolist(), strict=True))
 
         def texts(x: int, y: int, most: int) -> tuple[str, str, int]:
-            return forms[x].as_py(), forms[y].as_py(), most
+            return forms[x], forms[y], most
 
         def settle():  # the likeliest first, since one link spares others; the slower way last, when fewest pairs are apart
             a, b, apart = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -528,16 +561,15 @@ def find_duplicates(docs: DataFrame, percent: int = 90, scratch: Scratch | None
     scratch = scratch or Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.keep(line_table(docs, percent), "snappy")
-    hashed = lines.where("simhash is not null").select("line_id", "simhash")
-    parts = -(-lines.count() * BLOCKS // PART) or 1
-    met = candidates(hashed, parts).groupBy("component", "id").agg(F.min("first").alias("first"), F.max("size").alias("size"))
+    parts = max(LEAST_PARTS, -(-lines.count() * BLOCKS // PART))
+    met = candidates(lines.where("simhash is not null").select("line_id", "simhash"), parts).groupBy("component", "id").agg(F.min("first").alias("first"), F.max("size").alias("size"))
     met = scratch.keep(met.select("id", (F.col("component").bitwiseAND(F.lit(-BLOCKS)) + F.col("first")).alias("component"), F.ceil(F.col("size") / CROWD_BITS).cast("int").alias("blocks")), "snappy")
     wanted = scratch.keep(met.select("id").distinct())
-    hashes = scratch.keep(hashes_of(hashed, wanted), "snappy")
-    alive = scratch.keep(held_to_all_bits(in_blocks(met).join(hashes, "id")))
+    alive = scratch.keep(held_to_all_bits(in_blocks(met).join(shuffled(hashes_of(lines, wanted)), "id")))
     scratch.release(met, wanted)
     wanted = scratch.keep(alive.select("id").distinct())
-    known = scratch.keep(forms_of(docs, wanted).join(hashes, "id"))
+    hashes = scratch.keep(hashes_of(lines, wanted, spot=True).join(shuffled(wanted), "id"), "snappy")
+    known = scratch.keep(forms_of(docs, hashes.select(F.col("spot").alias("id"))).join(shuffled(hashes.drop("spot")), "id"))
     scratch.release(hashes)
     dealt = deal(alive, known.select("id", F.length("form").cast("long").alias("weight")), CROWD, CHARS)
     links = scratch.keep(confirmed(dealt.join(known, "id"), percent))
@@ -568,11 +600,11 @@ def deduplicate(docs: DataFrame, percent: int = 90, scratch: Scratch | None = No
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     same = (F.col("doc_id") == F.col("__cut_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__cut_text"))
     joined = docs.select(*(F.col(f"`{c}`") for c in kept)).join(cut, same, "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    stay = F.filter(parts, lambda _, i: ~F.array_contains("removed", i))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    stay = F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains("removed", i))
     return joined.select(
         *(F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"),
         F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )

@@ -114,6 +114,29 @@ def test_edit_distances_side_by_side(monkeypatch):
     assert editing.all_within([]).tolist() == []
 
 
+def test_long_texts_without_common_grams_are_told_apart_without_columns(monkeypatch):
+    rng = random.Random(31)
+    text = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    pairs = []
+    for n in (120, 250, 600):
+        a = text(n)
+        most = len(a) // 10
+        for edits in (0, most // 2, most, 2 * most):
+            b = list(a)
+            for _ in range(edits):
+                i = rng.randrange(len(b))
+                b[i : i + 1] = rng.choice([[], ["\ud800"], [b[i], "z"], [" "]])
+            pairs.append((a, "".join(b), most))
+        pairs += [(a, "", len(a)), (a, text(n), most)]
+    for marks in (editing.MARKS, 1):  # all pairs together, and each alone
+        monkeypatch.setattr(editing, "MARKS", marks)
+        may = editing.may_be_within(pairs)
+        assert all(may[i] for i, (a, b, most) in enumerate(pairs) if editing.distance(a, b, most) <= most) and not may[5::6].any()
+    monkeypatch.setattr(editing, "_side_by_side", lambda pairs: 1 / 0)
+    a = text(300)
+    assert editing.all_within([(a, (text(300) + a)[: len(a)], len(a) // 10)]).tolist() == [False]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

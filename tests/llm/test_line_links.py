@@ -122,3 +122,29 @@ def test_rows_that_share_a_doc_id(spark):
     got = lines.deduplicate(table(spark, rows)).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) in ([(1, 0), (1, 0), (1, 2), (2, 1)], [(1, 0), (1, 2), (1, 2), (2, 1)])
     assert sum(len(r["text"].split()) for r in got if r["n_removed"] == 0 and r["doc_id"] == 1) in (40, 80)
+
+
+def test_forms_are_read_again_at_their_spots_only(spark):
+    rng = random.Random(5)
+    texts = ["\n".join([prose(rng, 12) for _ in range(40)] + ["", "  The one\tthat is wanted, 7 times  "] + [prose(rng, 5)]) for _ in range(30)]
+    docs = table(spark, list(enumerate(texts))).selectExpr("doc_id", "xxhash64(text) as text_id", "text").cache()
+    rows = lines.line_table(docs, 90).cache()
+    wanted = rows.where("doc_id % 10 = 3 and line_no in (0, 41)").select("line_id", "text_id", "line_no", "doc_id").toPandas()
+    spots = lines.spots(wanted["text_id"].to_numpy(), wanted["line_no"].to_numpy())
+    got = lines.forms_of(docs, spark.createDataFrame([(int(x),) for x in spots], "id long")).toPandas().set_index("id")["form"].to_dict()
+    assert set(wanted["line_id"]) <= set(got) and len(got) < 20  # of some 1,200 forms
+    assert {got[i] for i in wanted.loc[wanted["line_no"] == 41, "line_id"]} == {"the one that is wanted 0 times"}
+    found = lines.hashes_of(rows, spark.createDataFrame([(int(x),) for x in wanted["line_id"]], "id long"), spot=True).toPandas()
+    again = lines.forms_of(docs, found[["spot"]].pipe(lambda f: spark.createDataFrame([(int(x),) for x in f["spot"]], "id long"))).toPandas()
+    assert set(wanted["line_id"]) <= set(again["id"])
+
+
+def test_entries_alone_in_their_key_are_left_out():
+    rng = np.random.default_rng(3)
+    found = np.zeros(5000, lines._ENTRY)
+    found["key"], found["id"] = rng.choice(1 << 32, 5000, replace=False), np.arange(5000)
+    found["key"][1::50] = found["key"][::50]
+    blobs = [found[i : i + 700].tobytes() for i in range(0, 5000, 700)]
+    got = lines._not_alone(pa.chunked_array([pa.array(blobs[:3], pa.binary()), pa.array(blobs, pa.binary())[3:]]))
+    assert {*range(0, 5000, 50), *range(1, 5000, 50)} <= set(got["id"].tolist()) and len(got) < 2500
+    assert len(lines._not_alone(pa.chunked_array([pa.array([found[:1].tobytes()], pa.binary())]))) == 0
